@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimworks.llm import jaccard_join, langid, line_dedup, mixing, packing
+from claimworks.llm import fingerprints, html_extract, jaccard_join, langid, line_dedup, lm_scoring, metric_topk, mixing, packing, toxicity
 from claimworks.llm._store import read
 
 
@@ -15,6 +15,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.stupid_backoff(read(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -24,6 +28,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "text", "lines.n_lines", "lines.n_removed")
 
 
+def op4_metric_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"), k=3, num=90)
 
@@ -35,9 +43,23 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, "doc_id", held.alias("held_out"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held = langid.held_out(F.col("doc_id"), 3, 1)
+    return toxicity.score(docs, toxicity.fit(docs, labels.filter(~held)), "doc_id", held.alias("held_out"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_line_dedup, op5_jaccard_join, op6_language_id, op10_mixing)}
-ORACLE_SQL = {"op10_mixing": mixing.ORACLE_SQL, "op5_jaccard_join": jaccard_join.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_packing, op3_line_dedup, op4_metric_topk, op5_jaccard_join, op6_language_id, op7_toxicity, op8_fingerprints, op9_html_extraction, op10_mixing)}
+ORACLE_SQL = {"op1_lm_scoring": lm_scoring.ORACLE_SQL, "op4_metric_topk": metric_topk.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL, "op5_jaccard_join": jaccard_join.ORACLE_SQL}
