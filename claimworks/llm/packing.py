@@ -10,6 +10,7 @@ shuffled, only the last windows of each partition are.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -30,15 +31,24 @@ GROUP = 16
 
 class Tokens:
     """Token ids of whole texts. The tokenizer never joins over white space, so the ids of a text
-    are those of its white-space-separated words, which are kept for the most recent words."""
+    are those of its white-space-separated words, and those of a word are those of the pieces its
+    pre-tokenizer cuts. Both are kept for recent words. Words of other than Latin letters, of
+    control characters or with a special token go through the whole tokenizer."""
 
     MOST_WORDS = 400_000
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces: dict[str, list[int]] = {}
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.simple = regex.compile("[\x21-\x7e\xa1-\u024f]+")
+        cut = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.cut = regex.compile(cut)
         self.clear()
 
     def clear(self) -> None:
@@ -46,25 +56,38 @@ class Tokens:
         self.flat = np.zeros(1 << 20, np.uint32)
         self.at = np.zeros(self.MOST_WORDS + 2, np.int64)
 
+    def _piece(self, piece: str) -> list[int]:
+        if (ids := self.pieces.get(piece)) is None:
+            form = piece if piece.isascii() else self.bytes.pre_tokenize_str(piece)[0][0]
+            ids = [t.id for t in self.tokenizer.model.tokenize(form)]
+            if len(self.pieces) >= self.MOST_WORDS:
+                self.pieces.clear()
+            self.pieces[piece] = ids
+        return ids
+
+    def word(self, word: bytes) -> list[int]:
+        """The ids of one word."""
+        text = word.decode("utf-8", "replace")
+        if self.simple.fullmatch(text) and not any(x in text for x in self.special):
+            return [i for piece in self.cut.findall(text.lower()) for i in self._piece(piece)]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.index]
+        new = words.difference(self.index)
         if len(self.index) + len(new) > self.MOST_WORDS:
             self.clear()
-            new = list(words)
+            new = words
             if len(new) > self.MOST_WORDS:
                 self.at = np.zeros(len(new) + 2, np.int64)
-        n = len(self.index)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False), strict=True):
-                ids, begin = e.ids, self.at[n]
-                end = begin + len(ids)
-                if end > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-                self.flat[begin:end] = ids
-                self.index[w] = n
-                n += 1
-                self.at[n] = end
+        n, begin, ids = len(self.index), int(self.at[len(self.index)]), []
+        for w in new:
+            ids += self.word(w)
+            self.index[w] = n
+            n += 1
+            self.at[n] = begin + len(ids)
+        while begin + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
+        self.flat[begin : begin + len(ids)] = ids
 
     def rows(self, data: np.ndarray, offsets: np.ndarray, last: int) -> Iterator[np.ndarray]:
         """The ids of each row of a chunk, with the id `last` at the end of each."""
