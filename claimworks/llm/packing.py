@@ -43,12 +43,12 @@ class Tokens:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces: dict[str, list[int]] = {}
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.simple = regex.compile("[\x21-\x7e\xa1-\u024f]+")
+        special = "|".join(regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.odd = regex.compile(f"[^\\x21-\\x7e\\xa1-\\u024f\n]|{special}")
         cut = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.cut = regex.compile(cut)
+        self.cut = regex.compile(f"{cut}|\n")
         self.clear()
 
     def clear(self) -> None:
@@ -65,26 +65,36 @@ class Tokens:
             self.pieces[piece] = ids
         return ids
 
-    def word(self, word: bytes) -> list[int]:
-        """The ids of one word."""
-        text = word.decode("utf-8", "replace")
-        if self.simple.fullmatch(text) and not any(x in text for x in self.special):
-            return [i for piece in self.cut.findall(text.lower()) for i in self._piece(piece)]
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
     def learn(self, words: set[bytes]) -> None:
-        new = words.difference(self.index)
+        new = list(words.difference(self.index))
         if len(self.index) + len(new) > self.MOST_WORDS:
             self.clear()
-            new = words
+            new = list(words)
             if len(new) > self.MOST_WORDS:
                 self.at = np.zeros(len(new) + 2, np.int64)
-        n, begin, ids = len(self.index), int(self.at[len(self.index)]), []
-        for w in new:
-            ids += self.word(w)
-            self.index[w] = n
-            n += 1
-            self.at[n] = begin + len(ids)
+        if not new:
+            return
+        text = b"\n".join(new).decode("utf-8", "replace")
+        odd = {}
+        if self.odd.search(text):
+            lines = text.split("\n")
+            odd = {i: self.tokenizer.encode(w, add_special_tokens=False).ids for i, w in enumerate(lines) if self.odd.search(w)}
+            text = "\n".join("" if i in odd else w for i, w in enumerate(lines))
+        ids: list[int] = []
+        ends: list[int] = []
+        get = self.pieces.get
+        for piece in self.cut.findall(text.lower() + "\n"):
+            if piece == "\n":
+                if odd and len(ends) in odd:
+                    ids += odd[len(ends)]
+                ends.append(len(ids))
+            else:
+                found = get(piece)
+                ids += self._piece(piece) if found is None else found
+        n = len(self.index)
+        begin = int(self.at[n])
+        self.at[n + 1 : n + 1 + len(new)] = begin + np.array(ends)
+        self.index.update(zip(new, range(n, n + len(new)), strict=True))
         while begin + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
         self.flat[begin : begin + len(ids)] = ids
