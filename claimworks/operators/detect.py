@@ -167,7 +167,7 @@ ASPECTS = [("sensational", "Sensational vocabulary", "s_sensational"), ("attribu
 def aspects(scored: DataFrame) -> DataFrame:
     """claim_id, pos, aspect, label, score, verdict: eight rows a claim."""
     rows = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(a).alias("aspect"), F.lit(label).alias("label"), (F.col(c) if c else F.lit(None)).cast("int").alias("score")) for i, (a, label, c) in enumerate(ASPECTS)])
-    out = scored.select("claim_id", F.explode(rows).alias("x")).select("claim_id", "x.*")
+    out = scored.select("claim_id", F.explode_outer(rows).alias("x")).select("claim_id", "x.*")
     return out.withColumn("verdict", F.when(F.col("score").isNull(), "unchecked").when(F.col("score") >= 70, "pass").when(F.col("score") >= 45, "warn").otherwise("fail"))
 
 

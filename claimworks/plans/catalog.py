@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from claimworks.plans import detect_queries, evidence_queries, planner_queries
+from claimworks.plans import detect_queries, evidence_queries, planner_queries, record_queries
 
-QUERIES = {**detect_queries.QUERIES, **planner_queries.QUERIES, **evidence_queries.QUERIES}
-SQL = {**detect_queries.SQL, **planner_queries.SQL, **evidence_queries.SQL}
+QUERIES = {**detect_queries.QUERIES, **record_queries.QUERIES, **planner_queries.QUERIES, **evidence_queries.QUERIES}
+SQL = {**detect_queries.SQL, **record_queries.SQL, **planner_queries.SQL, **evidence_queries.SQL}

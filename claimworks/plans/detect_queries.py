@@ -74,7 +74,7 @@ add("key_terms", on(_scores, lambda: [text_of(D.key_terms()).alias("terms")]), f
 _SUMMARY = "CASE WHEN language_risk = 'unknown' THEN 'The rule engine only reads English. Use the fact-check lookup for this text.' WHEN verdict = 'likely-misleading' THEN 'The wording shows strong risk signals plus pressure to forward. That pattern is common in misleading messages — check before sharing.' ELSE 'Language risk is ' || language_risk || '. This reads the wording only, not the facts — the claim is unverified until confirmed with an official source.' END"
 add("summary", on(_scores, lambda: [D.summary().alias("summary")]), f"{S.SCORES} SELECT claim_id, {_SUMMARY} AS summary FROM r")
 add("aspects_exploded", lambda s, d: D.aspects(_scores(s, d)), f"{S.ASPECTS_SQL} SELECT * FROM asp")
-add("topic_hits", lambda s, d: _signals(s, d).select("claim_id", F.explode("hits").alias("h")).select("claim_id", "h.topic", "h.hits").filter("hits > 0"), f"{S.SIGNALS}, h AS (SELECT claim_id, unnest(hits) AS h FROM d3) SELECT claim_id, h.topic AS topic, h.hits::INTEGER AS hits FROM h WHERE h.hits > 0")
+add("topic_hits", lambda s, d: _signals(s, d).select("claim_id", F.explode_outer("hits").alias("h")).select("claim_id", "h.topic", "h.hits").filter("hits > 0"), f"{S.SIGNALS}, h AS (SELECT claim_id, unnest(hits) AS h FROM d3) SELECT claim_id, h.topic AS topic, h.hits::INTEGER AS hits FROM h WHERE h.hits > 0")
 add("topics_ranked", on(_signals, lambda: [text_of("topics").alias("topics")]), f"{S.SIGNALS}, h AS (SELECT claim_id, unnest(hits) AS h FROM d3), g AS (SELECT claim_id, array_to_string(list(h.topic ORDER BY h.hits DESC, h.ord), '|') AS topics FROM h WHERE h.hits > 0 GROUP BY claim_id) SELECT d3.claim_id, coalesce(topics, 'general') AS topics FROM d3 LEFT JOIN g USING (claim_id)")
 _DIM = ", ".join(f"({i}, {quoted(s[0])}, {quoted(t)}, {k})" for i, s in enumerate(L.SOURCES) for k, t in enumerate(s[3]))
 MATCH = f"""{S.SIGNALS}, h AS (SELECT claim_id, unnest(hits) AS h FROM d3), dim(ord, id, topic, k) AS (VALUES {_DIM}),
@@ -83,7 +83,7 @@ w AS (SELECT claim_id, ord, id, relevance::INTEGER AS relevance, CASE WHEN relev
 
 
 def matches(spark, d) -> DataFrame:
-    rows = _signals(spark, d).select("claim_id", F.posexplode(D.source_match(F.col("hits"))).alias("p", "m"))
+    rows = _signals(spark, d).select("claim_id", F.posexplode_outer(D.source_match(F.col("hits"))).alias("p", "m"))
     return rows.select("claim_id", (F.col("p") + 1).alias("rank"), "m.id", "m.topic", "m.relevance")
 
 
