@@ -48,7 +48,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float =
     return rows.select("source", "source_size", F.least(F.col("most"), F.coalesce(level * F.col("w"), F.col("most"))).alias("target"))
 
 
-def schedule(docs: DataFrame, seed: str = "") -> DataFrame:
+def schedule(docs: DataFrame, seed: str = "", size: Column | None = None) -> DataFrame:
     """docs(doc_id, text, source, ...) -> its columns and, as a struct `mix`: size, source_size,
     target, before (words of the source ahead of it), taken, virtual_finish.
 
@@ -56,17 +56,19 @@ def schedule(docs: DataFrame, seed: str = "") -> DataFrame:
     whole part of the target. A null text has size 0; null sources are one source; equal ids and
     sizes are interchangeable, so reruns agree. An empty table gives no rows.
     """
+    size = words(F.col("text")) if size is None else size
+    name = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source"))  # joins by plain equality
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(seed)))
-    rows = docs.select(F.struct("*").alias("doc"), "source", "doc_id", words(F.col("text")).alias("size"), key.alias("h"), F.substring(key, 1, HEX).alias("range"))
-    slim = docs.select("source", words(F.col("text")).alias("size"), F.substring(key, 1, HEX).alias("range"))
+    rows = docs.select(F.struct("*").alias("doc"), name.alias("k"), "doc_id", size.alias("size"), key.alias("h"), F.substring(key, 1, HEX).alias("range"))
+    slim = docs.select("source", size.alias("size"), F.substring(key, 1, HEX).alias("range"))
     totals = _store.table(slim.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "ranges")
     goal = targets(totals.groupBy("source").agg(F.sum("range_size").alias("source_size")))
     ahead = F.sum("range_size").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("range_size")
     ranges = totals.withColumn("ahead", ahead).alias("t").join(goal.alias("g"), F.col("t.source").eqNullSafe(F.col("g.source")))
-    ranges = ranges.select(F.col("t.source").alias("s"), F.col("range").alias("r"), "ahead", "source_size", "target")
-    inside = Window.partitionBy("source", "range").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = ranges.select(F.when(F.col("t.source").isNull(), "").otherwise(F.concat(F.lit("="), "t.source")).alias("k"), "range", "ahead", "source_size", "target")
+    inside = Window.partitionBy("k", "range").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("inside", F.sum("size").over(inside) - F.col("size"))
-    rows = rows.join(ranges, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")), "left")
+    rows = rows.join(ranges, ["k", "range"], "left")
     before, whole = F.col("ahead") + F.col("inside"), F.floor("target")
     part = lambda start: F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), whole - start))
     taken = part(before) + part(before + F.col("source_size"))
@@ -77,7 +79,8 @@ def schedule(docs: DataFrame, seed: str = "") -> DataFrame:
 def mix(docs: DataFrame, seed: str = "") -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, virtual_finish, sorted over
     all by virtual finish time. What lies behind the total budget has taken 0."""
-    out = schedule(docs.select("doc_id", "text", "source"), seed)
+    slim = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
+    out = schedule(slim, seed, F.col("size"))
     out = out.select("doc.doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "mix.virtual_finish")
     return out.orderBy(F.col("virtual_finish").asc_nulls_last(), "doc_id")
 
