@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from claimworks.llm import _store, _text
 
 _U = np.uint64
+_SPAN = 1 << 31  # codes of two common words are below 2**62
+_ODD = _U(1 << 63)  # set in every other key, so that it is no code
 
 
 def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -109,8 +111,9 @@ def stupid_backoff(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, comm
 
     def explode(slow: bool):
         """kind 0 has a document's words (n); kind 1 its bigrams scored here that are seen (n) and
-        its base (p); kind 2 a bigram and the product of its words' counts (p). If slow: kind 2 a
-        bigram with a rare word, kind 3 a rare word, which lack those counts."""
+        its base (p); kind 2 a bigram, as the code of its two words' places among the common ones:
+        the counts follow from it and needn't be shuffled. If slow: kind 2 a bigram with a rare
+        word, kind 3 a rare word, both by hash and without counts."""
 
         def run(batches):
             keys, count, top = known.value
@@ -136,10 +139,10 @@ def stupid_backoff(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, comm
                         gain = np.log(hot[enough]) - np.log(c[v[both][enough]]) - log_alpha - np.log(c[w[both][enough]]) + log_total
                         base += np.bincount(row[both][enough], gain, size)
                         alone = _text.mix(h[:1] + np.arange(size, dtype=_U)) if len(h) else np.arange(size, dtype=_U)
-                        out.append((ids, np.zeros(size, np.int8), alone, np.diff(words.first), np.zeros(size), None, None))
-                        out.append((ids, np.ones(size, np.int8), ~alone, np.bincount(row[both][enough], minlength=size), base, None, None))
+                        out.append((ids, np.zeros(size, np.int8), alone | _ODD, np.diff(words.first), np.zeros(size), None, None))
+                        out.append((ids, np.ones(size, np.int8), ~alone | _ODD, np.bincount(row[both][enough], minlength=size), base, None, None))
                     v, w, row = v[rest], w[rest], row[rest]
-                    gram = _pair(h[v], h[w])
+                    gram = _pair(h[v], h[w]) | _ODD if slow else (at[v] * _SPAN + at[w]).astype(_U)
                     order = np.lexsort((gram, row))
                     gram, row, v, w = gram[order], row[order], v[order], w[order]
                     new = np.ones(len(gram), bool)
@@ -147,8 +150,7 @@ def stupid_backoff(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, comm
                     start = np.flatnonzero(new)
                     times = np.diff(np.append(start, len(gram)))
                     gram, row, v, w = gram[start], row[start], v[start], w[start]
-                    product = c[v].astype(float) * c[w] if not slow else np.zeros(len(v))
-                    out.append((ids.take(pa.array(row)), np.full(len(v), 2, np.int8), gram, times, product, h[v], h[w]))
+                    out.append((ids.take(pa.array(row)), np.full(len(v), 2, np.int8), gram, times, np.zeros(len(v)), h[v], h[w]))
                     if slow:
                         row, k, times = _text.distinct(words.doc[~ok], h[~ok])
                         out.append((ids.take(pa.array(row)), np.full(len(k), 3, np.int8), k, times, np.zeros(len(k)), ~k, k))
@@ -163,7 +165,13 @@ def stupid_backoff(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, comm
     rare = rare.select("doc_id", "kind", "gram", "n", F.when(F.col("kind") == 2, F.col("v_n").cast("double") * F.col("w_n")).otherwise(F.col("n") * F.log("w_n")).alias("p"))
     rows = explode(False).union(rare).withColumn("c", F.sum("n").over(Window.partitionBy("gram")))
     seen = (F.col("kind") == 2) & (F.col("c") >= min_count)
-    gain = F.col("n") * (F.log("c") - F.log("p") - log_alpha + log_total)
+    # A code's words are looked up after the shuffle: a row for each common word, so bounded.
+    place = lambda c: F.broadcast(spark.createDataFrame(pa.table({c: np.arange(len(n)), f"{c}_log": np.log(n)}), f"{c} long, {c}_log double"))
+    coded = F.when(seen & (F.col("gram") >= 0), F.col("gram"))
+    rows = rows.withColumn("a", F.floor(coded / F.lit(_SPAN))).withColumn("b", coded % F.lit(_SPAN))
+    rows = rows.join(place("a"), "a", "left").join(place("b"), "b", "left")
+    log_p = F.when(F.col("gram") >= 0, F.col("a_log") + F.col("b_log")).otherwise(F.log("p"))
+    gain = F.col("n") * (F.log("c") - log_p - log_alpha + log_total)
     return rows.groupBy("doc_id").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("n_words"),
         F.sum(F.when(seen | (F.col("kind") == 1), F.col("n")).otherwise(0)).alias("n_seen"),
