@@ -13,7 +13,8 @@ whose bound reaches the threshold are opened. The parts:
    so similar sets share several keys; a document with fewer shared keys goes no further.
 3. A group is worked in parts of at most `group_rows` documents plus its leader. A part links
    its members by comparing one leader after another with all; a document that a leader has
-   reached needs no comparison with the others it has reached.
+   reached leads no more. If the part is in several components then, the documents outside the
+   largest one are compared with all too, so no link between reached documents is lost.
 4. Where a posting's documents are in several components by then, those outside its commonest
    component open the other groups of the posting, if they share keys enough with the group and
    the overlap with the group's union reaches t * |A|. Histograms bound that overlap from above,
@@ -192,17 +193,30 @@ class _Group:
 
 def _link_part(scheme: Scheme):
     def run(table):
-        """Edges of a part: every member that isn't linked yet is compared with all members."""
+        """Edges of a part: leaders are compared with all members; then every other member outside
+        the part's largest component is, until all members are in one. A pair that is never
+        compared is in one component by then."""
         table = table.sort_by("doc_id")
         ids, sets = table["doc_id"].to_numpy(), _load(table["tokens"])
         group, reached, u, v = _Group(sets), np.zeros(len(ids), bool), [], []
-        for i in range(len(ids)):
-            if reached[i]:
-                continue
+        component = np.arange(len(ids))
+
+        def compare(i):
             hit = np.flatnonzero(scheme.linked(group.common(sets[i]), group.size[i], group.size))
-            reached[hit] = True
             u.append(ids[hit])
             v.append(np.full(len(hit), ids[i]))
+            component[np.isin(component, component[hit])] = component[i]
+            return hit
+
+        leaders = []
+        for i in range(len(ids)):
+            if not reached[i]:
+                reached[compare(i)] = True
+                leaders.append(i)
+        main = component == np.bincount(component).argmax() if len(ids) else reached
+        for i in np.setdiff1d(np.flatnonzero(~main), leaders):
+            if (component != component[i]).any():
+                compare(i)
         u, v = np.concatenate([*u, np.zeros(0, np.int64)]), np.concatenate([*v, np.zeros(0, np.int64)])
         return pa.table({"u": u[u != v], "v": v[u != v]})
 

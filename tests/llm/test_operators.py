@@ -96,6 +96,17 @@ def test_jaccard_matches_brute_force(spark, docs, k, num):
     assert jaccard_join.jaccard_components(empty(docs)).count() == 0
 
 
+def test_jaccard_links_chains_in_one_part(spark, docs):
+    """Sliding windows, in an order in which no leader reaches both documents of the middle link."""
+    starts = {1: 0, 2: 12, 3: 4, 4: 8}
+    windows = [(10 * family + i, " ".join(f"f{family}w{n}" for n in range(at, at + 102)), "s", "x", 1) for family in range(12) for i, at in starts.items()]
+    everything = spark.createDataFrame(windows, docs.schema)
+    expected = brute_components(everything.collect(), 3, 90, 100)
+    assert len({root for _, root in expected.values()}) == 12
+    rows = jaccard_join.jaccard_components(everything, 3, 90, 100).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in rows} == expected
+
+
 def test_line_dedup(docs):
     rows = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
     assert rows[8]["text"].count("\n") == 1 and rows[9]["text"].count("\n") == 0  # the shared line stays once
