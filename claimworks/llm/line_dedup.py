@@ -3,9 +3,10 @@
 Lines are normalised, equal ones become one distinct line, and each distinct line gets a 64-bit
 SimHash of its words. Two hashes that differ in at most 3 bits agree in two of five blocks at
 least, so lines meet in ten postings of about 26 bits each (pigeonhole). Within a posting, one
-leader after another is compared with the lines that follow, and a line that has been reached
-leads no more. Pairs are verified by edit similarity of the normalised lines, verified pairs form
-connected groups, and of each group one occurrence stays: the first by document and line.
+leader after another is compared with all lines, and a line that has been reached leads no more.
+Pairs are verified by edit similarity of the normalised lines, and verified pairs form connected
+groups. Close lines of a posting that are in different groups then are verified as well. Of each
+group one occurrence stays: the first by document and line.
 """
 
 from __future__ import annotations
@@ -100,31 +101,49 @@ def _normal_lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "line long, words string")
 
 
-def _block_keys(distinct: DataFrame) -> DataFrame:
-    """line, simhash and one key for each pair of blocks."""
+def _block_keys(distinct: DataFrame, *more: str) -> DataFrame:
+    """line, simhash, more columns and one key for each pair of blocks."""
     shifts = np.concatenate([[0], np.cumsum(BLOCKS)[:-1]])
     block = [F.shiftrightunsigned("simhash", int(s)).bitwiseAND(F.lit((1 << w) - 1)) for s, w in zip(shifts, BLOCKS, strict=True)]
     keys = [F.shiftleft(block[a], BLOCKS[b]).bitwiseOR(block[b]).bitwiseOR(F.lit(n << 26)).cast("int") for n, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2))]
-    return distinct.select("line", "simhash", F.explode(F.array(*keys)).alias("key"))
+    return distinct.select("line", "simhash", *more, F.explode(F.array(*keys)).alias("key"))
 
 
-def _close_pairs(batches):
-    """From rows sorted by key: (u, v) of one posting whose SimHashes differ in at most BITS bits.
-    A posting that spans batches is carried over with the leaders that it has."""
-    carried = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+def _whole_postings(batches):
+    """The columns of rows sorted by key, cut where a posting ends."""
+    carried = None
     for batch in batches:
-        key, line, sim = (np.concatenate([c, batch.column(i).to_numpy()]) for i, c in enumerate(carried))
-        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        end = np.append(begin[1:], len(key))
+        columns = [c.to_numpy() for c in batch.columns]
+        if carried:
+            columns = [np.concatenate(c) for c in zip(carried, columns, strict=True)]
+        if len(columns[0]):
+            cut = np.searchsorted(columns[0], columns[0][-1])
+            yield [c[:cut] for c in columns]
+            carried = [c[cut:] for c in columns]
+    if carried:
+        yield carried
+
+
+def _bounds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return begin, np.append(begin[1:], len(key))[: len(begin)]
+
+
+def _pairs(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
+    none = [np.zeros(0, np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(none + u)), pa.array(np.concatenate(none + v))], ["u", "v"])
+
+
+def _close_pairs(batches):
+    """From key, line, simhash sorted by key: (u, v) of one posting whose SimHashes differ in at
+    most BITS bits, where u is a leader."""
+    for key, line, sim in _whole_postings(batches):
+        begin, end = _bounds(key)
         two = begin[end - begin == 2]
         near = two[np.bitwise_count(sim[two] ^ sim[two + 1]) <= BITS]
-        u.append(line[near])
-        v.append(line[near + 1])
-        tail = np.arange(begin[-1], len(key)) if len(key) else np.zeros(0, np.int64)
-        for a, b in zip(begin, end, strict=True):
-            if b - a < 3 and b < len(key):
-                continue
+        u, v = [line[near]], [line[near + 1]]
+        more = end - begin > 2
+        for a, b in zip(begin[more], end[more], strict=True):
             free = np.ones(b - a, bool)
             for i in range(b - a):
                 if free[i]:
@@ -133,10 +152,34 @@ def _close_pairs(batches):
                     free[hit] = False
                     u.append(np.full(len(hit), line[a + i]))
                     v.append(line[a + hit])
-            if b == len(key):
-                tail = np.arange(a, b)[free]
-        carried = (key[tail], line[tail], sim[tail])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+        yield _pairs(u, v)
+
+
+def _split_pairs(batches):
+    """From key, line, simhash, component sorted by key: all (u, v) of one posting in different
+    components whose SimHashes differ in at most BITS bits. Of two components one isn't the
+    posting's largest; its lines are compared with all."""
+    for key, line, sim, component in _whole_postings(batches):
+        begin, end = _bounds(key)
+        u, v = [], []
+        split = np.minimum.reduceat(component, begin) != np.maximum.reduceat(component, begin) if len(begin) else np.zeros(0, bool)
+        for a, b in zip(begin[split], end[split], strict=True):
+            names, own, n = np.unique(component[a:b], return_inverse=True, return_counts=True)
+            for i in np.flatnonzero(own != n.argmax()):
+                hit = np.flatnonzero((np.bitwise_count(sim[a:b] ^ sim[a + i]) <= BITS) & (own != own[i]))
+                u.append(np.full(len(hit), line[a + i]))
+                v.append(line[a + hit])
+        yield _pairs(u, v)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose lines have the edit similarity."""
+    checked = pairs.join(texts.select(F.col("line").alias("u"), F.col("words").alias("a")), "u").join(texts.select(F.col("line").alias("v"), F.col("words").alias("b")), "v")
+    longest = F.greatest(F.length("a"), F.length("b"))
+    allowed = F.floor(longest * (den - num) / den).cast("int")
+    # Most pairs differ in a few characters: a narrow band settles them, the full one the rest.
+    checked = checked.withColumn("allowed", allowed).filter(F.expr("CASE WHEN levenshtein(a, b, least(allowed, 24)) >= 0 THEN true ELSE levenshtein(a, b, allowed) >= 0 END"))
+    return checked.select("u", "v")
 
 
 def duplicate_lines(docs: DataFrame, num: int = 80, den: int = 100, min_words: int = 5) -> DataFrame:
@@ -145,18 +188,23 @@ def duplicate_lines(docs: DataFrame, num: int = 80, den: int = 100, min_words: i
     place = F.struct("doc_id", "line_no")
     distinct = found.groupBy("line").agg(F.first("simhash").alias("simhash"), F.min(place).alias("first"), F.count("*").alias("n"))
     distinct = _store.table(distinct, "distinct-lines")
+    ordered = lambda pairs: pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     postings = _block_keys(distinct).repartition("key").sortWithinPartitions("key", "line")
     pairs = postings.select(F.col("key").cast("long"), "line", "simhash").mapInArrow(_close_pairs, "u long, v long")
-    pairs = _store.table(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "line-pairs")
+    pairs = _store.table(ordered(pairs), "line-pairs")
     candidates = pairs.select(F.col("u").alias("line")).union(pairs.select(F.col("v").alias("line"))).distinct()
-    texts = _store.with_ids(_normal_lines(docs), _store.table(candidates, "candidates"), "line", "left_semi")
+    candidates = _store.table(candidates, "candidates")
+    texts = _store.with_ids(_normal_lines(docs), candidates, "line", "left_semi")
     texts = _store.table(texts.groupBy("line").agg(F.min("words").alias("words")), "line-texts")
-    checked = pairs.join(texts.select(F.col("line").alias("u"), F.col("words").alias("a")), "u").join(texts.select(F.col("line").alias("v"), F.col("words").alias("b")), "v")
-    longest = F.greatest(F.length("a"), F.length("b"))
-    allowed = F.floor(longest * (den - num) / den).cast("int")
-    # Most pairs differ in a few characters: a narrow band settles them, the full one the rest.
-    checked = checked.withColumn("allowed", allowed).filter(F.expr("CASE WHEN levenshtein(a, b, least(allowed, 24)) >= 0 THEN true ELSE levenshtein(a, b, allowed) >= 0 END"))
-    groups = components(checked.select("u", "v"))
+    groups = _store.table(components(_verified(pairs, texts, num, den)), "line-groups")
+    # A reached line led no more, whether or not its pair was verified. Lines that have a close one
+    # meet again, and those in different groups by now are compared, so no close pair is left out.
+    again = distinct.join(candidates, "line").join(groups.withColumnRenamed("id", "line"), "line", "left")
+    again = _block_keys(again.withColumn("component", F.coalesce("component", "line")), "component").repartition("key").sortWithinPartitions("key", "line")
+    again = ordered(again.select(F.col("key").cast("long"), "line", "simhash", "component").mapInArrow(_split_pairs, "u long, v long"))
+    again = _store.table(again.join(pairs, ["u", "v"], "left_anti"), "line-pairs")
+    if not again.isEmpty():
+        groups = components(_verified(again, texts, num, den).union(groups.select("id", "component")))
     named = distinct.join(groups.select(F.col("id").alias("line"), "component"), "line", "left").withColumn("component", F.coalesce("component", "line"))
     kept = named.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).filter("n > 1")
     kept = named.join(kept.drop("n"), "component").select("line", "keep")

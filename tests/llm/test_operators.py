@@ -114,6 +114,24 @@ def test_line_dedup(docs):
     assert line_dedup.dedup_lines(empty(docs)).count() == 0
 
 
+def test_line_dedup_beyond_a_leader(spark):
+    """Lines of one bag of words have one SimHash; whichever leads, similar orders link."""
+    turned = [" ".join(chr(97 + n) * 5 + chr(97 + family) for n in order) for family in range(8) for order in (range(12), [*range(6, 12), *range(6)], [*range(6, 12), *range(4), 5, 4], [11, 10, 9, 8, 7, 6, 0, 5, 1, 4, 2, 3])]
+    df = spark.createDataFrame(list(enumerate(turned)), "doc_id long, text string")
+    gone = {r["doc_id"] for r in line_dedup.dedup_lines(df).collect() if r["text"] == ""}
+    assert gone == {4 * family + 2 for family in range(8)}  # only the second and third order are similar
+
+
+def test_line_postings_across_batches():
+    import pyarrow as pa
+
+    sim = np.array([0, 7, 0b111000, 7 | 0b111000], np.int64)  # 0-7, 0-56, 7-63, 56-63 are close
+    rows = pa.RecordBatch.from_arrays([pa.array([5] * 4), pa.array([1, 2, 3, 4]), pa.array(sim)], ["key", "line", "simhash"])
+    for cut in range(5):
+        got = line_dedup._close_pairs(iter([rows.slice(0, cut), rows.slice(cut)]))
+        assert {frozenset(p.values()) for b in got for p in b.to_pylist()} == {frozenset(p) for p in ((1, 2), (1, 3), (2, 4), (3, 4))}
+
+
 def test_language(spark):
     rows = [(i, text(i, 40) if i % 2 else " ".join(w[::-1] for w in text(i, 40).split()), "up" if i % 2 else "down") for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
