@@ -2,8 +2,10 @@
 
 Lines are normalised, equal ones become one distinct line, and each distinct line gets a 64-bit
 SimHash of its words. Two hashes that differ in at most 3 bits agree in two of five blocks at
-least, so lines meet in ten postings of about 26 bits each (pigeonhole). Within a posting, one
-leader after another is compared with all lines, and a line that has been reached leads no more.
+least, so lines meet in ten postings of about 26 bits each (pigeonhole). A changed word moves more
+bits than that in all but long lines, so lines also meet in twelve bands of four least word hashes
+(MinHash), where their SimHashes may differ in 20 bits: a line with one word of ten replaced keeps
+9 of 11 words and shares a band with probability 0.999. Within a posting, one leader after another is compared with all lines, and a line that has been reached leads no more.
 Pairs are verified by edit similarity of the normalised lines, and verified pairs form connected
 groups. Close lines of a posting that are in different groups then are verified as well. Of each
 group one occurrence stays: the first by document and line.
@@ -25,6 +27,9 @@ from claimworks.llm.components import components
 _U = np.uint64
 BLOCKS = (13, 13, 13, 13, 12)
 BITS = 3
+BANDS, BAND_WORDS = 12, 4
+BAND_BITS = 20  # unrelated lines differ in 32 bits, give or take 4
+_SALTS = _text.mix(np.arange(1, BANDS * BAND_WORDS + 1, dtype=_U)) | _U(1)
 
 _NORMAL = _text.LOWER.copy()  # letters lower-cased, digits to 0, ASCII punctuation to space
 _NORMAL[48:58] = 48
@@ -32,6 +37,16 @@ for _c in (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)):
     _NORMAL[_c] = 32
 
 
+_BANDS = [f"band{n}" for n in range(BANDS)]
+
+
+def _line_hash(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Hash of each row's word hashes in order."""
+    up, down = _text.powers(len(h) + 1)
+    s = _text.sums(h * up[: len(h)])
+    return _text.mix((s[first[1:]] - s[first[:-1]]) * down[first[:-1]] + _U(1))
+
+
 def _line_offsets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Offsets of the lines of all rows, the row of each line, and its number in the row. The
     newline belongs to the line that it ends; a row's text after its last newline is a line."""
@@ -60,9 +75,21 @@ def _simhash(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def _bands(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 26-bit key for each row and band: the least of a row's word hashes under BAND_WORDS orders."""
+    out = np.zeros((BANDS, len(first) - 1), _U)
+    filled = np.flatnonzero(np.diff(first) > 0)
+    if len(filled):
+        for n, salt in enumerate(_SALTS):
+            least = np.minimum.reduceat(h * salt, first[filled])
+            out[n // BAND_WORDS][filled] = _text.mix(out[n // BAND_WORDS][filled] + least)
+    return (out >> _U(38)).astype(np.int32)
+
+
 def lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, line_no (from 0), line (hash of the normalised words), simhash, for each line of at
-    least min_words words."""
+    """doc_id, line_no (from 0), line, fuzzy, simhash and a key for each band, for each line that
+    isn't blank. Lines of at least min_words words are fuzzy, and line is the hash of the normalised
+    words; for others it is the hash of the text between white space as it stands."""
 
     def run(batches):
         for batch in batches:
@@ -70,17 +97,18 @@ def lines(docs: DataFrame, min_words: int) -> DataFrame:
                 at, row, number = _line_offsets(data, offsets)
                 words = _text.Words(_NORMAL[data], at, lower=False)
                 h = words.hash()
-                up, down = _text.powers(len(h) + 1)
-                s = _text.sums(h * up[: len(h)])
-                line = _text.mix((s[words.first[1:]] - s[words.first[:-1]]) * down[words.first[:-1]] + _U(1))
-                keep = np.flatnonzero(np.diff(words.first) >= min_words)
+                line = _line_hash(h, words.first)
+                fuzzy = np.diff(words.first) >= min_words
+                whole = _text.Words(data, at, lower=False)
+                line = np.where(fuzzy, line, _text.mix(~_line_hash(whole.hash(), whole.first)))
+                keep = np.flatnonzero(np.diff(whole.first) > 0)
                 if not len(keep):
                     continue
                 sim = _simhash(h, words.first)
                 doc = batch.column(0).slice(i, j - i).take(pa.array(row[keep]))
-                yield pa.RecordBatch.from_arrays([doc, pa.array(number[keep].astype(np.int32)), pa.array(_text.signed(line[keep])), pa.array(_text.signed(sim[keep]))], ["doc_id", "line_no", "line", "simhash"])
+                yield pa.RecordBatch.from_arrays([doc, pa.array(number[keep].astype(np.int32)), pa.array(_text.signed(line[keep])), pa.array(fuzzy[keep]), pa.array(_text.signed(sim[keep])), *(pa.array(b[keep]) for b in _bands(h, words.first))], ["doc_id", "line_no", "line", "fuzzy", "simhash", *_BANDS])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line_no int, line long, simhash long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line_no int, line long, fuzzy boolean, simhash long" + "".join(f", {b} int" for b in _BANDS))
 
 
 def _normal_lines(docs: DataFrame) -> DataFrame:
@@ -91,10 +119,7 @@ def _normal_lines(docs: DataFrame) -> DataFrame:
             for _, _, data, offsets in _text.chunks(batch.column(1)):
                 at, _, _ = _line_offsets(data, offsets)
                 words = _text.Words(_NORMAL[data], at, lower=False)
-                h = words.hash()
-                up, down = _text.powers(len(h) + 1)
-                s = _text.sums(h * up[: len(h)])
-                line = _text.mix((s[words.first[1:]] - s[words.first[:-1]]) * down[words.first[:-1]] + _U(1))
+                line = _line_hash(words.hash(), words.first)
                 text = [b" ".join(words.data[a:b].tobytes().split()).decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(_text.signed(line)), pa.array(text, pa.string())], ["line", "words"])
 
@@ -102,11 +127,12 @@ def _normal_lines(docs: DataFrame) -> DataFrame:
 
 
 def _block_keys(distinct: DataFrame, *more: str) -> DataFrame:
-    """line, simhash, more columns and one key for each pair of blocks."""
+    """line, simhash, more columns and one key for each pair of blocks and each band."""
     shifts = np.concatenate([[0], np.cumsum(BLOCKS)[:-1]])
     block = [F.shiftrightunsigned("simhash", int(s)).bitwiseAND(F.lit((1 << w) - 1)) for s, w in zip(shifts, BLOCKS, strict=True)]
     keys = [F.shiftleft(block[a], BLOCKS[b]).bitwiseOR(block[b]).bitwiseOR(F.lit(n << 26)).cast("int") for n, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2))]
-    return distinct.select("line", "simhash", *more, F.explode(F.array(*keys)).alias("key"))
+    keys += [F.col(b).bitwiseOR(F.lit(n << 26)).cast("int") for n, b in enumerate(_BANDS, len(keys))]
+    return distinct.filter("fuzzy").select("line", "simhash", *more, F.explode(F.array(*keys)).alias("key"))
 
 
 def _whole_postings(batches):
@@ -129,6 +155,11 @@ def _bounds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.append(begin[1:], len(key))[: len(begin)]
 
 
+def _most_bits(key: np.ndarray) -> np.ndarray:
+    """In how many bits SimHashes of a posting may differ: by its key, of blocks or of a band."""
+    return np.where(key >> 26 < len(BLOCKS) * (len(BLOCKS) - 1) // 2, BITS, BAND_BITS)
+
+
 def _pairs(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
     none = [np.zeros(0, np.int64)]
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(none + u)), pa.array(np.concatenate(none + v))], ["u", "v"])
@@ -136,18 +167,19 @@ def _pairs(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
 
 def _close_pairs(batches):
     """From key, line, simhash sorted by key: (u, v) of one posting whose SimHashes differ in at
-    most BITS bits, where u is a leader."""
+    most _most_bits bits, where u is a leader."""
     for key, line, sim in _whole_postings(batches):
+        sim = sim.view(_U)  # bits of a negative number are those of its absolute value
         begin, end = _bounds(key)
         two = begin[end - begin == 2]
-        near = two[np.bitwise_count(sim[two] ^ sim[two + 1]) <= BITS]
+        near = two[np.bitwise_count(sim[two] ^ sim[two + 1]) <= _most_bits(key[two])]
         u, v = [line[near]], [line[near + 1]]
         more = end - begin > 2
-        for a, b in zip(begin[more], end[more], strict=True):
+        for a, b, most in zip(begin[more], end[more], _most_bits(key[begin[more]]), strict=True):
             free = np.ones(b - a, bool)
             for i in range(b - a):
                 if free[i]:
-                    hit = np.flatnonzero(np.bitwise_count(sim[a:b] ^ sim[a + i]) <= BITS)
+                    hit = np.flatnonzero(np.bitwise_count(sim[a:b] ^ sim[a + i]) <= most)
                     hit = hit[hit != i]
                     free[hit] = False
                     u.append(np.full(len(hit), line[a + i]))
@@ -157,16 +189,17 @@ def _close_pairs(batches):
 
 def _split_pairs(batches):
     """From key, line, simhash, component sorted by key: all (u, v) of one posting in different
-    components whose SimHashes differ in at most BITS bits. Of two components one isn't the
+    components whose SimHashes differ in at most _most_bits bits. Of two components one isn't the
     posting's largest; its lines are compared with all."""
     for key, line, sim, component in _whole_postings(batches):
+        sim = sim.view(_U)  # bits of a negative number are those of its absolute value
         begin, end = _bounds(key)
         u, v = [], []
         split = np.minimum.reduceat(component, begin) != np.maximum.reduceat(component, begin) if len(begin) else np.zeros(0, bool)
-        for a, b in zip(begin[split], end[split], strict=True):
+        for a, b, most in zip(begin[split], end[split], _most_bits(key[begin[split]]), strict=True):
             names, own, n = np.unique(component[a:b], return_inverse=True, return_counts=True)
             for i in np.flatnonzero(own != n.argmax()):
-                hit = np.flatnonzero((np.bitwise_count(sim[a:b] ^ sim[a + i]) <= BITS) & (own != own[i]))
+                hit = np.flatnonzero((np.bitwise_count(sim[a:b] ^ sim[a + i]) <= most) & (own != own[i]))
                 u.append(np.full(len(hit), line[a + i]))
                 v.append(line[a + hit])
         yield _pairs(u, v)
@@ -186,7 +219,7 @@ def duplicate_lines(docs: DataFrame, num: int = 80, den: int = 100, min_words: i
     """doc_id and drop, the sorted line numbers that another occurrence stands for."""
     found = _store.table(lines(docs.filter("doc_id is not null"), min_words), "lines")
     place = F.struct("doc_id", "line_no")
-    distinct = found.groupBy("line").agg(F.first("simhash").alias("simhash"), F.min(place).alias("first"), F.count("*").alias("n"))
+    distinct = found.groupBy("line").agg(*[F.first(c).alias(c) for c in ("fuzzy", "simhash", *_BANDS)], F.min(place).alias("first"), F.count("*").alias("n"))
     distinct = _store.table(distinct, "distinct-lines")
     ordered = lambda pairs: pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     postings = _block_keys(distinct).repartition("key").sortWithinPartitions("key", "line")
@@ -205,6 +238,7 @@ def duplicate_lines(docs: DataFrame, num: int = 80, den: int = 100, min_words: i
     again = _store.table(again.join(pairs, ["u", "v"], "left_anti"), "line-pairs")
     if not again.isEmpty():
         groups = components(_verified(again, texts, num, den).union(groups.select("id", "component")))
+    distinct = distinct.select("line", "first", "n")
     named = distinct.join(groups.select(F.col("id").alias("line"), "component"), "line", "left").withColumn("component", F.coalesce("component", "line"))
     kept = named.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).filter("n > 1")
     kept = named.join(kept.drop("n"), "component").select("line", "keep")
@@ -216,9 +250,10 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, min_words: int =
     """docs with duplicate lines removed from text, and a column `lines`: (n_lines, n_removed).
 
     Lines are separated by newlines. Normalised, A-Z are lower-cased, digits are 0, ASCII
-    punctuation is space, and runs of space are one. Lines of fewer than min_words words stay.
-    Lines link if 1 - edit distance / longer length >= num / den (characters of the normalised
-    lines) and their SimHashes differ in at most 3 bits; equal normalised lines always do. The
+    punctuation is space, and runs of space are one. Lines of fewer than min_words words link with those of the
+    same text only (but for white space); blank lines stay. Other lines link if 1 - edit distance /
+    longer length >= num / den (characters of the normalised lines) and their SimHashes differ in at
+    most 3 bits, or in at most 20 and they share a band; equal normalised lines always do. The
     occurrence with the smallest (doc_id, line number) of a group stays. All rows stay, a text may
     become empty; null texts stay null with 0 lines. Rows that share an id lose the same lines.
     Rows with a null id lose nothing. Empty tables give no rows.

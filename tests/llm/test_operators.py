@@ -132,6 +132,20 @@ def test_line_postings_across_batches():
         assert {frozenset(p.values()) for b in got for p in b.to_pylist()} == {frozenset(p) for p in ((1, 2), (1, 3), (2, 4), (3, 4))}
 
 
+def test_line_dedup_changed_words_and_short_lines(spark):
+    r = np.random.default_rng(7)
+    word = lambda: "".join(chr(97 + c) for c in r.integers(0, 26, 6))
+    rows = []
+    for n in (10, 20, 30, 50) * 5:
+        line = [word() for _ in range(n)]
+        other = line.copy()
+        other[n // 2] = word()
+        rows += [" ".join(line), " ".join(other)]
+    df = spark.createDataFrame(list(enumerate([*rows, "Short one", " Short one", "Page 3", "Page 4", " \n\t"])), "doc_id long, text string")
+    gone = {x["doc_id"] for x in line_dedup.dedup_lines(df).collect() if x["lines"]["n_removed"]}
+    assert gone == {*range(1, 40, 2), 41}
+
+
 def test_language(spark):
     rows = [(i, text(i, 40) if i % 2 else " ".join(w[::-1] for w in text(i, 40).split()), "up" if i % 2 else "down") for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
