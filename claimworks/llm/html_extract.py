@@ -2,7 +2,8 @@
 
 Tokens of a page are its tags, told apart by their path, and its blocks of text, told apart by path
 and content. A token's occurrence vector over the pages of its host is kept as a hash that is
-combined on the map side, so no host's pages ever meet in one task. Tokens of a host with the same
+combined on the map side, so no host's pages ever meet in one task; copies of a page count once.
+Tokens of a host with the same
 vector form an equivalence class. A class is valid if it occurs on `support` pages at least and
 holds a tag; it belongs to the template if the class of the tag that encloses it does, or it is on
 the outermost level. What remains of a page besides its template's text are the slots. The article
@@ -126,13 +127,14 @@ def host(url: str | None) -> str:
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """host, token, parent (the enclosing tag's token), is_tag, n (occurrences), page (a hash)."""
+    """host, token, parent (the enclosing tag's token), is_tag, n (occurrences), page (a hash of
+    its html, the same for copies)."""
 
     def run(batches):
         for batch in batches:
             columns: list[list] = [[] for _ in range(6)]
-            for page_id, url, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                name, key = host(url), _crc(f"{page_id} {url}")
+            for url, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                name, key = host(url), _crc(page or "")
                 found, paths = blocks(page or "")
                 count: dict[tuple, int] = {}
                 for p in paths:
@@ -146,13 +148,14 @@ def tokens(pages: DataFrame) -> DataFrame:
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], ["host", "token", "parent", "is_tag", "n", "page"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "host string, token long, parent long, is_tag boolean, n long, page long")
+    return pages.select("url", "html").mapInArrow(run, "host string, token long, parent long, is_tag boolean, n long, page long")
 
 
 def template(pages: DataFrame, support: int = 3) -> DataFrame:
     """host, token, is_tag, class, pages: the tokens of each host's template. A token belongs to
     the class of its occurrence vector; classes nest by the class of the enclosing tag."""
-    found = tokens(pages)
+    # Copies of a page count once: else a host of copies would be all template.
+    found = tokens(pages).groupBy("host", "token", "page").agg(F.max("n").alias("n"), F.min("parent").alias("parent"), F.max("is_tag").alias("is_tag"))
     each = found.groupBy("host", "token").agg(F.bit_xor(F.xxhash64("page", "n")).alias("class"), F.count("*").alias("pages"), F.min("parent").alias("parent"), F.max("is_tag").alias("is_tag"))
     each = _store.table(each.filter(F.col("pages") >= support), "template-tokens")
     tags = each.filter("is_tag")
@@ -171,7 +174,7 @@ def extract(pages: DataFrame, support: int = 3, most_hosts: int = 20_000) -> Dat
     A null or empty html has an empty text. Blocks are joined in page order by one space. Within an
     article element nothing but what is marked as menu, advert, form, comments or the like is left
     out; on a page without one, template text is left out too. A host with fewer than `support`
-    pages has no template; a page without a host shares one with the others without. Up to
+    different pages has no template; a page without a host shares one with the others without. Up to
     most_hosts hosts the template text is broadcast (at most a few tokens a host, as their number is
     bounded by the blocks of a page); beyond that pages and templates are joined. Other columns are
     ignored. An empty table gives no rows.

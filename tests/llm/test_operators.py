@@ -192,6 +192,14 @@ def test_html(spark):
     assert {r["page_id"]: r["text"] for r in html_extract.extract(df, most_hosts=0).collect()} == got
 
 
+def test_html_of_copies(spark):
+    rows = [(i, "http://copies.example/x", f"<html><body><div>Only {'text' if i < 4 else 'words'}</div></body></html>") for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()} == {i: f"Only {'text' if i < 4 else 'words'}" for i in range(6)}
+    same = df.filter("page_id < 4")
+    assert {r["text"] for r in html_extract.extract(same).collect()} == {"Only text"}
+
+
 def test_metric_topk(spark):
     r = np.random.default_rng(1)
     x = np.round(r.normal(size=(400, 6)), 2)
