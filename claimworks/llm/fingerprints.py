@@ -21,7 +21,7 @@ from pyspark.sql.functions import pandas_udf
 from claimworks.llm import _text
 
 _U = np.uint64
-FRACTION = 1 / 64
+FRACTION = 1 / 8
 LEAST = 64
 WIDTH = 8  # characters in a shingle
 FULL = 2**64 - 1
@@ -70,12 +70,13 @@ class Sketch:
         limit = min(self.limit, other.limit)
         return Sketch(limit, np.union1d(self.below(limit), other.below(limit)))
 
-    def containment(self, other: Sketch) -> float:
-        """The share of this text's shingles that the other has; 1 for two empty texts."""
+    def containment(self, other: Sketch) -> float | None:
+        """The share of this text's shingles that the other has; 1 for two empty texts, None if
+        none of this text's hashes is below both limits, so that nothing is known."""
         limit = min(self.limit, other.limit)
         a, b = self.below(limit), other.below(limit)
         if not len(a):
-            return float(not len(self.hashes) and not len(other.hashes))
+            return None if len(self.hashes) else float(not len(other.hashes))
         return len(np.intersect1d(a, b, assume_unique=True)) / len(a)
 
 
@@ -97,7 +98,7 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     The next document is the one with the next smaller doc_id, after the smallest the largest one;
     a null id comes last, rows with equal ids follow in the order of their texts (null: empty), a
     single row is next to itself. near_* is the share of the document's shingles (8 characters)
-    that the other text has, estimated from the fingerprints.
+    that the other text has, estimated from the fingerprints; null if they have nothing to tell.
 
     Rows are dealt into ranges of ids, each with one more row, the first of the range after it, so
     every document meets its next one in a single shuffle. ranges is the number of groups
@@ -130,7 +131,7 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         def flush():
             ids, n, sha, a, b, x, y = zip(*out, strict=True)
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sha), pa.array(a), pa.array(b), pa.array(x), pa.array(y)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sha), pa.array(a), pa.array(b), pa.array(x, pa.float64()), pa.array(y, pa.float64())], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
         for batch in batches:
             for doc, text, end in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):

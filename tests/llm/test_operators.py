@@ -180,6 +180,17 @@ def test_fingerprints(docs):
     assert fingerprints.fingerprints(empty(docs)).count() == 0
 
 
+def test_fingerprints_of_unequal_texts():
+    r = np.random.default_rng(3)
+    letters = lambda n: "".join(chr(97 + c) for c in r.integers(0, 26, n))
+    for _ in range(40):
+        long = letters(9000)
+        assert fingerprints.Sketch.of(long[500:607]).containment(fingerprints.Sketch.of(long)) == 1.0
+    ordinary = fingerprints.Sketch.of(letters(2000))
+    assert ordinary.limit == 2**61 and len(ordinary.hashes) > 150  # the fixed fraction, not the smallest 64
+    assert fingerprints.Sketch(2**60, np.array([2**59], np.uint64)).containment(fingerprints.Sketch(2**58, np.array([], np.uint64))) is None
+
+
 def test_html(spark):
     def page(i):
         return f'<html><head><title>t</title></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy</div><article><h1>Title {i}</h1><p>One &amp; two<br>three<p>{text(i, 9)}</article><section id="comments"><article>No!</article></section><footer>&copy; x</footer>'
