@@ -29,7 +29,17 @@ def table(df: DataFrame, name: str) -> DataFrame:
     lost executor costs nothing that was computed before, and several readers share one run."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._claimworks_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `table` has written, once nothing that is still to be computed reads them."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t._claimworks_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -37,7 +37,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     before, edges = None, _store.table(edges, "edges")
     for _ in range(most):
-        edges = _store.table(_small_star(_large_star(edges)), "edges")
+        last, edges = edges, _store.table(_small_star(_large_star(edges)), "edges")
+        _store.discard(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         if now == before:
             roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()

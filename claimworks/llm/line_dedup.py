@@ -1,11 +1,12 @@
 """Fuzzy line de-duplication.
 
 Lines are normalised, equal ones become one distinct line, and each distinct line gets a 64-bit
-SimHash of its words. Two hashes that differ in at most 3 bits agree in two of five blocks at
-least, so lines meet in ten postings of about 26 bits each (pigeonhole). A changed word moves more
-bits than that in all but long lines, so lines also meet in twelve bands of four least word hashes
-(MinHash), where their SimHashes may differ in 20 bits: a line with one word of ten replaced keeps
-9 of 11 words and shares a band with probability 0.999. Within a posting, one leader after another is compared with all lines, and a line that has been reached leads no more.
+SimHash of its words. Two hashes that differ in at most 2 bits agree in two of four blocks at
+least, so lines meet in six postings of 32 bits each (pigeonhole). A changed word moves more bits
+than that in all but long lines, so lines also meet in ten bands of four least word hashes
+(MinHash), where their SimHashes may differ in 20 bits. Words of five bytes and more weigh eight
+times as much there, else lines would meet by the few words that all lines share. Within a posting,
+one leader after another is compared with all lines, and a line that has been reached leads no more.
 Pairs are verified by edit similarity of the normalised lines, and verified pairs form connected
 groups. Close lines of a posting that are in different groups then are verified as well. Of each
 group one occurrence stays: the first by document and line.
@@ -13,6 +14,7 @@ group one occurrence stays: the first by document and line.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from itertools import combinations
 
 import numpy as np
@@ -25,9 +27,10 @@ from claimworks.llm import _store, _text
 from claimworks.llm.components import components
 
 _U = np.uint64
-BLOCKS = (13, 13, 13, 13, 12)
-BITS = 3
-BANDS, BAND_WORDS = 12, 4
+BLOCKS = 4  # of 16 bits
+BITS = 2
+BANDS, BAND_WORDS = 10, 4
+LONG = 5  # bytes of a word that weighs more in the bands
 BAND_BITS = 20  # unrelated lines differ in 32 bits, give or take 4
 _SALTS = _text.mix(np.arange(1, BANDS * BAND_WORDS + 1, dtype=_U)) | _U(1)
 
@@ -38,6 +41,7 @@ for _c in (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)):
 
 
 _BANDS = [f"band{n}" for n in range(BANDS)]
+_PAIRS = tuple(combinations(range(BLOCKS), 2))
 
 
 def _line_hash(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -61,29 +65,35 @@ def _line_offsets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _simhash(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """SimHash of each row's word hashes; 0 for a row without words."""
+    """SimHash of each row's word hashes; 0 for a row without words. Bits are counted eight at a
+    time in the bytes of one number, over at most 255 words, so that no byte overflows."""
     out = np.zeros(len(first) - 1, _U)
-    filled = np.flatnonzero(np.diff(first) > 0)
-    step = 1 << 15
-    for a in range(0, len(filled), step):
-        part = filled[a : a + step]
-        lo, hi = first[part[0]], first[part[-1] + 1]
-        bits = np.unpackbits(h[lo:hi].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, first[part] - lo, axis=0, dtype=np.int32)
-        n = (first[part + 1] - first[part])[:, None]
-        out[part] = np.packbits(2 * ones > n, axis=1, bitorder="little").view(_U).ravel()
+    n = np.diff(first)
+    filled = np.flatnonzero(n > 0)
+    if not len(filled):
+        return out
+    runs = -(-n[filled] // 255)
+    begins = np.cumsum(runs) - runs
+    starts = np.repeat(first[filled], runs) + 255 * (np.arange(runs.sum()) - np.repeat(begins, runs))
+    ones = np.zeros((len(filled), 8, 8), bool)
+    for bit in range(8):
+        counts = np.add.reduceat((h >> _U(bit)) & _U(0x0101010101010101), starts).view(np.uint8).reshape(-1, 8)
+        ones[:, :, bit] = 2 * np.add.reduceat(counts, begins, axis=0, dtype=np.int64) > n[filled, None]
+    out[filled] = np.packbits(ones.reshape(len(filled), 64), axis=1, bitorder="little").view(_U).ravel()
     return out
 
 
-def _bands(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 26-bit key for each row and band: the least of a row's word hashes under BAND_WORDS orders."""
+def _bands(h: np.ndarray, length: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 32-bit key for each row and band: the least of a row's word hashes under BAND_WORDS orders,
+    in which long words come earlier."""
     out = np.zeros((BANDS, len(first) - 1), _U)
     filled = np.flatnonzero(np.diff(first) > 0)
     if len(filled):
+        shift = np.where(length >= LONG, _U(3), _U(0))
         for n, salt in enumerate(_SALTS):
-            least = np.minimum.reduceat(h * salt, first[filled])
+            least = np.minimum.reduceat((h * salt) >> shift, first[filled])
             out[n // BAND_WORDS][filled] = _text.mix(out[n // BAND_WORDS][filled] + least)
-    return (out >> _U(38)).astype(np.int32)
+    return (out >> _U(32)).astype(np.uint32).view(np.int32)
 
 
 def lines(docs: DataFrame, min_words: int) -> DataFrame:
@@ -106,7 +116,7 @@ def lines(docs: DataFrame, min_words: int) -> DataFrame:
                     continue
                 sim = _simhash(h, words.first)
                 doc = batch.column(0).slice(i, j - i).take(pa.array(row[keep]))
-                yield pa.RecordBatch.from_arrays([doc, pa.array(number[keep].astype(np.int32)), pa.array(_text.signed(line[keep])), pa.array(fuzzy[keep]), pa.array(_text.signed(sim[keep])), *(pa.array(b[keep]) for b in _bands(h, words.first))], ["doc_id", "line_no", "line", "fuzzy", "simhash", *_BANDS])
+                yield pa.RecordBatch.from_arrays([doc, pa.array(number[keep].astype(np.int32)), pa.array(_text.signed(line[keep])), pa.array(fuzzy[keep]), pa.array(_text.signed(sim[keep])), *(pa.array(b[keep]) for b in _bands(h, words.end - words.start, words.first))], ["doc_id", "line_no", "line", "fuzzy", "simhash", *_BANDS])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line_no int, line long, fuzzy boolean, simhash long" + "".join(f", {b} int" for b in _BANDS))
 
@@ -127,11 +137,11 @@ def _normal_lines(docs: DataFrame) -> DataFrame:
 
 
 def _block_keys(distinct: DataFrame, *more: str) -> DataFrame:
-    """line, simhash, more columns and one key for each pair of blocks and each band."""
-    shifts = np.concatenate([[0], np.cumsum(BLOCKS)[:-1]])
-    block = [F.shiftrightunsigned("simhash", int(s)).bitwiseAND(F.lit((1 << w) - 1)) for s, w in zip(shifts, BLOCKS, strict=True)]
-    keys = [F.shiftleft(block[a], BLOCKS[b]).bitwiseOR(block[b]).bitwiseOR(F.lit(n << 26)).cast("int") for n, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2))]
-    keys += [F.col(b).bitwiseOR(F.lit(n << 26)).cast("int") for n, b in enumerate(_BANDS, len(keys))]
+    """line, simhash, more columns and one key for each pair of blocks and each band: its number
+    above 32 bits of content."""
+    block = [F.shiftrightunsigned("simhash", 16 * n).bitwiseAND(F.lit(0xFFFF)) for n in range(BLOCKS)]
+    keys = [F.lit(n << 32) + F.shiftleft(block[a], 16) + block[b] for n, (a, b) in enumerate(_PAIRS)]
+    keys += [F.lit(n << 32) + F.col(b).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)) for n, b in enumerate(_BANDS, len(keys))]
     return distinct.filter("fuzzy").select("line", "simhash", *more, F.explode(F.array(*keys)).alias("key"))
 
 
@@ -157,7 +167,7 @@ def _bounds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _most_bits(key: np.ndarray) -> np.ndarray:
     """In how many bits SimHashes of a posting may differ: by its key, of blocks or of a band."""
-    return np.where(key >> 26 < len(BLOCKS) * (len(BLOCKS) - 1) // 2, BITS, BAND_BITS)
+    return np.where(key >> 32 < len(_PAIRS), BITS, BAND_BITS)
 
 
 def _pairs(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch:
@@ -205,25 +215,113 @@ def _split_pairs(batches):
         yield _pairs(u, v)
 
 
+def _characters(line: str) -> np.ndarray:
+    return np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _distance_within(a: str, b: str, allowed: int) -> bool:
+    """Whether the edit distance is at most `allowed`: bit-parallel columns of the distance matrix
+    (differences of +1 and -1 as bits of two numbers), given up when the rest can't bring it back."""
+    rows = len(a)
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full, top = (1 << rows) - 1, 1 << (rows - 1)
+    up, down, d, left = full, 0, rows, len(b)
+    for c in b:
+        same = at.get(c, 0)
+        x = same | down
+        diagonal = ((((x & up) + up) ^ up) | x) & full
+        right = down | (full & ~(diagonal | up))
+        drop = up & diagonal
+        if right & top:
+            d += 1
+        elif drop & top:
+            d -= 1
+        left -= 1
+        if d - left > allowed:
+            return False
+        right, drop = (right << 1) | 1, drop << 1
+        up = (drop | (full & ~(diagonal | right))) & full
+        down = right & diagonal & full
+    return d <= allowed
+
+
+def similar(a: str, b: str, num: int, den: int) -> bool:
+    """Whether 1 - edit distance / longer length >= num / den. What both lines begin and end with
+    is left out first; an alignment at common words accepts most of what remains."""
+    allowed = max(len(a), len(b)) * (den - num) // den
+    if abs(len(a) - len(b)) > allowed:
+        return False
+    x, y = _characters(a), _characters(b)
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(x[:n] != y[:n])
+    begin = int(differ[0]) if len(differ) else n
+    differ = np.flatnonzero(x[begin:][::-1][: n - begin] != y[begin:][::-1][: n - begin])
+    end = int(differ[0]) if len(differ) else n - begin
+    a, b = a[begin : len(a) - end], b[begin : len(b) - end]
+    if max(len(a), len(b)) <= allowed:
+        return True
+    if _aligned(a, b) <= allowed:
+        return True
+    return _distance_within(a, b, allowed) if min(len(a), len(b)) else False
+
+
+def _aligned(a: str, b: str) -> int:
+    """An upper bound of the edit distance: words that occur once in each line are matched where
+    they are in the same order, and what lies between two of them is replaced."""
+
+    def once(line):
+        found, place = {}, 0
+        for word in line.split(" "):
+            found[word] = None if word in found else place
+            place += len(word) + 1
+        return found
+
+    first, second = once(a), once(b)
+    common = [(p, second[w], len(w)) for w, p in first.items() if p is not None and second.get(w) is not None]
+    ends: list[int] = []  # longest increasing run of places in b
+    chain: list[int] = []
+    before = [-1] * len(common)
+    for k, (_, q, _) in enumerate(common):
+        j = bisect_left(ends, q)
+        before[k] = chain[j - 1] if j else -1
+        if j == len(ends):
+            ends.append(q)
+            chain.append(k)
+        else:
+            ends[j], chain[j] = q, k
+    k, total, p_end, q_end = (chain[-1] if chain else -1), 0, len(a), len(b)
+    while k >= 0:
+        p, q, n = common[k]
+        total += max(p_end - p - n, q_end - q - n)
+        p_end, q_end, k = p, q, before[k]
+    return total + max(p_end, q_end)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose lines have the edit similarity."""
     checked = pairs.join(texts.select(F.col("line").alias("u"), F.col("words").alias("a")), "u").join(texts.select(F.col("line").alias("v"), F.col("words").alias("b")), "v")
-    longest = F.greatest(F.length("a"), F.length("b"))
-    allowed = F.floor(longest * (den - num) / den).cast("int")
-    # Most pairs differ in a few characters: a narrow band settles them, the full one the rest.
-    checked = checked.withColumn("allowed", allowed).filter(F.expr("CASE WHEN levenshtein(a, b, least(allowed, 24)) >= 0 THEN true ELSE levenshtein(a, b, allowed) >= 0 END"))
-    return checked.select("u", "v")
+
+    def run(batches):
+        for batch in batches:
+            good = [similar(a, b, num, den) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    return checked.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def duplicate_lines(docs: DataFrame, num: int = 80, den: int = 100, min_words: int = 5) -> DataFrame:
-    """doc_id and drop, the sorted line numbers that another occurrence stands for."""
-    found = _store.table(lines(docs.filter("doc_id is not null"), min_words), "lines")
+    """doc_id and drop, the sorted line numbers that another occurrence stands for, as a table."""
+    signed = _store.table(lines(docs.filter("doc_id is not null"), min_words), "line-signatures")
     place = F.struct("doc_id", "line_no")
-    distinct = found.groupBy("line").agg(*[F.first(c).alias(c) for c in ("fuzzy", "simhash", *_BANDS)], F.min(place).alias("first"), F.count("*").alias("n"))
+    distinct = signed.groupBy("line").agg(*[F.first(c).alias(c) for c in ("fuzzy", "simhash", *_BANDS)], F.min(place).alias("first"), F.count("*").alias("n"))
     distinct = _store.table(distinct, "distinct-lines")
+    found = _store.table(signed.select("doc_id", "line_no", "line"), "lines")
+    _store.discard(signed)
     ordered = lambda pairs: pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     postings = _block_keys(distinct).repartition("key").sortWithinPartitions("key", "line")
-    pairs = postings.select(F.col("key").cast("long"), "line", "simhash").mapInArrow(_close_pairs, "u long, v long")
+    pairs = postings.select("key", "line", "simhash").mapInArrow(_close_pairs, "u long, v long")
     pairs = _store.table(ordered(pairs), "line-pairs")
     candidates = pairs.select(F.col("u").alias("line")).union(pairs.select(F.col("v").alias("line"))).distinct()
     candidates = _store.table(candidates, "candidates")
@@ -234,48 +332,53 @@ def duplicate_lines(docs: DataFrame, num: int = 80, den: int = 100, min_words: i
     # meet again, and those in different groups by now are compared, so no close pair is left out.
     again = distinct.join(candidates, "line").join(groups.withColumnRenamed("id", "line"), "line", "left")
     again = _block_keys(again.withColumn("component", F.coalesce("component", "line")), "component").repartition("key").sortWithinPartitions("key", "line")
-    again = ordered(again.select(F.col("key").cast("long"), "line", "simhash", "component").mapInArrow(_split_pairs, "u long, v long"))
+    again = ordered(again.select("key", "line", "simhash", "component").mapInArrow(_split_pairs, "u long, v long"))
     again = _store.table(again.join(pairs, ["u", "v"], "left_anti"), "line-pairs")
     if not again.isEmpty():
         groups = components(_verified(again, texts, num, den).union(groups.select("id", "component")))
-    distinct = distinct.select("line", "first", "n")
-    named = distinct.join(groups.select(F.col("id").alias("line"), "component"), "line", "left").withColumn("component", F.coalesce("component", "line"))
+    named = distinct.select("line", "first", "n").join(groups.select(F.col("id").alias("line"), "component"), "line", "left").withColumn("component", F.coalesce("component", "line"))
     kept = named.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).filter("n > 1")
     kept = named.join(kept.drop("n"), "component").select("line", "keep")
     gone = found.join(kept, "line").filter(place != F.col("keep"))
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("drop"))
+    drop = _store.table(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("drop")), "drop")  # line numbers of one document
+    _store.discard(distinct, found, pairs, candidates, texts, again)
+    return drop
 
 
-def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, min_words: int = 5) -> DataFrame:
-    """docs with duplicate lines removed from text, and a column `lines`: (n_lines, n_removed).
+def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, min_words: int = 5, counts: str | None = "lines") -> DataFrame:
+    """docs with duplicate lines removed from text, and a column named by `counts`, if it isn't None:
+    (n_lines, n_removed). A column of docs with that name gives way; any other name may occur.
 
     Lines are separated by newlines. Normalised, A-Z are lower-cased, digits are 0, ASCII
     punctuation is space, and runs of space are one. Lines of fewer than min_words words link with those of the
     same text only (but for white space); blank lines stay. Other lines link if 1 - edit distance /
     longer length >= num / den (characters of the normalised lines) and their SimHashes differ in at
-    most 3 bits, or in at most 20 and they share a band; equal normalised lines always do. The
+    most 2 bits, or in at most 20 and they share a band; equal normalised lines always do. The
     occurrence with the smallest (doc_id, line number) of a group stays. All rows stay, a text may
     become empty; null texts stay null with 0 lines. Rows that share an id lose the same lines.
     Rows with a null id lose nothing. Empty tables give no rows.
     """
-    drop = _store.table(duplicate_lines(docs.select(F.col("doc_id").cast("long"), "text"), num, den, min_words), "drop")
-    drop = drop.select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
-    rows = docs.join(drop.hint("merge"), docs["doc_id"] == F.col("__id"), "left").drop("__id")
+    drop = duplicate_lines(docs.select(F.col("doc_id").cast("long"), "text"), num, den, min_words)
     names, at = docs.columns, docs.columns.index("text")
+    labels = [f"c{k}" for k in range(len(names))]  # so that no name clashes below
+    plain = docs.toDF(*labels)
+    rows = plain.join(drop.select(F.col("doc_id").alias("id"), "drop").hint("merge"), plain[f"c{names.index('doc_id')}"] == F.col("id"), "left").drop("id")
 
     def run(batches):
         for batch in batches:
-            out, counts = [], []
+            out, numbers = [], []
             for text, gone in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 parts = [] if text is None else text.split("\n")
                 if gone:
                     skip = set(gone)
                     text = "\n".join(x for k, x in enumerate(parts) if k not in skip)
                 out.append(text)
-                counts.append({"n_lines": len(parts), "n_removed": len(gone or ())})
+                numbers.append({"n_lines": len(parts), "n_removed": len(gone or ())})
             columns = [pa.array(out, pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
             kind = pa.struct([("n_lines", pa.int64()), ("n_removed", pa.int64())])
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, kind)], [*names, "lines"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(numbers, kind)], [*labels, "counts"])
 
-    counts = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lines", counts)]))
+    kind = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    done = rows.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("counts", kind)]))
+    kept = [F.col(f"c{k}").alias(n) for k, n in enumerate(names) if counts is None or n.lower() != counts.lower()]
+    return done.select(*kept, *([F.col("counts").alias(counts)] if counts else []))
