@@ -22,7 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go from the texts; documents stay, if need be with an empty text."""
-    out = line_dedup.dedup_lines(docs).drop("lines")
+    out = line_dedup.dedup_lines(docs, counts=None)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
