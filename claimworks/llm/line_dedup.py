@@ -4,12 +4,13 @@ Lines are normalised, equal ones become one distinct line, and each distinct lin
 SimHash of its words. Two hashes that differ in at most 2 bits agree in two of four blocks at
 least, so lines meet in six postings of 32 bits each (pigeonhole). A changed word moves more bits
 than that in all but long lines, so lines also meet in ten bands of four least word hashes
-(MinHash), where their SimHashes may differ in 20 bits. Words of five bytes and more weigh eight
+(MinHash), where their SimHashes may differ in 15 bits. Words of five bytes and more weigh eight
 times as much there, else lines would meet by the few words that all lines share. Within a posting,
 one leader after another is compared with all lines, and a line that has been reached leads no more.
 Pairs are verified by edit similarity of the normalised lines, and verified pairs form connected
-groups. Close lines of a posting that are in different groups then are verified as well. Of each
-group one occurrence stays: the first by document and line.
+groups. Where a posting's lines are in several groups then, they meet again with their texts: the
+close ones of different groups are verified there, nearest first, until all that can be are joined.
+Of each group one occurrence stays: the first by document and line.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +33,7 @@ BLOCKS = 4  # of 16 bits
 BITS = 2
 BANDS, BAND_WORDS = 10, 4
 LONG = 5  # bytes of a word that weighs more in the bands
-BAND_BITS = 20  # unrelated lines differ in 32 bits, give or take 4
+BAND_BITS = 15  # one word of ten changed moves 9.5 bits, give or take 3; unrelated lines differ in 32
 _SALTS = _text.mix(np.arange(1, BANDS * BAND_WORDS + 1, dtype=_U)) | _U(1)
 
 _NORMAL = _text.LOWER.copy()  # letters lower-cased, digits to 0, ASCII punctuation to space
@@ -109,9 +111,14 @@ def lines(docs: DataFrame, min_words: int) -> DataFrame:
                 h = words.hash()
                 line = _line_hash(h, words.first)
                 fuzzy = np.diff(words.first) >= min_words
-                whole = _text.Words(data, at, lower=False)
-                line = np.where(fuzzy, line, _text.mix(~_line_hash(whole.hash(), whole.first)))
-                keep = np.flatnonzero(np.diff(whole.first) > 0)
+                short = np.flatnonzero(~fuzzy)
+                size = np.diff(at)
+                rest = data[np.repeat(~fuzzy, size)]
+                whole = _text.Words(rest, np.concatenate([[0], np.cumsum(size[short])]), lower=False)
+                line[short] = _text.mix(~_line_hash(whole.hash(), whole.first))
+                fuzzy_or_filled = fuzzy.copy()
+                fuzzy_or_filled[short] = np.diff(whole.first) > 0
+                keep = np.flatnonzero(fuzzy_or_filled)
                 if not len(keep):
                     continue
                 sim = _simhash(h, words.first)
@@ -122,16 +129,21 @@ def lines(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def _normal_lines(docs: DataFrame) -> DataFrame:
-    """line, words (the normalised line) of all lines."""
+    """line, words (the normalised line) of all lines, each once a chunk."""
 
     def run(batches):
         for batch in batches:
             for _, _, data, offsets in _text.chunks(batch.column(1)):
-                at, _, _ = _line_offsets(data, offsets)
+                at, row, _ = _line_offsets(data, offsets)
                 words = _text.Words(_NORMAL[data], at, lower=False)
-                line = _line_hash(words.hash(), words.first)
-                text = [b" ".join(words.data[a:b].tobytes().split()).decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(_text.signed(line)), pa.array(text, pa.string())], ["line", "words"])
+                line, first = np.unique(_line_hash(words.hash(), words.first), return_index=True)
+                kept = np.zeros(len(data) + 1, bool)
+                kept[:-1] = ~_text.SPACE[words.data]
+                kept[words.end[:-1][words.doc[1:] == words.doc[:-1]]] = True  # one space between two words
+                ends = np.concatenate([[0], np.cumsum(kept[:-1])])[at]
+                text = np.where(_text.SPACE[words.data], np.uint8(32), words.data)[kept[:-1]]
+                every = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(text.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(_text.signed(line)), every.take(pa.array(first)).cast(pa.string())], ["line", "words"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "line long, words string")
 
@@ -149,7 +161,7 @@ def _whole_postings(batches):
     """The columns of rows sorted by key, cut where a posting ends."""
     carried = None
     for batch in batches:
-        columns = [c.to_numpy() for c in batch.columns]
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if carried:
             columns = [np.concatenate(c) for c in zip(carried, columns, strict=True)]
         if len(columns[0]):
@@ -197,40 +209,50 @@ def _close_pairs(batches):
         yield _pairs(u, v)
 
 
-def _split_pairs(batches):
-    """From key, line, simhash, component sorted by key: all (u, v) of one posting in different
-    components whose SimHashes differ in at most _most_bits bits. Of two components one isn't the
-    posting's largest; its lines are compared with all."""
-    for key, line, sim, component in _whole_postings(batches):
-        sim = sim.view(_U)  # bits of a negative number are those of its absolute value
-        begin, end = _bounds(key)
-        u, v = [], []
-        split = np.minimum.reduceat(component, begin) != np.maximum.reduceat(component, begin) if len(begin) else np.zeros(0, bool)
-        for a, b, most in zip(begin[split], end[split], _most_bits(key[begin[split]]), strict=True):
-            names, own, n = np.unique(component[a:b], return_inverse=True, return_counts=True)
-            for i in np.flatnonzero(own != n.argmax()):
-                hit = np.flatnonzero((np.bitwise_count(sim[a:b] ^ sim[a + i]) <= most) & (own != own[i]))
-                u.append(np.full(len(hit), line[a + i]))
-                v.append(line[a + hit])
-        yield _pairs(u, v)
+def _joins(num: int, den: int):
+    def run(batches):
+        """From key, line, simhash, component, words sorted by key: (u, v), components of one posting
+        that a similar pair of close lines joins. Of two components one isn't the posting's largest;
+        its lines are compared with all that aren't joined to them yet."""
+        for key, sim, component, words in _whole_postings(batches):
+            sim = sim.view(_U)  # bits of a negative number are those of its absolute value
+            begin, end = _bounds(key)
+            u, v = [], []
+            for a, b, most in zip(begin, end, _most_bits(key[begin]), strict=True):
+                names, own, n = np.unique(component[a:b], return_inverse=True, return_counts=True)
+                length = np.array([len(x) for x in words[a:b]])
+                for i in np.flatnonzero(own != n.argmax()):
+                    bits = np.bitwise_count(sim[a:b] ^ sim[a + i])
+                    longest = np.maximum(length, length[i])
+                    hit = np.flatnonzero((bits <= most) & (own != own[i]) & (np.abs(length - length[i]) * den <= longest * (den - num)))
+                    for j in hit[np.argsort(bits[hit], kind="stable")]:
+                        if own[j] != own[i] and similar(words[a + i], words[a + j], num, den):
+                            u.append(component[a + i])
+                            v.append(component[a + j])
+                            own[own == own[j]] = own[i]
+            yield _pairs([np.array(u, np.int64)], [np.array(v, np.int64)])
+
+    return run
 
 
 def _characters(line: str) -> np.ndarray:
     return np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def _distance_within(a: str, b: str, allowed: int) -> bool:
-    """Whether the edit distance is at most `allowed`: bit-parallel columns of the distance matrix
-    (differences of +1 and -1 as bits of two numbers), given up when the rest can't bring it back."""
+def _distance(a: str, b: str, allowed: int) -> int:
+    """The edit distance, or more than `allowed` if it is more: bit-parallel columns of the distance
+    matrix (differences of +1 and -1 as bits of two numbers), given up when the rest can't bring it
+    back."""
     rows = len(a)
+    if not rows:
+        return len(b)
     at: dict[str, int] = {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
     full, top = (1 << rows) - 1, 1 << (rows - 1)
     up, down, d, left = full, 0, rows, len(b)
     for c in b:
-        same = at.get(c, 0)
-        x = same | down
+        x = at.get(c, 0) | down
         diagonal = ((((x & up) + up) ^ up) | x) & full
         right = down | (full & ~(diagonal | up))
         drop = up & diagonal
@@ -240,11 +262,11 @@ def _distance_within(a: str, b: str, allowed: int) -> bool:
             d -= 1
         left -= 1
         if d - left > allowed:
-            return False
+            return d - left
         right, drop = (right << 1) | 1, drop << 1
         up = (drop | (full & ~(diagonal | right))) & full
         down = right & diagonal & full
-    return d <= allowed
+    return d
 
 
 def similar(a: str, b: str, num: int, den: int) -> bool:
@@ -260,16 +282,13 @@ def similar(a: str, b: str, num: int, den: int) -> bool:
     differ = np.flatnonzero(x[begin:][::-1][: n - begin] != y[begin:][::-1][: n - begin])
     end = int(differ[0]) if len(differ) else n - begin
     a, b = a[begin : len(a) - end], b[begin : len(b) - end]
-    if max(len(a), len(b)) <= allowed:
-        return True
-    if _aligned(a, b) <= allowed:
-        return True
-    return _distance_within(a, b, allowed) if min(len(a), len(b)) else False
+    return max(len(a), len(b)) <= allowed or _aligned(a, b, allowed) <= allowed or _distance(a, b, allowed) <= allowed
 
 
-def _aligned(a: str, b: str) -> int:
-    """An upper bound of the edit distance: words that occur once in each line are matched where
-    they are in the same order, and what lies between two of them is replaced."""
+def _aligned(a: str, b: str, allowed: int) -> int:
+    """An upper bound of the edit distance, or more than `allowed` if the bound is: words that occur
+    once in each line are matched where they are in the same order, and the distances of what lies
+    between two of them are added up."""
 
     def once(line):
         found, place = {}, 0
@@ -292,11 +311,15 @@ def _aligned(a: str, b: str) -> int:
         else:
             ends[j], chain[j] = q, k
     k, total, p_end, q_end = (chain[-1] if chain else -1), 0, len(a), len(b)
-    while k >= 0:
-        p, q, n = common[k]
-        total += max(p_end - p - n, q_end - q - n)
+    while total <= allowed:
+        p, q, n = common[k] if k >= 0 else (0, 0, 0)
+        x, y = a[p + n : p_end], b[q + n : q_end]
+        if x != y:
+            total += _distance(x, y, allowed - total)
+        if k < 0:
+            break
         p_end, q_end, k = p, q, before[k]
-    return total + max(p_end, q_end)
+    return total
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
@@ -319,24 +342,24 @@ def duplicate_lines(docs: DataFrame, num: int = 80, den: int = 100, min_words: i
     distinct = _store.table(distinct, "distinct-lines")
     found = _store.table(signed.select("doc_id", "line_no", "line"), "lines")
     _store.discard(signed)
-    ordered = lambda pairs: pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    postings = _block_keys(distinct).repartition("key").sortWithinPartitions("key", "line")
+    postings = _block_keys(distinct).repartition("key").sortWithinPartitions("key")
     pairs = postings.select("key", "line", "simhash").mapInArrow(_close_pairs, "u long, v long")
-    pairs = _store.table(ordered(pairs), "line-pairs")
+    pairs = _store.table(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "line-pairs")
     candidates = pairs.select(F.col("u").alias("line")).union(pairs.select(F.col("v").alias("line"))).distinct()
     candidates = _store.table(candidates, "candidates")
     texts = _store.with_ids(_normal_lines(docs), candidates, "line", "left_semi")
     texts = _store.table(texts.groupBy("line").agg(F.min("words").alias("words")), "line-texts")
     groups = _store.table(components(_verified(pairs, texts, num, den)), "line-groups")
-    # A reached line led no more, whether or not its pair was verified. Lines that have a close one
-    # meet again, and those in different groups by now are compared, so no close pair is left out.
+    # A reached line led no more, whether or not its pair was verified. Where a posting's lines are
+    # in several groups by now, they meet again, so no close pair is left out.
     again = distinct.join(candidates, "line").join(groups.withColumnRenamed("id", "line"), "line", "left")
-    again = _block_keys(again.withColumn("component", F.coalesce("component", "line")), "component").repartition("key").sortWithinPartitions("key", "line")
-    again = ordered(again.select("key", "line", "simhash", "component").mapInArrow(_split_pairs, "u long, v long"))
-    again = _store.table(again.join(pairs, ["u", "v"], "left_anti"), "line-pairs")
-    if not again.isEmpty():
-        groups = components(_verified(again, texts, num, den).union(groups.select("id", "component")))
+    again = _store.table(_block_keys(again.withColumn("component", F.coalesce("component", "line")), "component"), "candidate-postings")
+    split = again.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    again_texts = again.join(split, "key").join(texts, "line").select("key", "simhash", "component", "words")
+    joins = again_texts.repartition("key").sortWithinPartitions("key").mapInArrow(_joins(num, den), "u long, v long")
+    merged = components(joins).select(F.col("id").alias("component"), F.col("component").alias("whole"))
     named = distinct.select("line", "first", "n").join(groups.select(F.col("id").alias("line"), "component"), "line", "left").withColumn("component", F.coalesce("component", "line"))
+    named = named.join(merged, "component", "left").select("line", "first", "n", F.coalesce("whole", "component").alias("component"))
     kept = named.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).filter("n > 1")
     kept = named.join(kept.drop("n"), "component").select("line", "keep")
     gone = found.join(kept, "line").filter(place != F.col("keep"))
@@ -366,17 +389,19 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, min_words: int =
 
     def run(batches):
         for batch in batches:
-            out, numbers = [], []
-            for text, gone in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                parts = [] if text is None else text.split("\n")
-                if gone:
-                    skip = set(gone)
-                    text = "\n".join(x for k, x in enumerate(parts) if k not in skip)
-                out.append(text)
-                numbers.append({"n_lines": len(parts), "n_removed": len(gone or ())})
-            columns = [pa.array(out, pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
-            kind = pa.struct([("n_lines", pa.int64()), ("n_removed", pa.int64())])
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(numbers, kind)], [*labels, "counts"])
+            column = _text.string_column(batch.column(at))
+            n = pc.if_else(pc.is_valid(batch.column(at)), pc.add(pc.cast(pc.count_substring(column, "\n"), pa.int64()), 1), 0)
+            out, gone = batch.column(at), batch.column(batch.num_columns - 1)
+            lost = np.flatnonzero(pc.is_valid(gone).to_numpy(zero_copy_only=False))
+            if len(lost):
+                texts = out.to_pylist()
+                for k in lost:
+                    skip = set(gone[k].as_py())
+                    texts[k] = None if texts[k] is None else "\n".join(x for i, x in enumerate(texts[k].split("\n")) if i not in skip)
+                out = pa.array(texts, pa.string())
+            n_removed = pc.fill_null(pc.cast(pc.list_value_length(gone), pa.int64()), 0)
+            columns = [out if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.StructArray.from_arrays([n, n_removed], ["n_lines", "n_removed"])], [*labels, "counts"])
 
     kind = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     done = rows.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("counts", kind)]))
