@@ -1,19 +1,21 @@
-"""Stupid-backoff scores of documents under the bigram counts of all documents.
-
-    S(w | v) = c(v w) / c(v)         if c(v w) >= min_count
-             = alpha * c(w) / N      otherwise
-
-A document's score is the sum of log S over its words; the first word has c(w) / N. Counts are
-exact and over all documents. The tables are unbounded and never broadcast as a whole:
-
-- Words whose count is above a level that at most `common` words reach have their counts
-  broadcast; bigrams of the `head` most frequent words are counted apart (at most head**2) and
-  scored where they are read. So frequent bigrams, which would be hot keys, are never shuffled.
-- Every other distinct bigram of a document is one exploded row, partitioned by the bigram's
-  hash. There its count table entry, the sum over the partition, meets the rows. Rows with a word
-  that isn't common first get that word's count by a join.
-- Each document has a base, the score if everything backed off; rows whose bigram is seen often
-  enough add the difference.
+"""Stupid-backoff scores of documents under the n-gram counts of all documents.
+
+    S(w | u v) = c(u v w) / c(u v)     if c(u v w) >= min_count
+               = alpha * S(w | v)      otherwise, and so on down to S(w) = c(w) / N
+
+A document's score is the sum of log S over its words; a word with fewer words before it starts at
+the longest n-gram that it has. Counts are exact and over all documents, for n-grams of any order:
+
+- Documents are dealt into chunks of about `chunk_bytes` of text. A chunk keeps its words in order,
+  as places in a list of its distinct word hashes, so the texts are read once.
+- A chunk explodes its distinct n-grams, with how often it holds each, into the parts of the count
+  tables, by ranges of the n-gram's 64-bit hash. The row of a chunk and a part holds its n-grams as
+  a sorted, packed array. However common an n-gram is, a chunk sends it once: no key is hot.
+- A part adds up its count table and joins it to the rows that it got: each chunk gets the counts
+  of its n-grams back, in order.
+- The chunk's words meet the counts of all orders and are summed per document.
+
+Nothing is broadcast. Chunks, parts and rows are bounded in size; their number grows with the data.
 """
 
 from __future__ import annotations
@@ -22,173 +24,175 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimworks.llm import _store, _text
 
 _U = np.uint64
-_SPAN = 1 << 31  # codes of two common words are below 2**62
-_ODD = _U(1 << 63)  # set in every other key, so that it is no code
 
 
-def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return _text.mix(v * _U(0xD1342543DE82EF95) + w)
+def _packed(values: np.ndarray) -> bytes:
+    """An array of 64-bit numbers, its bytes in order of significance, compressed."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(values, dtype="<u8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
 
+def _unpacked(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word (hash), n over all documents."""
+
+def _pieces(batches, most: int):
+    """(doc ids, word hashes, first word of each row) of consecutive rows of about `most` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        for i, j, data, offsets in _text.chunks(batch.column(1), min(most, 4 << 20)):
+            words = _text.Words(data, offsets)
+            held.append((batch.column(0).slice(i, j - i), words.hash(), np.diff(words.first)))
+            size += len(data)
+            if size >= most:
+                yield held, size
+                held, size = [], 0
+    if held:
+        yield held, size
+
+
+def chunked(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """docs(doc_id, text) -> chunk, docs (ids), lengths (words of each), words (distinct hashes),
+    places (of each word among them), n_words, n_bytes."""
+
+    def run(batches):
+        import uuid
+
+        for held, size in _pieces(batches, chunk_bytes):
+            h = np.concatenate([x for _, x, _ in held])
+            words, places = np.unique(h, return_inverse=True)
+            ids = pa.chunked_array([x for x, _, _ in held]).combine_chunks()
+            lengths = np.concatenate([x for _, _, x in held])
+            columns = [pa.array([uuid.uuid4().hex]), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([lengths.tolist()], pa.list_(pa.int64())), pa.array([_packed(np.diff(words, prepend=_U(0)))], pa.binary()), pa.array([_packed(places.astype(_U))], pa.binary()), pa.array([len(h)]), pa.array([size])]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "docs", "lengths", "words", "places", "n_words", "n_bytes"])
+
+    return docs.mapInArrow(run, "chunk string, docs array<long>, lengths array<long>, words binary, places binary, n_words long, n_bytes long")
+
+
+def _grams(words: bytes, places: bytes, lengths, order: int):
+    """For each n up to the order: the hashes of the n-grams, and where they end; only n-grams
+    within one document."""
+    h = np.cumsum(_unpacked(words))[_unpacked(places).astype(np.int64)]
+    n = np.asarray(lengths, np.int64)
+    at = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)  # place of a word in its document
+    gram = h
+    for k in range(1, order + 1):
+        if k > 1:
+            gram = np.concatenate([np.zeros(1, _U), _text.mix(gram[:-1] * _U(0xD1342543DE82EF95) + h[1:] + _U(k))])[: len(h)]
+        ends = np.flatnonzero(at >= k - 1)
+        yield k, gram[ends], ends
+
+
+def _requests(order: int, parts: int):
+    """The rows of each chunk and part: order, the sorted n-grams and how often the chunk has them."""
 
     def run(batches):
         for batch in batches:
-            for _, _, data, offsets in _text.chunks(batch.column(0), 4 << 20):
-                word, n = np.unique(_text.Words(data, offsets).hash(), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(_text.signed(word)), pa.array(n)], ["word", "n"])
-
-    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _most_common(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of all words above the lowest count that at most `most` exceed."""
-    above, level = 0, None
-    rows = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most).toPandas()
-    for n, words in zip(rows["n"], rows["words"], strict=True):
-        if above + words > most:
-            break
-        above, level = above + words, n
-    if level is None:
-        return np.zeros(0, _U), np.zeros(0, np.int64)
-    found = counts.filter(F.col("n") >= int(level)).toPandas()
-    word, n = found["word"].to_numpy(np.int64).view(_U), found["n"].to_numpy(np.int64)
-    order = np.argsort(word)
-    return word[order], n[order]
-
-
-def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Positions in sorted_keys, or -1."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
-
-
-def _bigrams(words: _text.Words) -> tuple[np.ndarray, np.ndarray]:
-    """The word hashes of a chunk and the positions of each bigram's second word."""
-    second = np.ones(len(words.start), bool)
-    second[words.first[:-1][np.diff(words.first) > 0]] = False
-    return words.hash(), np.flatnonzero(second)
-
-
-def stupid_backoff(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, common: int = 1 << 19, head: int = 1024) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_words, n_seen (words scored without backing off), log_score.
-
-    Words are runs outside white space, A-Z lower-cased. A null or empty text has n_words 0 and
-    log_score 0. Copies of a document count as often as they occur. Rows that share an id, or have
-    a null id, are summed into one row for that id. Other columns are ignored. An empty table
-    gives no rows. common and head bound what is broadcast and change no result.
+            for chunk, lengths, words, places in zip(*(batch.column(c).to_pylist() for c in ("chunk", "lengths", "words", "places")), strict=True):
+                for k, gram, _ in _grams(words, places, lengths, order):
+                    gram, n = np.unique(gram, return_counts=True)
+                    part = ((gram >> _U(32)) * _U(parts)) >> _U(32)
+                    cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+                    end = np.append(cut[1:], len(part))[: len(cut)]
+                    columns = [pa.array(part[cut].astype(np.int64)), pa.array([chunk] * len(cut), pa.string()), pa.array(np.full(len(cut), k, np.int32))]
+                    columns += [pa.array([_packed(np.diff(gram[a:b], prepend=_U(0))) for a, b in zip(cut, end, strict=True)], pa.binary()), pa.array([_packed(n[a:b].astype(_U)) for a, b in zip(cut, end, strict=True)], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["part", "chunk", "n", "grams", "times"])
+
+    return run
+
+
+def _answers(table: pa.Table) -> pa.Table:
+    """The count table of a part joined to the rows that it came from: their n-grams' counts. The
+    order is in the hash, so n-grams of all orders share a table."""
+    grams = [np.cumsum(_unpacked(x)) for x in table["grams"].to_pylist()]
+    times = [_unpacked(x) for x in table["times"].to_pylist()]
+    everything = np.concatenate(grams)
+    order = np.argsort(everything, kind="stable")
+    ranked = everything[order]
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    counts = np.add.reduceat(np.concatenate(times)[order], first)
+    found = np.empty(len(everything), _U)
+    found[order] = np.repeat(counts, np.diff(np.append(first, len(ranked))))
+    cuts = np.cumsum([len(x) for x in grams])[:-1]
+    return pa.table({"chunk": table["chunk"], "n": table["n"], "part": table["part"], "counts": pa.array([_packed(x) for x in np.split(found, cuts)], pa.binary())})
+
+
+def _scores(order: int, total: int, alpha: float, min_count: int):
+    def run(chunk, answers):
+        """doc_id, n_words, n_seen, log_score of a chunk's documents."""
+        doc, n_words, n_seen, log_score = [], [], [], []
+        got = answers.sort_by([("n", "ascending"), ("part", "ascending")]) if answers.num_rows else answers
+        which = got["n"].to_numpy()
+        for ids, lengths, words, places in zip(*(chunk[c].to_pylist() for c in ("docs", "lengths", "words", "places")), strict=True):
+            n = np.asarray(lengths, np.int64)
+            counts = []  # for each order the count of the n-gram that ends at each word; 0 where there is none
+            for k, gram, ends in _grams(words, places, lengths, order):
+                c = np.zeros(int(n.sum()))
+                if len(gram):
+                    _, at = np.unique(gram, return_inverse=True)
+                    c[ends] = np.concatenate([_unpacked(x) for x in got["counts"].filter(pa.array(which == k)).to_pylist()])[at]
+                counts.append(c)
+            score, open_, penalty, top = np.zeros(int(n.sum())), np.ones(int(n.sum()), bool), np.zeros(int(n.sum())), np.zeros(int(n.sum()), bool)
+            for k in range(order, 1, -1):
+                seen = open_ & (counts[k - 1] >= min_count)
+                at = np.flatnonzero(seen)
+                score[at] = penalty[at] + np.log(counts[k - 1][at]) - np.log(counts[k - 2][at - 1])
+                open_ &= ~seen
+                penalty[open_ & (counts[k - 1] > 0)] += math.log(alpha)
+                if k == order:
+                    top = seen
+            score[open_] = penalty[open_] + np.log(counts[0][open_]) - math.log(max(total, 1))
+            row = np.repeat(np.arange(len(n)), n)
+            doc += ids
+            n_words.append(n)
+            n_seen.append(np.bincount(row[top], minlength=len(n)))
+            log_score.append(np.bincount(row, score, len(n)))
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"doc_id": pa.array(doc, pa.int64()), "n_words": np.concatenate(none + n_words), "n_seen": np.concatenate(none + n_seen), "log_score": np.concatenate([np.zeros(0), *log_score])})
+
+    return run
+
+
+def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: int = 2, chunk_bytes: int = 16 << 20, part_bytes: int = 8 << 20) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_words, n_seen (words scored by an n-gram of the full order),
+    log_score.
+
+    Words are runs outside white space, A-Z lower-cased. n-grams that occur fewer than min_count
+    times back off, so a document isn't scored by what it alone holds. A null or empty text has
+    n_words 0 and log_score 0. Copies of a document count as often as they occur. Rows that share an
+    id, or have a null id, are summed into one row for that id. Other columns are ignored. An empty
+    table gives no rows. chunk_bytes and part_bytes, bytes of text to a chunk and to a part of the
+    count tables, change no result.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    counts = _store.table(word_counts(docs), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    keys, n = _most_common(counts, common)
-    top = np.sort(keys[np.argsort(-n, kind="stable")[:head]])
-    known = spark.sparkContext.broadcast((keys, n, top))
-
-    def head_pairs(batches):
-        _, _, top = known.value
-        for batch in batches:
-            for _, _, data, offsets in _text.chunks(batch.column(0), 4 << 20):
-                h, second = _bigrams(_text.Words(data, offsets))
-                rank = _find(top, h)
-                a, b = rank[second - 1], rank[second]
-                code, c = np.unique((a * len(top) + b)[(a >= 0) & (b >= 0)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(c)], ["code", "n"])
-
-    pairs = docs.select("text").mapInArrow(head_pairs, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas().sort_values("code")
-    heads = spark.sparkContext.broadcast((pairs["code"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64)))
-    log_total, log_alpha = math.log(max(total, 1)), math.log(alpha)
-
-    def explode(slow: bool):
-        """kind 0 has a document's words (n); kind 1 its bigrams scored here that are seen (n) and
-        its base (p); kind 2 a bigram, as the code of its two words' places among the common ones:
-        the counts follow from it and needn't be shuffled. If slow: kind 2 a bigram with a rare
-        word, kind 3 a rare word, both by hash and without counts."""
-
-        def run(batches):
-            keys, count, top = known.value
-            code, pair_count = heads.value
-            for batch in batches:
-                for i, j, data, offsets in _text.chunks(batch.column(1)):
-                    words, size = _text.Words(data, offsets), j - i
-                    h, second = _bigrams(words)
-                    at, ids = _find(keys, h), batch.column(0).slice(i, j - i)
-                    ok = at >= 0
-                    c = np.where(ok, count[at] if len(count) else 0, 1)
-                    v, w, row = second - 1, second, words.doc[second]
-                    a, b = _find(top, h[v]), _find(top, h[w])
-                    both = (a >= 0) & (b >= 0)
-                    rest = (ok[v] & ok[w] & ~both) if not slow else ~(ok[v] & ok[w])
-                    out = []
-                    if not slow:
-                        backs = np.zeros(len(h))
-                        backs[second] = log_alpha
-                        base = np.bincount(words.doc, np.log(c) - log_total + backs, size)
-                        hot = pair_count[_find(code, a[both] * len(top) + b[both])] if both.any() else np.zeros(0, np.int64)
-                        enough = hot >= min_count
-                        gain = np.log(hot[enough]) - np.log(c[v[both][enough]]) - log_alpha - np.log(c[w[both][enough]]) + log_total
-                        base += np.bincount(row[both][enough], gain, size)
-                        alone = _text.mix(h[:1] + np.arange(size, dtype=_U)) if len(h) else np.arange(size, dtype=_U)
-                        out.append((ids, np.zeros(size, np.int8), alone | _ODD, np.diff(words.first), np.zeros(size), None, None))
-                        out.append((ids, np.ones(size, np.int8), ~alone | _ODD, np.bincount(row[both][enough], minlength=size), base, None, None))
-                    v, w, row = v[rest], w[rest], row[rest]
-                    gram = _pair(h[v], h[w]) | _ODD if slow else (at[v] * _SPAN + at[w]).astype(_U)
-                    order = np.lexsort((gram, row))
-                    gram, row, v, w = gram[order], row[order], v[order], w[order]
-                    new = np.ones(len(gram), bool)
-                    new[1:] = (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])
-                    start = np.flatnonzero(new)
-                    times = np.diff(np.append(start, len(gram)))
-                    gram, row, v, w = gram[start], row[start], v[start], w[start]
-                    out.append((ids.take(pa.array(row)), np.full(len(v), 2, np.int8), gram, times, np.zeros(len(v)), h[v], h[w]))
-                    if slow:
-                        row, k, times = _text.distinct(words.doc[~ok], h[~ok])
-                        out.append((ids.take(pa.array(row)), np.full(len(k), 3, np.int8), k, times, np.zeros(len(k)), ~k, k))
-                    for ids_, kind, gram, n, p, v, w in out:
-                        columns = [ids_, pa.array(kind), pa.array(_text.signed(gram)), pa.array(n), pa.array(p)]
-                        yield pa.RecordBatch.from_arrays(columns + ([pa.array(_text.signed(x)) for x in (v, w)] if slow else []), ["doc_id", "kind", "gram", "n", "p"] + ["v", "w"] * slow)
-
-        return docs.mapInArrow(run, "doc_id long, kind byte, gram long, n long, p double" + ", v long, w long" * slow)
-
-    count_of = lambda c: counts.select(F.col("word").alias(c), F.col("n").alias(f"{c}_n"))
-    rare = explode(True).join(count_of("w"), "w").join(count_of("v"), "v", "left")
-    rare = rare.select("doc_id", "kind", "gram", "n", F.when(F.col("kind") == 2, F.col("v_n").cast("double") * F.col("w_n")).otherwise(F.col("n") * F.log("w_n")).alias("p"))
-    rows = explode(False).union(rare).withColumn("c", F.sum("n").over(Window.partitionBy("gram")))
-    seen = (F.col("kind") == 2) & (F.col("c") >= min_count)
-    # A code's words are looked up after the shuffle: a row for each common word, so bounded.
-    place = lambda c: F.broadcast(spark.createDataFrame(pa.table({c: np.arange(len(n)), f"{c}_log": np.log(n)}), f"{c} long, {c}_log double"))
-    coded = F.when(seen & (F.col("gram") >= 0), F.col("gram"))
-    rows = rows.withColumn("a", F.floor(coded / F.lit(_SPAN))).withColumn("b", coded % F.lit(_SPAN))
-    rows = rows.join(place("a"), "a", "left").join(place("b"), "b", "left")
-    log_p = F.when(F.col("gram") >= 0, F.col("a_log") + F.col("b_log")).otherwise(F.log("p"))
-    gain = F.col("n") * (F.log("c") - log_p - log_alpha + log_total)
-    return rows.groupBy("doc_id").agg(
-        F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("n_words"),
-        F.sum(F.when(seen | (F.col("kind") == 1), F.col("n")).otherwise(0)).alias("n_seen"),
-        F.round(F.sum(F.when(seen, gain).when(F.col("kind").isin(1, 3), F.col("p")).otherwise(0.0)), 5).alias("log_score"),
-    )
+    chunks = _store.table(chunked(docs.select(F.col("doc_id").cast("long"), "text"), chunk_bytes), "chunks")
+    size = chunks.agg(F.sum("n_words").alias("words"), F.sum("n_bytes").alias("bytes")).first()
+    parts = max(1, -(-(size["bytes"] or 0) // part_bytes))
+    requests = chunks.select("chunk", "lengths", "words", "places").mapInArrow(_requests(order, parts), "part long, chunk string, n int, grams binary, times binary")
+    answers = requests.groupBy("part").applyInArrow(_answers, "chunk string, n int, part long, counts binary")
+    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scores(order, size["words"] or 0, alpha, min_count), "doc_id long, n_words long, n_seen long, log_score double")
+    return scored.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("n_seen").alias("n_seen"), F.round(F.sum("log_score"), 5).alias("log_score"))
 
 
 #: DuckDB SQL for stupid_backoff over the documents table.
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
-p AS (SELECT doc_id, i, t[i] AS w, CASE WHEN i > 1 THEN t[i - 1] END AS v FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM d)),
-u AS (SELECT w, count(*) AS n FROM p GROUP BY w),
-b AS (SELECT v, w, count(*) AS n FROM p WHERE v IS NOT NULL GROUP BY v, w),
+p AS (SELECT doc_id, t[i] AS w, CASE WHEN i > 1 THEN t[i - 1] END AS v, CASE WHEN i > 2 THEN t[i - 2] END AS u FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM d)),
+one AS (SELECT w, count(*) AS n FROM p GROUP BY w),
+two AS (SELECT v, w, count(*) AS n FROM p WHERE v IS NOT NULL GROUP BY v, w),
+three AS (SELECT u, v, w, count(*) AS n FROM p WHERE u IS NOT NULL GROUP BY u, v, w),
 k AS (SELECT count(*)::DOUBLE AS n FROM p),
-s AS (SELECT p.doc_id, CASE WHEN p.v IS NULL THEN ln(uw.n / k.n) WHEN b.n >= 2 THEN ln(b.n::DOUBLE / uv.n) ELSE ln(0.4::DOUBLE * uw.n / k.n) END AS x,
-      CASE WHEN b.n >= 2 THEN 1 ELSE 0 END AS seen
-      FROM p JOIN u uw ON uw.w = p.w LEFT JOIN u uv ON uv.w = p.v LEFT JOIN b ON b.v = p.v AND b.w = p.w, k),
+s AS (SELECT p.doc_id, CASE WHEN three.n >= 2 THEN ln(three.n::DOUBLE / uv.n) WHEN vw.n >= 2 THEN CASE WHEN p.u IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END + ln(vw.n::DOUBLE / ov.n)
+      ELSE CASE WHEN p.v IS NULL THEN 0 WHEN p.u IS NULL THEN ln(0.4::DOUBLE) ELSE 2 * ln(0.4::DOUBLE) END + ln(ow.n / k.n) END AS x, CASE WHEN three.n >= 2 THEN 1 ELSE 0 END AS seen
+      FROM p JOIN one ow ON ow.w = p.w LEFT JOIN one ov ON ov.w = p.v LEFT JOIN two vw ON vw.v = p.v AND vw.w = p.w LEFT JOIN two uv ON uv.v = p.u AND uv.w = p.v
+      LEFT JOIN three ON three.u = p.u AND three.v = p.v AND three.w = p.w, k),
 a AS (SELECT doc_id, count(*) AS n_words, sum(seen) AS n_seen, sum(x) AS log_score FROM s GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_seen, 0)::BIGINT AS n_seen, round(coalesce(log_score, 0), 5) AS log_score
 FROM (SELECT DISTINCT doc_id FROM d) d LEFT JOIN a USING (doc_id)
