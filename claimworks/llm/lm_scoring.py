@@ -9,7 +9,7 @@ the longest n-gram that it has. Counts are exact and over all documents, for n-g
 - Documents are dealt into chunks of about `chunk_bytes` of text. A chunk keeps its words in order,
   as places in a list of its distinct word hashes, so the texts are read once.
 - A chunk explodes its distinct n-grams, with how often it holds each, into the parts of the count
-  tables, by ranges of the n-gram's 64-bit hash. The row of a chunk and a part holds its n-grams as
+  tables, by ranges of the n-gram's hash (64 bits, fewer for a small corpus). The row of a chunk and a part holds its n-grams as
   a sorted, packed array. However common an n-gram is, a chunk sends it once: no key is hot.
 - A part adds up its count table and joins it to the rows that it got: each chunk gets the counts
   of its n-grams back, in order.
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from claimworks.llm import _store, _text
 
 _U = np.uint64
+SPARE_BITS = 26  # an n-gram shares its hash with another once in 2**26 times, as long as 64 bits suffice
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -68,19 +69,21 @@ def chunked(docs: DataFrame, chunk_bytes: int) -> DataFrame:
 
         for held, size in _pieces(batches, chunk_bytes):
             h = np.concatenate([x for _, x, _ in held])
-            words, places = np.unique(h, return_inverse=True)
+            words, places, n = np.unique(h, return_inverse=True, return_counts=True)
+            common = np.argsort(-n, kind="stable")  # common words have low places, which pack well
+            words, places = words[common], np.argsort(common)[places]
             ids = pa.chunked_array([x for x, _, _ in held]).combine_chunks()
             lengths = np.concatenate([x for _, _, x in held])
-            columns = [pa.array([uuid.uuid4().hex]), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([lengths.tolist()], pa.list_(pa.int64())), pa.array([_packed(np.diff(words, prepend=_U(0)))], pa.binary()), pa.array([_packed(places.astype(_U))], pa.binary()), pa.array([len(h)]), pa.array([size])]
+            columns = [pa.array([uuid.uuid4().hex]), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([lengths.tolist()], pa.list_(pa.int64())), pa.array([words.tobytes()], pa.binary()), pa.array([_packed(places.astype(_U))], pa.binary()), pa.array([len(h)]), pa.array([size])]
             yield pa.RecordBatch.from_arrays(columns, ["chunk", "docs", "lengths", "words", "places", "n_words", "n_bytes"])
 
     return docs.mapInArrow(run, "chunk string, docs array<long>, lengths array<long>, words binary, places binary, n_words long, n_bytes long")
 
 
-def _grams(words: bytes, places: bytes, lengths, order: int):
-    """For each n up to the order: the hashes of the n-grams, and where they end; only n-grams
-    within one document."""
-    h = np.cumsum(_unpacked(words))[_unpacked(places).astype(np.int64)]
+def _grams(words: bytes, places: bytes, lengths, order: int, bits: int):
+    """For each n up to the order: the hashes of the n-grams, of so many bits, and where they end;
+    only n-grams within one document."""
+    h = np.frombuffer(words, _U)[_unpacked(places).astype(np.int64)]
     n = np.asarray(lengths, np.int64)
     at = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)  # place of a word in its document
     gram = h
@@ -88,18 +91,18 @@ def _grams(words: bytes, places: bytes, lengths, order: int):
         if k > 1:
             gram = np.concatenate([np.zeros(1, _U), _text.mix(gram[:-1] * _U(0xD1342543DE82EF95) + h[1:] + _U(k))])[: len(h)]
         ends = np.flatnonzero(at >= k - 1)
-        yield k, gram[ends], ends
+        yield k, gram[ends] >> _U(64 - bits), ends
 
 
-def _requests(order: int, parts: int):
+def _requests(order: int, parts: int, bits: int):
     """The rows of each chunk and part: order, the sorted n-grams and how often the chunk has them."""
 
     def run(batches):
         for batch in batches:
             for chunk, lengths, words, places in zip(*(batch.column(c).to_pylist() for c in ("chunk", "lengths", "words", "places")), strict=True):
-                for k, gram, _ in _grams(words, places, lengths, order):
+                for k, gram, _ in _grams(words, places, lengths, order, bits):
                     gram, n = np.unique(gram, return_counts=True)
-                    part = ((gram >> _U(32)) * _U(parts)) >> _U(32)
+                    part = ((gram >> _U(bits - 32)) * _U(parts)) >> _U(32)
                     cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
                     end = np.append(cut[1:], len(part))[: len(cut)]
                     columns = [pa.array(part[cut].astype(np.int64)), pa.array([chunk] * len(cut), pa.string()), pa.array(np.full(len(cut), k, np.int32))]
@@ -125,7 +128,7 @@ def _answers(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table["chunk"], "n": table["n"], "part": table["part"], "counts": pa.array([_packed(x) for x in np.split(found, cuts)], pa.binary())})
 
 
-def _scores(order: int, total: int, alpha: float, min_count: int):
+def _scores(order: int, total: int, alpha: float, min_count: int, bits: int):
     def run(chunk, answers):
         """doc_id, n_words, n_seen, log_score of a chunk's documents."""
         doc, n_words, n_seen, log_score = [], [], [], []
@@ -134,7 +137,7 @@ def _scores(order: int, total: int, alpha: float, min_count: int):
         for ids, lengths, words, places in zip(*(chunk[c].to_pylist() for c in ("docs", "lengths", "words", "places")), strict=True):
             n = np.asarray(lengths, np.int64)
             counts = []  # for each order the count of the n-gram that ends at each word; 0 where there is none
-            for k, gram, ends in _grams(words, places, lengths, order):
+            for k, gram, ends in _grams(words, places, lengths, order, bits):
                 c = np.zeros(int(n.sum()))
                 if len(gram):
                     _, at = np.unique(gram, return_inverse=True)
@@ -161,7 +164,7 @@ def _scores(order: int, total: int, alpha: float, min_count: int):
     return run
 
 
-def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: int = 2, chunk_bytes: int = 16 << 20, part_bytes: int = 8 << 20) -> DataFrame:
+def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: int = 2, chunk_bytes: int = 8 << 20, part_bytes: int = 8 << 20) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_words, n_seen (words scored by an n-gram of the full order),
     log_score.
 
@@ -175,9 +178,10 @@ def stupid_backoff(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_coun
     chunks = _store.table(chunked(docs.select(F.col("doc_id").cast("long"), "text"), chunk_bytes), "chunks")
     size = chunks.agg(F.sum("n_words").alias("words"), F.sum("n_bytes").alias("bytes")).first()
     parts = max(1, -(-(size["bytes"] or 0) // part_bytes))
-    requests = chunks.select("chunk", "lengths", "words", "places").mapInArrow(_requests(order, parts), "part long, chunk string, n int, grams binary, times binary")
+    bits = min(64, max(32, (order * (size["words"] or 1)).bit_length() + SPARE_BITS))
+    requests = chunks.select("chunk", "lengths", "words", "places").mapInArrow(_requests(order, parts, bits), "part long, chunk string, n int, grams binary, times binary")
     answers = requests.groupBy("part").applyInArrow(_answers, "chunk string, n int, part long, counts binary")
-    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scores(order, size["words"] or 0, alpha, min_count), "doc_id long, n_words long, n_seen long, log_score double")
+    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scores(order, size["words"] or 0, alpha, min_count, bits), "doc_id long, n_words long, n_seen long, log_score double")
     return scored.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("n_seen").alias("n_seen"), F.round(F.sum("log_score"), 5).alias("log_score"))
 
 
