@@ -32,6 +32,7 @@ _U = np.uint64
 BLOCKS = 4  # of 16 bits
 BITS = 2
 BANDS, BAND_WORDS = 10, 4
+MANY = 512  # characters of lines whose distances are computed many at a time
 LONG = 5  # bytes of a word that weighs more in the bands
 BAND_BITS = 15  # one word of ten changed moves 9.5 bits, give or take 3; unrelated lines differ in 32
 _SALTS = _text.mix(np.arange(1, BANDS * BAND_WORDS + 1, dtype=_U)) | _U(1)
@@ -164,6 +165,8 @@ def _whole_postings(batches):
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if carried:
             columns = [np.concatenate(c) for c in zip(carried, columns, strict=True)]
+        else:
+            columns = [c.copy() for c in columns]
         if len(columns[0]):
             cut = np.searchsorted(columns[0], columns[0][-1])
             yield [c[:cut] for c in columns]
@@ -198,6 +201,8 @@ def _close_pairs(batches):
         u, v = [line[near]], [line[near + 1]]
         more = end - begin > 2
         for a, b, most in zip(begin[more], end[more], _most_bits(key[begin[more]]), strict=True):
+            least = np.argsort(line[a:b])  # the same leaders in all postings
+            line[a:b], sim[a:b] = line[a:b][least], sim[a:b][least]
             free = np.ones(b - a, bool)
             for i in range(b - a):
                 if free[i]:
@@ -213,24 +218,53 @@ def _joins(num: int, den: int):
     def run(batches):
         """From key, line, simhash, component, words sorted by key: (u, v), components of one posting
         that a similar pair of close lines joins. Of two components one isn't the posting's largest;
-        its lines are compared with all that aren't joined to them yet."""
-        for key, sim, component, words in _whole_postings(batches):
+        its lines are compared with all others that are close and have met in no earlier key: of each
+        component the nearest first, then the rest of those components that are still apart."""
+        for key, sim, component, words, *bands in _whole_postings(batches):
+            bands = np.column_stack(bands)
             sim = sim.view(_U)  # bits of a negative number are those of its absolute value
+            length = np.array([len(x) for x in words])
             begin, end = _bounds(key)
-            u, v = [], []
+            parent: dict[int, int] = {}
+            tests, held = [], 0
+
+            def root(c):
+                while parent.get(c, c) != c:
+                    c = parent[c]
+                return c
+
+            def settle():
+                i, j, nearest = (np.concatenate(x) for x in zip(*tests, strict=True))
+                for some in (nearest, ~nearest):
+                    apart = np.array([root(x) != root(y) for x, y in zip(component[i[some]].tolist(), component[j[some]].tolist(), strict=True)], bool)
+                    x, y = i[some][apart], j[some][apart]
+                    good = similar_pairs([words[k] for k in x], [words[k] for k in y], num, den, False)
+                    for c, d in zip(component[x[good]].tolist(), component[y[good]].tolist(), strict=True):
+                        if root(c) != root(d):
+                            parent[max(root(c), root(d))] = min(root(c), root(d))
+                tests.clear()
+
             for a, b, most in zip(begin, end, _most_bits(key[begin]), strict=True):
                 names, own, n = np.unique(component[a:b], return_inverse=True, return_counts=True)
-                length = np.array([len(x) for x in words[a:b]])
                 for i in np.flatnonzero(own != n.argmax()):
-                    bits = np.bitwise_count(sim[a:b] ^ sim[a + i])
-                    longest = np.maximum(length, length[i])
-                    hit = np.flatnonzero((bits <= most) & (own != own[i]) & (np.abs(length - length[i]) * den <= longest * (den - num)))
-                    for j in hit[np.argsort(bits[hit], kind="stable")]:
-                        if own[j] != own[i] and similar(words[a + i], words[a + j], num, den):
-                            u.append(component[a + i])
-                            v.append(component[a + j])
-                            own[own == own[j]] = own[i]
-            yield _pairs([np.array(u, np.int64)], [np.array(v, np.int64)])
+                    differ = sim[a:b] ^ sim[a + i]
+                    bits = np.bitwise_count(differ)
+                    number = int(key[a] >> 32)
+                    blocks = [(differ >> _U(16 * n)) & _U(0xFFFF) == 0 for n in range(BLOCKS)]
+                    met = bits <= BITS if number >= len(_PAIRS) else np.any([blocks[p] & blocks[q] for p, q in _PAIRS[:number]], axis=0)
+                    met = met | (bands[a:b, : max(0, number - len(_PAIRS))] == bands[a + i, : max(0, number - len(_PAIRS))]).any(axis=1)
+                    reach = np.maximum(length[a:b], length[a + i]) * (den - num)
+                    hit = np.flatnonzero((bits <= most) & ~met & (own != own[i]) & (np.abs(length[a:b] - length[a + i]) * den <= reach))
+                    hit = hit[np.lexsort((bits[hit], own[hit]))]
+                    nearest = np.append(True, own[hit][1:] != own[hit][:-1])[: len(hit)]
+                    tests.append((np.full(len(hit), a + i), a + hit, nearest))
+                    held += len(hit)
+                if held > 1 << 18:
+                    settle()
+                    held = 0
+            if tests:
+                settle()
+            yield _pairs([np.array(list(parent), np.int64)], [np.array([root(c) for c in parent], np.int64)])
 
     return run
 
@@ -269,20 +303,15 @@ def _distance(a: str, b: str, allowed: int) -> int:
     return d
 
 
-def similar(a: str, b: str, num: int, den: int) -> bool:
-    """Whether 1 - edit distance / longer length >= num / den. What both lines begin and end with
-    is left out first; an alignment at common words accepts most of what remains."""
-    allowed = max(len(a), len(b)) * (den - num) // den
-    if abs(len(a) - len(b)) > allowed:
-        return False
+def _ends_cut(a: str, b: str) -> tuple[str, str]:
+    """Both without what both begin and end with."""
     x, y = _characters(a), _characters(b)
     n = min(len(x), len(y))
     differ = np.flatnonzero(x[:n] != y[:n])
     begin = int(differ[0]) if len(differ) else n
     differ = np.flatnonzero(x[begin:][::-1][: n - begin] != y[begin:][::-1][: n - begin])
     end = int(differ[0]) if len(differ) else n - begin
-    a, b = a[begin : len(a) - end], b[begin : len(b) - end]
-    return max(len(a), len(b)) <= allowed or _aligned(a, b, allowed) <= allowed or _distance(a, b, allowed) <= allowed
+    return a[begin : len(a) - end], b[begin : len(b) - end]
 
 
 def _aligned(a: str, b: str, allowed: int) -> int:
@@ -322,14 +351,77 @@ def _aligned(a: str, b: str, allowed: int) -> int:
     return total
 
 
+def _distances(a: list[str], b: list[str]) -> np.ndarray:
+    """The edit distances of pairs of non-empty texts, as _distance, but for all pairs at a time."""
+    first, second = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    order = np.argsort(-second, kind="stable")  # the columns of the longest are computed last
+    a, b, first, second = [a[k] for k in order], [b[k] for k in order], first[order], second[order]
+    n, blocks, columns = len(a), -(-int(first.max()) // 64), int(second[0])
+    code = np.concatenate([_characters("".join(a)), _characters("".join(b))])
+    occurs = np.zeros(int(code.max()) + 1, bool)
+    occurs[code] = True
+    letters, code = np.flatnonzero(occurs), (np.cumsum(occurs) - 1)[code]
+    pair = np.repeat(np.arange(n), first)
+    place = np.arange(len(pair)) - np.repeat(np.cumsum(first) - first, first)
+    at = np.zeros((n, len(letters), blocks), _U)
+    np.bitwise_or.at(at, (pair, code[: len(pair)], place >> 6), _U(1) << (place & 63).astype(_U))
+    text = np.zeros((columns, n), np.int64)
+    text[np.arange(int(second.sum())) - np.repeat(np.cumsum(second) - second, second), np.repeat(np.arange(n), second)] = code[len(pair) :]
+    up, down = np.full((blocks, n), ~_U(0)), np.zeros((blocks, n), _U)
+    rows, one = np.arange(n), _U(1)
+    open_ = n - np.searchsorted(second[::-1], np.arange(columns), side="right")
+    for t in range(columns):
+        k = open_[t]
+        same = at[rows[:k], text[t, :k]]
+        plus, minus = np.ones(k, _U), np.zeros(k, _U)
+        for w in range(blocks):
+            x, vp, vn = same[:, w], up[w, :k], down[w, :k]
+            vertical = x | vn
+            x = x | minus
+            diagonal = (((x & vp) + vp) ^ vp) | x
+            right, drop = vn | ~(diagonal | vp), vp & diagonal
+            shifted, dropped = (right << one) | plus, (drop << one) | minus
+            plus, minus = right >> _U(63), drop >> _U(63)
+            up[w, :k] = dropped | ~(vertical | shifted)
+            down[w, :k] = shifted & vertical
+    inside = np.clip(first[None, :] - 64 * np.arange(blocks)[:, None], 0, 64)
+    mask = np.where(inside == 64, ~_U(0), (one << (inside % 64).astype(_U)) - one)
+    d = second + np.bitwise_count(up & mask).sum(axis=0, dtype=np.int64) - np.bitwise_count(down & mask).sum(axis=0, dtype=np.int64)
+    out = np.empty(n, np.int64)
+    out[order] = d
+    return out
+
+
+def similar_pairs(a: list[str], b: list[str], num: int, den: int, likely: bool = True) -> np.ndarray:
+    """For each pair whether 1 - edit distance / longer length >= num / den. If that is likely, an
+    alignment at common words accepts most of the pairs first; the rest of up to MANY characters
+    are worked many at a time."""
+    longest = np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
+    shortest = np.array([min(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
+    allowed = longest * (den - num) // den
+    out = (longest == shortest) & (longest == 0)
+    todo = np.flatnonzero((longest - shortest <= allowed) & (shortest > 0))
+    single = todo[(longest[todo] > MANY) | (likely & (longest[todo] > MANY // 4))]
+    for k in single:
+        x, y = _ends_cut(a[k], b[k])
+        most = int(allowed[k])
+        out[k] = max(len(x), len(y)) <= most or (likely and _aligned(x, y, most) <= most) or (longest[k] > MANY and _distance(x, y, most) <= most)
+    todo = todo[~out[todo] & (longest[todo] <= MANY)]
+    todo = todo[np.argsort(longest[todo], kind="stable")]
+    for at in range(0, len(todo), 2048):
+        now = todo[at : at + 2048]
+        out[now] = _distances([a[k] for k in now], [b[k] for k in now]) <= allowed[now]
+    return out
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose lines have the edit similarity."""
     checked = pairs.join(texts.select(F.col("line").alias("u"), F.col("words").alias("a")), "u").join(texts.select(F.col("line").alias("v"), F.col("words").alias("b")), "v")
 
     def run(batches):
         for batch in batches:
-            good = [similar(a, b, num, den) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+            good = similar_pairs(batch.column(2).to_pylist(), batch.column(3).to_pylist(), num, den)
+            yield batch.select(["u", "v"]).filter(pa.array(good))
 
     return checked.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
@@ -353,9 +445,9 @@ def duplicate_lines(docs: DataFrame, num: int = 80, den: int = 100, min_words: i
     # A reached line led no more, whether or not its pair was verified. Where a posting's lines are
     # in several groups by now, they meet again, so no close pair is left out.
     again = distinct.join(candidates, "line").join(groups.withColumnRenamed("id", "line"), "line", "left")
-    again = _store.table(_block_keys(again.withColumn("component", F.coalesce("component", "line")), "component"), "candidate-postings")
+    again = _store.table(_block_keys(again.withColumn("component", F.coalesce("component", "line")), "component", *_BANDS), "candidate-postings")
     split = again.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    again_texts = again.join(split, "key").join(texts, "line").select("key", "simhash", "component", "words")
+    again_texts = again.join(split, "key").join(texts, "line").select("key", "simhash", "component", "words", *_BANDS)
     joins = again_texts.repartition("key").sortWithinPartitions("key").mapInArrow(_joins(num, den), "u long, v long")
     merged = components(joins).select(F.col("id").alias("component"), F.col("component").alias("whole"))
     named = distinct.select("line", "first", "n").join(groups.select(F.col("id").alias("line"), "component"), "line", "left").withColumn("component", F.coalesce("component", "line"))
