@@ -3,12 +3,15 @@
 Tokens of a page are its tags, told apart by their path, and its blocks of text, told apart by path
 and content. A token's occurrence vector over the pages of its host is kept as a hash that is
 combined on the map side, so no host's pages ever meet in one task; copies of a page count once.
-Tokens of a host with the same
-vector form an equivalence class. A class is valid if it occurs on `support` pages at least and
-holds a tag; it belongs to the template if the class of the tag that encloses it does, or it is on
-the outermost level. What remains of a page besides its template's text are the slots. The article
-is read from them: the slots within article or main elements if the page has them, otherwise all
-outside menus, headers, footers, sidebars, notices, adverts, forms and comments.
+Tokens of a host with the same vector form an equivalence class. A class is valid if it occurs on
+`support` pages at least and holds a tag. Classes nest by their paths: what encloses a token occurs
+on all of its pages too, so the class of an enclosing tag is valid if the token's is, up to the root.
+Template text is what belongs to a valid class and stands on half of the host's pages at least.
+
+The tags that occur once a page and on half of the pages at least cut the pages into slots. The main
+slot is the innermost of them that holds most of the host's text. From a page's main slot (or the
+article element around it) everything is taken but template text and what is marked as menu, advert,
+form, comments or the like. Marks and article elements alone decide on pages without a main slot.
 """
 
 from __future__ import annotations
@@ -61,13 +64,19 @@ def _kind(name: str, tag: str, inside: bool) -> tuple[str, str]:
     return "", step
 
 
-def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
-    """The blocks of a page in order, (text, path, in an article, to be skipped), and the paths of
-    its structural tags. Markup, comments and raw elements are gone, references are decoded, white
-    space is one space."""
-    out: list[tuple[str, str, bool, bool]] = []
-    paths: list[str] = []
-    stack: list[tuple[str, str, str]] = []  # name, kind, path
+def _crc(text: str) -> int:
+    import hashlib
+
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def blocks(page: str) -> tuple[list[tuple[str, tuple[int, ...], bool, bool]], list[tuple[int, int]]]:
+    """The blocks of a page in order, (text, hashes of the enclosing paths, in an article, to be
+    skipped), and for each structural tag the hashes of its path and of the enclosing one. Markup,
+    comments and raw elements are gone, references are decoded, white space is one space."""
+    out: list[tuple[str, tuple[int, ...], bool, bool]] = []
+    paths: list[tuple[int, int]] = []
+    stack: list[tuple[str, str, str, int]] = []  # name, kind, path and its hash
     parts: list[str] = []
 
     def flush():
@@ -75,8 +84,8 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                kinds = [k for _, k, _ in stack]
-                out.append((text, stack[-1][2] if stack else "", "article" in kinds, "skip" in kinds or "comments" in kinds))
+                kinds = [x[1] for x in stack]
+                out.append((text, tuple(x[3] for x in stack), "article" in kinds, "skip" in kinds or "comments" in kinds))
 
     for m in _TOKEN.finditer(page):
         t = m[0]
@@ -101,23 +110,17 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
             if at is not None:
                 del stack[at:]
             continue
-        kind, step = _kind(name, t, any(k == "article" for _, k, _ in stack))
-        if kind == "article" and not any(k == "comments" for _, k, _ in stack) and name in ("article", "main"):
-            while stack and any(k == "skip" for _, k, _ in stack) and not any(k == "article" for _, k, _ in stack):  # an unclosed menu or advert
+        kind, step = _kind(name, t, any(x[1] == "article" for x in stack))
+        if kind == "article" and not any(x[1] == "comments" for x in stack) and name in ("article", "main"):
+            while stack and any(x[1] == "skip" for x in stack) and not any(x[1] == "article" for x in stack):  # an unclosed menu or advert
                 stack.pop()
         path = (stack[-1][2] if stack else "") + "/" + step
-        paths.append(path)
-        stack.append((name, kind, path))
+        paths.append((_crc(path), stack[-1][3] if stack else 0))
+        stack.append((name, kind, path, paths[-1][0]))
     flush()
     return out, paths
 
 
-def _crc(text: str) -> int:
-    import hashlib
-
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
 def host(url: str | None) -> str:
     """The host of a URL in lower case, without port; '' if there is none."""
     try:
@@ -127,87 +130,103 @@ def host(url: str | None) -> str:
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """host, token, parent (the enclosing tag's token), is_tag, n (occurrences), page (a hash of
-    its html, the same for copies)."""
+    """host, token, is_tag, n (occurrences), depth and chars (of a tag: characters of the unmarked
+    text within it), page (a hash of its html, the same for copies)."""
 
     def run(batches):
         for batch in batches:
-            columns: list[list] = [[] for _ in range(6)]
+            columns: list[list] = [[] for _ in range(7)]
             for url, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 name, key = host(url), _crc(page or "")
                 found, paths = blocks(page or "")
-                count: dict[tuple, int] = {}
-                for p in paths:
-                    k = (_crc(p), _crc(p.rpartition("/")[0]), True)
+                chars: dict[int, int] = {}
+                count: dict[tuple[int, bool], int] = {}
+                depth: dict[int, int] = {0: 0}
+                for p, outer in paths:
+                    count[p, True] = count.get((p, True), 0) + 1
+                    depth[p] = depth[outer] + 1
+                for text, within, _, skip in found:
+                    k = (_text_token(within, text), False)
                     count[k] = count.get(k, 0) + 1
-                for text, p, _, _ in found:
-                    k = (_crc(f"{p} {text}"), _crc(p), False)
-                    count[k] = count.get(k, 0) + 1
-                for (token, parent, tag), n in count.items():
-                    for c, v in zip(columns, (name, token, parent, tag, n, key), strict=True):
+                    for p in () if skip else within:
+                        chars[p] = chars.get(p, 0) + len(text)
+                for (token, tag), n in count.items():
+                    for c, v in zip(columns, (name, token, tag, n, depth.get(token, 0) if tag else 0, chars.get(token, 0) if tag else 0, key), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], ["host", "token", "parent", "is_tag", "n", "page"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["host", "token", "is_tag", "n", "depth", "chars", "page"])
+
+    return pages.select("url", "html").mapInArrow(run, "host string, token long, is_tag boolean, n long, depth long, chars long, page long")
+
 
-    return pages.select("url", "html").mapInArrow(run, "host string, token long, parent long, is_tag boolean, n long, page long")
+def _text_token(within: tuple[int, ...], text: str) -> int:
+    return _crc(f"{within[-1] if within else 0} {text}")
 
 
-def template(pages: DataFrame, support: int = 3) -> DataFrame:
-    """host, token, is_tag, class, pages: the tokens of each host's template. A token belongs to
-    the class of its occurrence vector; classes nest by the class of the enclosing tag."""
+def template(pages: DataFrame, support: int = 2) -> DataFrame:
+    """host, token, is_tag, class, pages, once, depth, chars: the tokens of each host's template, with
+    how many pages it has (all) and the text of its unmarked parts (whole)."""
     # Copies of a page count once: else a host of copies would be all template.
-    found = tokens(pages).groupBy("host", "token", "page").agg(F.max("n").alias("n"), F.min("parent").alias("parent"), F.max("is_tag").alias("is_tag"))
-    each = found.groupBy("host", "token").agg(F.bit_xor(F.xxhash64("page", "n")).alias("class"), F.count("*").alias("pages"), F.min("parent").alias("parent"), F.max("is_tag").alias("is_tag"))
+    found = tokens(pages).groupBy("host", "token", "page").agg(*[F.max(c).alias(c) for c in ("n", "is_tag", "depth", "chars")])
+    each = found.groupBy("host", "token").agg(F.bit_xor(F.xxhash64("page", "n")).alias("class"), F.count("*").alias("pages"), F.max("is_tag").alias("is_tag"), (F.max("n") == 1).alias("once"), F.max("depth").alias("depth"), F.sum("chars").alias("chars"))
     each = _store.table(each.filter(F.col("pages") >= support), "template-tokens")
-    tags = each.filter("is_tag")
-    # The class of a tag is valid; a class of text is if it has the vector of a tag of its host.
-    valid = tags.groupBy("host", "class").agg(F.count("*").alias("tags"))
-    inside = tags.select("host", F.col("token").alias("parent"), F.lit(True).alias("nested"))
-    rows = each.join(valid, ["host", "class"]).join(inside, ["host", "parent"], "left")
-    root = F.lit(_crc(""))
-    return rows.filter(F.col("nested") | (F.col("parent") == root)).select("host", "token", "is_tag", "class", "pages")
+    # A class of text is valid if it has the vector of a tag of its host; that of a tag always is.
+    valid = each.filter("is_tag").groupBy("host", "class").agg(F.count("*").alias("tags"))
+    size = each.filter("is_tag").groupBy("host").agg(F.max("pages").alias("all"), F.max("chars").alias("whole"))
+    return each.join(valid, ["host", "class"], "left_semi").join(size, "host").filter("2 * pages >= all")
 
 
-def extract(pages: DataFrame, support: int = 3, most_hosts: int = 20_000) -> DataFrame:
+def extract(pages: DataFrame, support: int = 2, most_hosts: int = 20_000) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, text, n_chars, n_blocks, template_blocks, one row
     per row of pages.
 
-    A null or empty html has an empty text. Blocks are joined in page order by one space. Within an
-    article element nothing but what is marked as menu, advert, form, comments or the like is left
-    out; on a page without one, template text is left out too. A host with fewer than `support`
-    different pages has no template; a page without a host shares one with the others without. Up to
-    most_hosts hosts the template text is broadcast (at most a few tokens a host, as their number is
-    bounded by the blocks of a page); beyond that pages and templates are joined. Other columns are
-    ignored. An empty table gives no rows.
+    A null or empty html has an empty text. Blocks are joined in page order by one space. Marked
+    blocks are left out. So is template text, unless it is most of what a page would have (pages that
+    hold nearly the same article). A host with fewer than `support` different pages has no template; a
+    page without a host shares one with the others without. Up to most_hosts hosts the templates are
+    broadcast (their number of tokens a host is bounded by twice the blocks of a page); beyond that
+    pages and templates are joined, where Spark can split a large host. Other columns are ignored.
+    Repeated rows have the same text each. An empty table gives no rows.
     """
-    texts = template(pages, support).filter("not is_tag").groupBy("host").agg(F.collect_set("token").alias("drop"))  # on at least 3 of the host's pages, in the vector of a tag
-    texts = _store.table(texts.select(F.col("host").alias("h"), "drop"), "templates")
-    size = texts.agg(F.sum(F.size("drop")).alias("n"), F.count("*").alias("hosts")).first()
+    known = template(pages, support)
+    slot = F.col("is_tag") & F.col("once") & (2 * F.col("chars") > F.col("whole"))
+    hosts = known.groupBy("host").agg(
+        F.max(F.when(slot, F.struct("depth", "token"))).alias("main"),
+        F.collect_set(F.when(~F.col("is_tag"), F.col("token"))).alias("drop"),  # each on half of the pages, so at most two pages' blocks
+    )
+    hosts = _store.table(hosts.select(F.col("host").alias("h"), F.coalesce("main.token", F.lit(0)).alias("main"), "drop"), "templates")
+    size = hosts.agg(F.sum(F.size("drop")).alias("n"), F.count("*").alias("hosts")).first()
     rows = pages.select("page_id", "url", "html")
 
-    def run(drop_of):
+    def run(template_of):
         def each(batches):
             for batch in batches:
                 out: list[list] = [[] for _ in range(4)]
-                drops = drop_of(batch)
-                for page, drop in zip(batch.column(2).to_pylist(), drops, strict=True):
+                for page, (main, drop) in zip(batch.column(2).to_pylist(), template_of(batch), strict=True):
                     found, _ = blocks(page or "")
-                    articles = any(a and not s for _, _, a, s in found)
-                    fixed = [not a and _crc(f"{p} {t}") in drop for t, p, a, _ in found] if drop else [False] * len(found)
-                    kept = [t for (t, _, a, s), f in zip(found, fixed, strict=True) if not s and (a or not articles) and not f]
+                    slot = [main in within for _, within, _, _ in found]
+                    if any(s and a for s, (_, _, a, _) in zip(slot, found, strict=True)) or not any(slot):
+                        articles = any(a and not s for _, _, a, s in found)
+                        slot = [a or not articles for _, _, a, _ in found]
+                    inside = [(t, _text_token(w, t) in drop) for (t, w, _, s), x in zip(found, slot, strict=True) if x and not s]
+                    fixed = sum(len(t) for t, f in inside if f)
+                    if 2 * fixed > sum(len(t) for t, _ in inside):
+                        inside = [(t, False) for t, _ in inside]
+                    kept = [t for t, f in inside if not f]
                     text = " ".join(kept)
-                    for c, v in zip(out, (text, len(text), len(kept), sum(fixed)), strict=True):
+                    for c, v in zip(out, (text, len(text), len(kept), len(inside) - len(kept)), strict=True):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0], pa.string()), *(pa.array(c, pa.int64()) for c in out[1:])], ["page_id", "url", "text", "n_chars", "n_blocks", "template_blocks"])
 
         return each
 
     schema = rows.select("page_id", "url").schema.add("text", "string").add("n_chars", "long").add("n_blocks", "long").add("template_blocks", "long")
+    none = (0, frozenset())
     if size["hosts"] <= most_hosts and (size["n"] or 0) <= 50 * most_hosts:
-        known = rows.sparkSession.sparkContext.broadcast({r["h"]: frozenset(r["drop"]) for r in texts.collect()})
-        return rows.mapInArrow(run(lambda batch: [known.value.get(host(u), ()) for u in batch.column(1).to_pylist()]), schema)
+        shared = rows.sparkSession.sparkContext.broadcast({r["h"]: (r["main"], frozenset(r["drop"])) for r in hosts.collect()})
+        return rows.mapInArrow(run(lambda batch: [shared.value.get(host(u), none) for u in batch.column(1).to_pylist()]), schema)
     named = _hosts(rows)
-    joined = named.join(texts, named["host"] == texts["h"], "left").select("page_id", "url", "html", "drop")
-    return joined.mapInArrow(run(lambda batch: [frozenset(d or ()) for d in batch.column(3).to_pylist()]), schema)
+    joined = named.join(hosts, named["host"] == hosts["h"], "left").select("page_id", "url", "html", F.coalesce("main", F.lit(0)).alias("main"), "drop")
+    return joined.mapInArrow(run(lambda batch: [(m, frozenset(d or ())) for m, d in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]), schema)
 
 
 def _hosts(rows: DataFrame) -> DataFrame:
