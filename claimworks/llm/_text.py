@@ -7,6 +7,7 @@ the same word has the same hash in every batch, task and run.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,6 +57,16 @@ def sums(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def released(batches) -> Iterator[pa.RecordBatch]:
+    """The batches. At the end of a task its worker gives memory that it holds unused back to the
+    system, as it stays for later tasks beside the JVM."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def string_column(column) -> pa.Array:
     """The column as one 64-bit-offset string array; nulls read as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,10 +1,10 @@
 """Document fingerprints: threshold-scaled sketches of shingle hashes.
 
-A sketch keeps every distinct shingle hash below a fixed fraction of the hash range, so sketches of
-one fraction merge by union and intersect like the texts themselves, however unequal the lengths.
-So that short texts have something to compare, a sketch of fewer than `least` hashes goes on to
-its `least` smallest ones and says up to which value it is complete; two sketches are compared
-below the lower of their limits.
+A sketch keeps every distinct shingle hash below a fixed fraction of the hash range, and only those,
+whatever the length of the text. So sketches merge by union and intersect like the texts themselves,
+however unequal the lengths. A share estimated from a text of n distinct shingles has a standard
+error of about sqrt(p (1 - p) / (n * fraction)): 0.04 for 1,000 shingles, 0.13 for 100. A short text
+may have no hash below the fraction; its share then is 1 if the other's sketch is empty too, else 0.
 """
 
 from __future__ import annotations
@@ -22,9 +22,8 @@ from claimworks.llm import _text
 
 _U = np.uint64
 FRACTION = 1 / 8
-LEAST = 64
+RANGE_CHARS = 8 << 20  # characters of text to a range of ids, about
 WIDTH = 8  # characters in a shingle
-FULL = 2**64 - 1
 
 
 class Sketch:
@@ -34,25 +33,17 @@ class Sketch:
         self.limit, self.hashes = limit, hashes
 
     @classmethod
-    def of(cls, text: str, fraction: float = FRACTION, least: int = LEAST, width: int = WIDTH) -> Sketch:
+    def of(cls, text: str, fraction: float = FRACTION, width: int = WIDTH) -> Sketch:
         """A text shorter than a shingle is one shingle; an empty one has none."""
+        limit = int(2**64 * fraction)
         c = np.frombuffer(text.encode("utf-32-le"), "<u4")
         width = min(width, len(c))
         if not width:
-            return cls(FULL, np.zeros(0, _U))
+            return cls(limit, np.zeros(0, _U))
         up, down = _text.powers(len(c) + 1)
         s = _text.sums((c.astype(_U) + _U(1)) * up[: len(c)])
         h = _text.mix((s[width:] - s[:-width]) * down[: len(c) - width + 1] + _U(width))
-        limit = int(2**64 * fraction)
-        kept = np.unique(h[h < limit])
-        if len(kept) < least:
-            kept = np.unique(h)
-            if len(kept) > least:
-                limit = int(kept[least - 1]) + 1
-                kept = kept[:least]
-            else:
-                limit = FULL
-        return cls(limit, kept)
+        return cls(limit, np.unique(h[h < _U(limit)] if limit < 2**64 else h))
 
     def text(self) -> str:
         return f"{self.limit:016x}.{base64.b64encode(self.hashes.astype('<u8').tobytes()).decode()}"
@@ -66,17 +57,17 @@ class Sketch:
         return self.hashes if limit >= self.limit else self.hashes[: np.searchsorted(self.hashes, _U(limit))]
 
     def merge(self, other: Sketch) -> Sketch:
-        """The sketch of both texts' shingles together."""
+        """The sketch of both texts' shingles together; of the smaller fraction, if they differ."""
         limit = min(self.limit, other.limit)
         return Sketch(limit, np.union1d(self.below(limit), other.below(limit)))
 
-    def containment(self, other: Sketch) -> float | None:
-        """The share of this text's shingles that the other has; 1 for two empty texts, None if
-        none of this text's hashes is below both limits, so that nothing is known."""
+    def containment(self, other: Sketch) -> float:
+        """The share of this text's shingles that the other has. Without a hash of this text below
+        both limits, 1 if the other has none either, else 0."""
         limit = min(self.limit, other.limit)
         a, b = self.below(limit), other.below(limit)
         if not len(a):
-            return None if len(self.hashes) else float(not len(other.hashes))
+            return float(not len(b))
         return len(np.intersect1d(a, b, assume_unique=True)) / len(a)
 
 
@@ -98,13 +89,14 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     The next document is the one with the next smaller doc_id, after the smallest the largest one;
     a null id comes last, rows with equal ids follow in the order of their texts (null: empty), a
     single row is next to itself. near_* is the share of the document's shingles (8 characters)
-    that the other text has, estimated from the fingerprints; null if they have nothing to tell.
+    that the other text has, estimated from the fingerprints.
 
     Rows are dealt into ranges of ids, each with one more row, the first of the range after it, so
     every document meets its next one in a single shuffle. ranges is the number of groups
-    (default: the session's shuffle partitions); only their bounds pass through the driver.
+    (default: one for about RANGE_CHARS characters); only their bounds pass through the driver.
     """
-    ranges = ranges or max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if ranges is None:
+        ranges = max(2, -(-(docs.agg(F.sum(F.length("text"))).first()[0] or 0) // RANGE_CHARS))
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("o"))
     cuts = np.array(_ranges(rows.select("o"), ranges), np.int64)
 

@@ -103,7 +103,7 @@ class Scheme:
 
 def _sets(batches, k: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
     """Document ids, first (offsets of the rows' sets), shingles, rows."""
-    for batch in batches:
+    for batch in _text.released(batches):
         for i, j, data, offsets in _text.chunks(batch.column(1)):
             words = _text.Words(data, offsets)
             row, h = _text.shingles(words.hash(), words.first, k)

@@ -68,7 +68,7 @@ def learn(rows: DataFrame, near: float = 0.3, least: int = 3) -> Model:
     has no language. More than 63 languages raise an error."""
 
     def count(batches):
-        for batch in batches:
+        for batch in _text.released(batches):
             lang = batch.column(1)
             for i, j, data, offsets in _text.chunks(batch.column(0)):
                 code, row = _grams(data, offsets)
@@ -93,7 +93,7 @@ def learn(rows: DataFrame, near: float = 0.3, least: int = 3) -> Model:
         masks = best.select("gram", mask.alias("mask")).filter("mask <> 0")
 
         def place(batches):
-            for batch in batches:
+            for batch in _text.released(batches):
                 code, mask = batch.column(0).to_numpy().astype(np.uint32), batch.column(1).to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_slots(code))), pa.array(np.tile(mask, HASHES))], ["slot", "mask"])
 
@@ -122,7 +122,7 @@ def predict(docs: DataFrame, model: Model, *keep: Column | str) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for batch in batches:
+        for batch in _text.released(batches):
             for i, j, data, offsets in _text.chunks(batch.column(0)):
                 n, k = j - i, len(m.languages)
                 code, row = _grams(data, offsets)

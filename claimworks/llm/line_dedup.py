@@ -105,7 +105,7 @@ def lines(docs: DataFrame, min_words: int) -> DataFrame:
     words; for others it is the hash of the text between white space as it stands."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _text.released(batches):
             for i, j, data, offsets in _text.chunks(batch.column(1)):
                 at, row, number = _line_offsets(data, offsets)
                 words = _text.Words(_NORMAL[data], at, lower=False)
@@ -133,7 +133,7 @@ def _normal_lines(docs: DataFrame) -> DataFrame:
     """line, words (the normalised line) of all lines, each once a chunk."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _text.released(batches):
             for _, _, data, offsets in _text.chunks(batch.column(1)):
                 at, row, _ = _line_offsets(data, offsets)
                 words = _text.Words(_NORMAL[data], at, lower=False)
@@ -161,7 +161,7 @@ def _block_keys(distinct: DataFrame, *more: str) -> DataFrame:
 def _whole_postings(batches):
     """The columns of rows sorted by key, cut where a posting ends."""
     carried = None
-    for batch in batches:
+    for batch in _text.released(batches):
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if carried:
             columns = [np.concatenate(c) for c in zip(carried, columns, strict=True)]
@@ -419,7 +419,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFra
     checked = pairs.join(texts.select(F.col("line").alias("u"), F.col("words").alias("a")), "u").join(texts.select(F.col("line").alias("v"), F.col("words").alias("b")), "v")
 
     def run(batches):
-        for batch in batches:
+        for batch in _text.released(batches):
             good = similar_pairs(batch.column(2).to_pylist(), batch.column(3).to_pylist(), num, den)
             yield batch.select(["u", "v"]).filter(pa.array(good))
 
@@ -480,20 +480,21 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, min_words: int =
     rows = plain.join(drop.select(F.col("doc_id").alias("id"), "drop").hint("merge"), plain[f"c{names.index('doc_id')}"] == F.col("id"), "left").drop("id")
 
     def run(batches):
-        for batch in batches:
-            column = _text.string_column(batch.column(at))
-            n = pc.if_else(pc.is_valid(batch.column(at)), pc.add(pc.cast(pc.count_substring(column, "\n"), pa.int64()), 1), 0)
-            out, gone = batch.column(at), batch.column(batch.num_columns - 1)
-            lost = np.flatnonzero(pc.is_valid(gone).to_numpy(zero_copy_only=False))
-            if len(lost):
-                texts = out.to_pylist()
-                for k in lost:
-                    skip = set(gone[k].as_py())
-                    texts[k] = None if texts[k] is None else "\n".join(x for i, x in enumerate(texts[k].split("\n")) if i not in skip)
-                out = pa.array(texts, pa.string())
-            n_removed = pc.fill_null(pc.cast(pc.list_value_length(gone), pa.int64()), 0)
-            columns = [out if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.StructArray.from_arrays([n, n_removed], ["n_lines", "n_removed"])], [*labels, "counts"])
+        for whole in _text.released(batches):
+            for begin in range(0, whole.num_rows, 512):
+                batch = whole.slice(begin, 512)
+                out, gone = batch.column(at), batch.column(batch.num_columns - 1)
+                n = pc.if_else(pc.is_valid(out), pc.add(pc.cast(pc.count_substring(_text.string_column(out), "\n"), pa.int64()), 1), 0)
+                lost = np.flatnonzero(pc.is_valid(gone).to_numpy(zero_copy_only=False))
+                if len(lost):
+                    texts = out.to_pylist()
+                    for k in lost:
+                        skip = set(gone[k].as_py())
+                        texts[k] = None if texts[k] is None else "\n".join(x for i, x in enumerate(texts[k].split("\n")) if i not in skip)
+                    out = pa.array(texts, pa.string())
+                n_removed = pc.fill_null(pc.cast(pc.list_value_length(gone), pa.int64()), 0)
+                columns = [out if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.StructArray.from_arrays([n, n_removed], ["n_lines", "n_removed"])], [*labels, "counts"])
 
     kind = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     done = rows.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("counts", kind)]))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from claimworks.llm import _store, _text
 
 _U = np.uint64
-SPARE_BITS = 26  # an n-gram shares its hash with another once in 2**26 times, as long as 64 bits suffice
+SPARE_BITS = 20  # an n-gram shares its hash with another once in a million times, as long as 64 bits suffice
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -48,7 +48,7 @@ def _unpacked(blob: bytes) -> np.ndarray:
 def _pieces(batches, most: int):
     """(doc ids, word hashes, first word of each row) of consecutive rows of about `most` bytes."""
     held, size = [], 0
-    for batch in batches:
+    for batch in _text.released(batches):
         for i, j, data, offsets in _text.chunks(batch.column(1), min(most, 4 << 20)):
             words = _text.Words(data, offsets)
             held.append((batch.column(0).slice(i, j - i), words.hash(), np.diff(words.first)))
@@ -98,7 +98,7 @@ def _requests(order: int, parts: int, bits: int):
     """The rows of each chunk and part: order, the sorted n-grams and how often the chunk has them."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _text.released(batches):
             for chunk, lengths, words, places in zip(*(batch.column(c).to_pylist() for c in ("chunk", "lengths", "words", "places")), strict=True):
                 for k, gram, _ in _grams(words, places, lengths, order, bits):
                     gram, n = np.unique(gram, return_counts=True)

@@ -48,7 +48,7 @@ class Page:
 
     def __init__(self, x: np.ndarray, radius2: float, leaf_rows: int):
         self.x, self.radius2 = x, radius2
-        lifted = _lift(x, radius2)
+        lifted = _lift(x.astype(np.float64), radius2)
         self.center = lifted.mean(axis=0)
         n = max(1, -(-len(x) // leaf_rows))
         seeds = lifted[np.linspace(0, len(x) - 1, n).astype(int)]
@@ -65,13 +65,13 @@ class Page:
     def search(self, q: np.ndarray, least: float, keep: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and products of the vectors that can be among the `keep` largest products, of
         which `least` is already reached. All ties with the last one are among them."""
-        point = np.append(q, 0.0)
-        size = float(q @ q) + self.radius2
+        point = np.append(q.astype(np.float64), 0.0)
+        size = float(point @ point) + self.radius2
         limit = lambda score: np.sqrt(max(size - 2.0 * score, 0.0)) + EPS * (1 + size**0.5) if score > -np.inf else np.inf
         near = limit(least)
         from_parent = float(np.linalg.norm(point - self.center))
         bound = np.abs(from_parent - self.to_parent) - self.radii
-        at, score = np.zeros(0, np.int64), np.zeros(0)
+        at, score = np.zeros(0, np.int64), np.zeros(0, np.int64)  # whole numbers, exact below 2^63
         todo = np.flatnonzero(bound <= near)
         exact = np.linalg.norm(self.centers[todo] - point, axis=1)
         lower = exact - self.radii[todo]
@@ -91,8 +91,8 @@ class Page:
 
 def _matrix(column) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.int64)
 
 
 def _assign(vectors: DataFrame, pivots: list[list[int]], radius2: float) -> DataFrame:
@@ -102,18 +102,21 @@ def _assign(vectors: DataFrame, pivots: list[list[int]], radius2: float) -> Data
         routes = _lift(np.array(pivots, float), radius2)
         for batch in batches:
             if batch.num_rows:
-                d = _far(_lift(_matrix(batch.column(1)), radius2), routes)
+                d = _far(_lift(_matrix(batch.column(1)).astype(np.float64), radius2), routes)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d.argmin(axis=1).astype(np.int32))], ["vec_id", "x", "route"])
 
-    return vectors.mapInArrow(run, "vec_id long, x array<int>, route int")
+    return vectors.mapInArrow(run, "vec_id long, x array<long>, route int")
 
 
 def integers(rows: DataFrame, scale: int = 256) -> DataFrame:
     """vec_id, x: floor(scale * component), the component as double. Rows with a null vector, an
-    empty one, or a component that is null or not finite are left out."""
+    empty one, or a component that is null or not finite are left out, and so are vectors whose
+    squared length is 2^62 or more, as their products don't fit a score."""
     usable = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))))
+    length2 = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + F.pow(F.floor(v.cast("double") * scale).cast("double"), F.lit(2.0)))
     rows = rows.select("vec_id", "embedding").filter((F.size("embedding") > 0) & F.coalesce(usable, F.lit(False)) & F.col("vec_id").isNotNull())
-    return rows.select(F.col("vec_id").cast("long"), F.transform("embedding", lambda v: F.floor(v.cast("double") * scale).cast("int")).alias("x"))
+    rows = rows.filter(length2 < 2.0**62)
+    return rows.select(F.col("vec_id").cast("long"), F.transform("embedding", lambda v: F.floor(v.cast("double") * scale).cast("long")).alias("x"))
 
 
 def top_k(rows: DataFrame, k: int = 5, every: int = 50, routes: int = 64, page_rows: int = 4096, leaf_rows: int = 64, block_rows: int = 512) -> DataFrame:
@@ -127,9 +130,7 @@ def top_k(rows: DataFrame, k: int = 5, every: int = 50, routes: int = 64, page_r
     """
     found = integers(rows).withColumn("dims", F.size("x"))
     found = _store.table(found.groupBy("vec_id").agg(F.min(F.struct("dims", "x")).alias("v")).select("vec_id", "v.*"), "vectors")
-    shapes = [r["dims"] for r in found.select("dims").distinct().limit(65).collect()]
-    if len(shapes) > 64:
-        raise ValueError("more than 64 different vector lengths")
+    shapes = [r["dims"] for r in found.select("dims").distinct().collect()]  # a number for each length of vectors
     parts = [_top_k(found.filter(F.col("dims") == d).drop("dims"), d, k, every, routes, page_rows, leaf_rows, block_rows) for d in sorted(shapes)]
     if not parts:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -189,7 +190,7 @@ def _top_k(vectors: DataFrame, dims: int, k: int, every: int, routes: int, page_
                 page, ids = Page(_matrix(page_table["x"]), radius2, leaf_rows), page_table["vec_id"].to_numpy()
                 for q, x, least in zip(query_table["query"].to_pylist(), _matrix(query_table["q"]), query_table["least"].to_pylist(), strict=True):
                     at, score = page.search(x, -np.inf if least is None else least, k + 1)
-                    out.append((np.full(len(at), q), ids[at], score.astype(np.int64)))
+                    out.append((np.full(len(at), q), ids[at], score))
             q, rep, score = (np.concatenate(c) for c in zip(*out, strict=True))
             return pa.table({"query_id": q, "rep": rep, "score": score})
 
