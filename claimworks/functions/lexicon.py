@@ -99,3 +99,11 @@ FACTCHECKED = ["health", "policy", "elections", "economy", "digital"]
 TAU = 0.6
 MOST_EXPANSIONS = 5000
 LIMITS = {"predict": 30, "verify": 10, "extract": 5, "opinion": 10}
+
+# fixed values: the summary sentences (text that isn't read, text under pressure, before and after the risk)
+SUMMARIES = (
+    "The rule engine only reads English. Use the fact-check lookup for this text.",
+    "The wording shows strong risk signals plus pressure to forward. That pattern is common in misleading messages — check before sharing.",
+    "Language risk is ",
+    ". This reads the wording only, not the facts — the claim is unverified until confirmed with an official source.",
+)

@@ -48,7 +48,7 @@ def strings(values) -> Column:
 
 def find_terms(joined_tokens: Column, terms) -> Column:
     """The terms that occur, in list order, each once."""
-    return F.filter(strings(terms), lambda t: F.contains(joined_tokens, F.concat(F.lit(" "), t, F.lit(" "))))
+    return F.array_compact(F.array(*[F.when(has(joined_tokens, t), F.lit(t)) for t in terms]))  # no lambda: the tokens are joined once
 
 
 def phrase_indices(tokens: Column, phrase: list[str]) -> Column:

@@ -29,8 +29,8 @@ def debunk(j: Column) -> Column:
 
 def sensational(j: Column, framing: Column) -> Column:
     """(term, weight) of the terms that occur; some don't count in a text that debunks."""
-    terms = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(w).alias("weight")) for t, w in L.SENSATIONAL.items()])
-    return F.filter(terms, lambda t: F.contains(j, F.concat(F.lit(" "), t["term"], F.lit(" "))) & ~(framing & t["term"].isin(L.SUPPRESSED)))
+    counts = lambda t: has(j, t) & ~framing if t in L.SUPPRESSED else has(j, t)
+    return F.array_compact(F.array(*[F.when(counts(t), F.struct(F.lit(t).alias("term"), F.lit(w).alias("weight"))) for t, w in L.SENSATIONAL.items()]))
 
 
 def upper_tokens(raw: Column) -> Column:
@@ -176,4 +176,5 @@ def key_terms() -> Column:
 
 
 def summary() -> Column:
-    return F.when(F.col("language_risk") == "unknown", "The rule engine only reads English. Use the fact-check lookup for this text.").when(F.col("verdict") == "likely-misleading", "The wording shows strong risk signals plus pressure to forward. That pattern is common in misleading messages — check before sharing.").otherwise(F.concat(F.lit("Language risk is "), F.col("language_risk"), F.lit(". This reads the wording only, not the facts — the claim is unverified until confirmed with an official source.")))
+    unread, pressing, before, after = L.SUMMARIES
+    return F.when(F.col("language_risk") == "unknown", unread).when(F.col("verdict") == "likely-misleading", pressing).otherwise(F.concat(F.lit(before), F.col("language_risk"), F.lit(after)))

@@ -3,16 +3,11 @@
 A claim's problem is its vector of eleven gains (hundredths, whole numbers); claims share
 problems, so everything here runs over distinct problems and is joined back. A state is a bitmask
 of done checks, 2,048 of them. Optimal cost, breadth-first and hill-climbing results have closed
-forms; only the best-first searches, whose expansions depend on the order of a queue, run as a
-function over distinct problems.
+forms. Searches whose expansions depend on the order of a queue aren't simulated.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,31 +15,44 @@ from claimworks.functions import lexicon as L
 
 N = len(L.CHECKS)
 STATES = 1 << N
-EPS = 1e-9
 
 
-def gains(scored: DataFrame) -> Column:
-    """The eleven gains of a scored claim in hundredths."""
-    local = {"sensational": "s_sensational", "emotion": "s_emotion", "urgency": "s_urgency", "specificity": "s_specificity", "style": "s_style", "clickbait": "s_clickbait"}
-    out = [F.abs(F.col(local[c]) - 50) * 2 if c in local else F.lit(0) for c in L.CHECKS[:8]]
-    checked = F.arrays_overlap("topics", F.array(*map(F.lit, L.FACTCHECKED)))
-    specific = (F.size("dates") > 0) | (F.size("bodies") > 0)
-    out.append(150 + F.when(checked, 100).otherwise(0) + F.when(F.col("language_risk") == "high", 50).otherwise(0))
-    out.append((100 + F.when(specific, 100).otherwise(0)) * F.when(F.col("language") == "english", 100).otherwise(50) / 100)
+_LOCAL = {"sensational": "s_sensational", "emotion": "s_emotion", "urgency": "s_urgency", "specificity": "s_specificity", "style": "s_style", "clickbait": "s_clickbait"}
+_TRAITS = [*_LOCAL.values(), "checked", "specific", "risky", "english"]
+
+
+def traits(scored: DataFrame) -> DataFrame:
+    """scored with what a problem depends on: the six scores and four flags."""
+    return scored.withColumns({
+        "checked": F.arrays_overlap("topics", F.array(*map(F.lit, L.FACTCHECKED))), "specific": (F.size("dates") > 0) | (F.size("bodies") > 0),
+        "risky": F.col("language_risk") == "high", "english": F.col("language") == "english",
+    })
+
+
+def gains() -> Column:
+    """The eleven gains in hundredths, from the traits."""
+    out = [F.abs(F.col(_LOCAL[c]) - 50) * 2 if c in _LOCAL else F.lit(0) for c in L.CHECKS[:8]]
+    out.append(150 + F.when(F.col("checked"), 100).otherwise(0) + F.when(F.col("risky"), 50).otherwise(0))
+    out.append((100 + F.when(F.col("specific"), 100).otherwise(0)) * F.when(F.col("english"), 100).otherwise(50) / 100)
     out.append(F.lit(60))
     return F.array(*[x.cast("int") for x in out])
 
 
-def problems(scored: DataFrame) -> DataFrame:
-    """claim_id, gains, total and need (the threshold in thousandths of a gain)."""
-    rows = scored.select("claim_id", gains(scored).alias("gains"))
+def _with_need(rows: DataFrame) -> DataFrame:
     total = F.aggregate("gains", F.lit(0), lambda a, x: a + x)
     return rows.withColumn("total", total).withColumn("need", total * int(L.TAU * 10))
 
 
+def problems(scored: DataFrame) -> DataFrame:
+    """claim_id, gains, total and need (the threshold in thousandths of a gain)."""
+    return _with_need(traits(scored).select("claim_id", gains().alias("gains")))
+
+
 def distinct_problems(scored: DataFrame) -> DataFrame:
-    """gains, total, need, claims: one row per distinct problem."""
-    return problems(scored).groupBy("gains").agg(F.count("*").alias("claims"), F.first("total").alias("total"), F.first("need").alias("need"))
+    """gains, total, need, claims: one row per distinct problem. Claims are counted by their traits,
+    so the gains are derived from few rows."""
+    counted = traits(scored).groupBy(*_TRAITS).agg(F.count("*").alias("claims"))
+    return _with_need(counted.select(gains().alias("gains"), "claims").groupBy("gains").agg(F.sum("claims").alias("claims")))
 
 
 def over_bits(mask: Column, values: Column) -> Column:
@@ -122,96 +130,3 @@ def order_plan(plans: DataFrame) -> DataFrame:
 def set_label(mask: Column) -> Column:
     names = F.array(*[F.when(F.getbit(mask, F.lit(i)) == 1, F.lit(x)) for i, x in enumerate(L.LABELS)])
     return F.when(mask == 0, "{ }").otherwise(F.concat(F.lit("{"), F.array_join(F.filter(names, lambda x: x.isNotNull()), ", "), F.lit("}")))
-
-
-class Search:
-    """Best-first search over one problem: uniform cost, A* or greedy."""
-
-    def __init__(self, gains: list[int], costs=tuple(L.COSTS), tau: float = L.TAU):
-        self.gain, self.cost = [g / 100 for g in gains], costs
-        self.threshold = tau * sum(self.gain)
-        self.rest = sorted((i for i in range(len(gains)) if gains[i] > 0), key=lambda i: (costs[i] / self.gain[i], i))
-
-    def evidence(self, mask: int) -> float:
-        return sum(g for i, g in enumerate(self.gain) if mask >> i & 1)
-
-    def bound(self, mask: int) -> float:
-        need, h = self.threshold - self.evidence(mask), 0.0
-        if need <= EPS:
-            return 0.0
-        for i in self.rest:
-            if mask >> i & 1:
-                continue
-            if self.gain[i] >= need:
-                return h + self.cost[i] * need / self.gain[i]
-            h, need = h + self.cost[i], need - self.gain[i]
-        return h if need <= EPS else float("inf")
-
-    def run(self, how: str, most: int = L.MOST_EXPANSIONS) -> dict:
-        """plan (mask, -1 if none), cost, expanded, generated and the tree's rows (id, parent, mask,
-        check, g, h, depth, status). Equal priorities, to 1e-12, leave in the order they came."""
-        key = {"ucs": lambda g, h: g, "astar": lambda g, h: g + h, "greedy": lambda g, h: h}[how]
-        nodes = [[0, None, 0, None, 0.0, self.bound(0), 0, "frontier"]]
-        best, closed, queue, expanded = {0: 0.0}, set(), [(round(key(0.0, nodes[0][5]) * 1e11), 0)], 0
-        goal = -1
-        while queue:
-            node = nodes[heapq.heappop(queue)[1]]
-            mask, g = node[2], node[4]
-            if g > best.get(mask, float("inf")) + 1e-12 or (mask in closed and how != "astar"):
-                node[7] = "pruned"
-                continue
-            node[7] = "expanded"
-            expanded += 1
-            closed.add(mask)
-            if self.evidence(mask) >= self.threshold - EPS:
-                goal = node[0]
-                break
-            if expanded >= most:
-                break
-            for i in range(len(self.gain)):
-                if mask >> i & 1:
-                    continue
-                child = mask | 1 << i
-                cg, ch = g + self.cost[i], self.bound(child)
-                nodes.append([len(nodes), node[0], child, i, cg, ch, node[6] + 1, "frontier"])
-                if ch == float("inf") or (child in best and cg >= best[child] - 1e-12) or (child in closed and how != "astar"):
-                    nodes[-1][7] = "pruned"
-                    continue
-                best[child] = cg
-                closed.discard(child)
-                heapq.heappush(queue, (round(key(cg, ch) * 1e11), nodes[-1][0]))
-        found = nodes[goal] if goal >= 0 else None
-        return {"plan": found[2] if found else -1, "cost": round(found[4], 2) if found else None, "expanded": expanded, "generated": len(nodes), "tree": nodes}
-
-
-ALGORITHMS = ("ucs", "astar", "greedy")
-
-
-def best_first(distinct: DataFrame) -> DataFrame:
-    """gains, algorithm, plan, cost, expanded, generated for each distinct problem."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for g in f["gains"]:
-                s = Search([int(x) for x in g])
-                for how in ALGORITHMS:
-                    r = s.run(how)
-                    rows.append((list(map(int, g)), how, r["plan"], r["cost"], r["expanded"], r["generated"]))
-            yield pd.DataFrame(rows, columns=["gains", "algorithm", "plan", "cost", "expanded", "generated"])
-
-    return distinct.select("gains").mapInPandas(run, "gains array<int>, algorithm string, plan int, cost double, expanded int, generated int")
-
-
-def search_tree(distinct: DataFrame, how: str = "astar") -> DataFrame:
-    """gains, id, parent, mask, check, g, h, depth, status: all nodes that a search generates."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for g in f["gains"]:
-                key = list(map(int, g))
-                rows = [[key, *n] for n in Search(key).run(how)["tree"]]
-                out = pd.DataFrame(rows, columns=["gains", "id", "parent", "mask", "check", "g", "h", "depth", "status"])
-                yield out.astype({"parent": "Int32", "check": "Int32"})
-
-    return distinct.select("gains").mapInPandas(run, "gains array<int>, id int, parent int, mask int, check int, g double, h double, depth int, status string")

@@ -71,7 +71,7 @@ add("risk_score", on(_scores, lambda: ["risk_score", "language_risk"]), f"{S.SCO
 add("engine_verdict", on(_scores, lambda: ["verdict", "strength"]), f"{S.SCORES} SELECT claim_id, verdict, CASE WHEN verdict = 'likely-misleading' THEN 'weak' ELSE 'none' END AS strength FROM r")
 add("legacy_label", on(_scores, lambda: [F.when(F.col("verdict") == "likely-misleading", "FAKE").otherwise("UNVERIFIED").alias("label")]), f"{S.SCORES} SELECT claim_id, CASE WHEN verdict = 'likely-misleading' THEN 'FAKE' ELSE 'UNVERIFIED' END AS label FROM r")
 add("key_terms", on(_scores, lambda: [text_of(D.key_terms()).alias("terms")]), f"{S.SCORES}, k AS (SELECT claim_id, list_concat(list_concat(list_transform(sensational, lambda t: t.term), urgency), list_concat(clickbait, emotion)) AS a FROM r) SELECT claim_id, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i)[1:6], '|') AS terms FROM k")
-_SUMMARY = "CASE WHEN language_risk = 'unknown' THEN 'The rule engine only reads English. Use the fact-check lookup for this text.' WHEN verdict = 'likely-misleading' THEN 'The wording shows strong risk signals plus pressure to forward. That pattern is common in misleading messages — check before sharing.' ELSE 'Language risk is ' || language_risk || '. This reads the wording only, not the facts — the claim is unverified until confirmed with an official source.' END"
+_SUMMARY = f"CASE WHEN language_risk = 'unknown' THEN {quoted(L.SUMMARIES[0])} WHEN verdict = 'likely-misleading' THEN {quoted(L.SUMMARIES[1])} ELSE {quoted(L.SUMMARIES[2])} || language_risk || {quoted(L.SUMMARIES[3])} END"
 add("summary", on(_scores, lambda: [D.summary().alias("summary")]), f"{S.SCORES} SELECT claim_id, {_SUMMARY} AS summary FROM r")
 add("aspects_exploded", lambda s, d: D.aspects(_scores(s, d)), f"{S.ASPECTS_SQL} SELECT * FROM asp")
 add("topic_hits", lambda s, d: _signals(s, d).select("claim_id", F.explode_outer("hits").alias("h")).select("claim_id", "h.topic", "h.hits").filter("hits > 0"), f"{S.SIGNALS}, h AS (SELECT claim_id, unnest(hits) AS h FROM d3) SELECT claim_id, h.topic AS topic, h.hits::INTEGER AS hits FROM h WHERE h.hits > 0")

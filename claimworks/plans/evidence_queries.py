@@ -171,3 +171,18 @@ de AS (SELECT c.claim_id, coalesce(neg, 0) AS neg, coalesce(pos, 0) AS pos, coal
 _RULE = "CASE WHEN neg > 0 THEN 'a' WHEN coalesce(opinion, '') = 'contradicted' THEN 'f' WHEN pos > 0 THEN 'b' WHEN dom >= 2 AND mix = 0 THEN 'c' ELSE 'f' END"
 add("decide", decisions, f"{DECIDE}, ru AS (SELECT *, {_RULE} AS rule FROM de) SELECT claim_id, rule, CASE rule WHEN 'a' THEN 'likely-misleading' WHEN 'f' THEN 'unverified' ELSE 'likely-credible' END AS verdict, CASE WHEN rule = 'f' THEN 'low' WHEN rule = 'a' THEN ['high', 'medium', 'low'][1 + (pos > 0)::INTEGER + (coalesce(opinion, '') = 'supported')::INTEGER] WHEN opinion = 'supported' THEN 'high' ELSE 'medium' END AS confidence FROM ru")
 add("decide_flags", lambda s, d: facts(s, d).groupBy("claim_id").agg(F.bool_or(F.col("rating_bucket").isin("false", "misleading")).alias("negative"), F.bool_or(F.col("rating_bucket") == "true").alias("positive"), F.bool_or(F.col("rating_bucket") == "mixed").alias("mixed")), f"WITH {FACTS} SELECT claim_id, bool_or(rating_bucket IN ('false', 'misleading')) AS negative, bool_or(rating_bucket = 'true') AS positive, bool_or(rating_bucket = 'mixed') AS mixed FROM fc GROUP BY claim_id")
+
+#: What stands before an outlet's domain: nothing, subdomains, and what makes it another domain.
+PREFIXES = ["", "m.", "www.", "not-", "en.www."]
+
+
+def registered(spark, d) -> DataFrame:
+    """A domain made from each outlet in turn for every page, and whether it is reputable."""
+    i = F.col("page_id")
+    rows = read(spark, d, "pages").select("page_id", F.concat(pick(PREFIXES, F.floor(i / len(L.OUTLETS))), pick(L.OUTLETS, i)).alias("raw"))
+    return rows.select("page_id", E.domain(F.col("raw")).alias("domain")).withColumn("reputable", E.reputable(F.col("domain")))
+
+
+_REGISTERED = rf"""WITH o AS (SELECT page_id, trim(regexp_replace(lower({sql_list(PREFIXES)}[(page_id // {len(L.OUTLETS)}) % {len(PREFIXES)} + 1] || {sql_list(L.OUTLETS)}[page_id % {len(L.OUTLETS)} + 1]), '^www\.', '')) AS domain FROM pages)
+SELECT page_id, domain, EXISTS (SELECT 1 FROM (SELECT unnest({sql_list(L.OUTLETS)}) AS x) t WHERE domain = x OR ends_with(domain, '.' || x)) AS reputable FROM o"""
+add("outlet_registry", registered, _REGISTERED)

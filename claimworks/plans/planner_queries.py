@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimworks.functions import lexicon as L
@@ -25,17 +25,8 @@ def problems(spark, d) -> DataFrame:
     return P.problems(DQ._scores(spark, d))
 
 
-_kept: dict = {}
-
-
 def distinct(spark, d) -> DataFrame:
-    """The distinct problems, persisted: few rows, read several times by most queries, and the
-    optimizer doesn't carry the text expressions into what follows."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = P.distinct_problems(DQ._scores(spark, d)).persist()
-    return _kept[key]
+    return P.distinct_problems(DQ._scores(spark, d))
 
 
 def text(df: DataFrame) -> DataFrame:
@@ -123,27 +114,3 @@ def summary(spark, d) -> DataFrame:
 
 
 add("plan_summary", summary, f"{PLANS}, ps AS (SELECT gains, count(*) AS planned, sum(cost) AS cost, sum(gain) AS evidence FROM pc GROUP BY gains) SELECT claim_id, planned, cost, evidence, {P.N} - planned AS skipped FROM pb JOIN ps USING (gains)")
-add("best_first", lambda s, d: text(P.best_first(distinct(s, d))))
-add("astar_cost", lambda s, d: text(P.best_first(distinct(s, d)).filter("algorithm in ('astar', 'ucs')").select("gains", "algorithm", "cost")), f"{STATES} SELECT gains, algorithm, min(cost)::DOUBLE AS cost FROM sg, (VALUES ('astar'), ('ucs')) a(algorithm) WHERE goal GROUP BY gains, algorithm")
-add("search_tree", lambda s, d: text(P.search_tree(distinct(s, d))))
-add("tree_counts", lambda s, d: text(P.search_tree(distinct(s, d))).groupBy("gains").agg(F.count_if(F.col("status") == "expanded").alias("expanded"), F.count("*").alias("generated")))
-
-
-def alternatives(spark, d) -> DataFrame:
-    """Per parent of the tree its two most promising children: not pruned first, then least g + h."""
-    rows = text(P.search_tree(distinct(spark, d))).filter("parent is not null").dropDuplicates(["gains", "parent", "mask"])
-    order = Window.partitionBy("gains", "parent").orderBy((F.col("status") == "pruned").cast("int"), F.col("g") + F.col("h"), "id")
-    return rows.withColumn("n", F.row_number().over(order)).filter("n <= 2").select("gains", "parent", "n", "id", "mask", "status")
-
-
-add("tree_alternatives", alternatives)
-
-
-def inspect(spark, d) -> DataFrame:
-    """Every node with its number of children and f = g + h."""
-    t = text(P.search_tree(distinct(spark, d)))
-    children = t.filter("parent is not null").groupBy("gains", F.col("parent").alias("id")).agg(F.count("*").alias("children"))
-    return t.join(children, ["gains", "id"], "left").select("gains", "id", "parent", F.coalesce("children", F.lit(0)).alias("children"), F.round(F.col("g") + F.col("h"), 6).alias("f"))
-
-
-add("node_inspect", inspect)

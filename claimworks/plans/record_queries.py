@@ -62,7 +62,13 @@ lb(x) AS (VALUES ('false'), ('true'), ('unverifiable')), cm AS (SELECT a.x AS ac
 add("confusion_matrix", evaluated, f"{CELLS} SELECT * FROM cm")
 add("per_class_metrics", lambda s, d: R.class_metrics(evaluated(s, d)), f"{CELLS}, t AS (SELECT x AS label, (SELECT sum(n) FROM cm WHERE actual = x AND predicted = x) AS tp, (SELECT sum(n) FROM cm WHERE predicted = x) AS np, (SELECT sum(n) FROM cm WHERE actual = x) AS na FROM lb) SELECT label, CASE WHEN np > 0 THEN round((100.0 * tp / np)::DOUBLE, 1)::VARCHAR || '%' ELSE 'n/a' END AS precision, CASE WHEN na > 0 THEN round((100.0 * tp / na)::DOUBLE, 1)::VARCHAR || '%' ELSE 'n/a' END AS recall FROM t")
 add("accuracy_baseline", lambda s, d: R.accuracy(evaluated(s, d)), f"{CELLS} SELECT sum(n) FILTER (WHERE actual = predicted)::BIGINT AS \"right\", sum(n)::BIGINT AS total, round(sum(n) FILTER (WHERE actual = predicted)::DOUBLE / sum(n), 6) AS accuracy, round((SELECT max(k) FROM (SELECT sum(n) AS k FROM cm GROUP BY actual))::DOUBLE / sum(n), 6) AS baseline FROM cm")
-add("rate_limit", lambda s, d: rate_limit.limited(read(s, d, "events"), L.LIMITS["extract"], 3600).select("event_id", "ok", "retry_after"))
+_LIMIT, _WINDOW = L.LIMITS["extract"], 3600
+_LIMITED = f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+w AS (SELECT event_id, user_id, n, t, t + {_WINDOW}000000 AS reset, 1 AS c, true AS ok FROM e WHERE n = 1
+  UNION ALL SELECT e.event_id, e.user_id, e.n, e.t, CASE WHEN e.t >= w.reset THEN e.t + {_WINDOW}000000 ELSE w.reset END, CASE WHEN e.t >= w.reset THEN 1 WHEN w.c < {_LIMIT} THEN w.c + 1 ELSE w.c END, e.t >= w.reset OR w.c < {_LIMIT}
+  FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
+SELECT event_id, ok, CASE WHEN NOT ok THEN CAST(ceil((reset - t) / 1000000.0) AS INTEGER) END AS retry_after FROM w"""
+add("rate_limit", lambda s, d: rate_limit.limited(read(s, d, "events"), _LIMIT, _WINDOW).select("event_id", "ok", "retry_after"), _LIMITED)
 
 
 def visible(spark, d, user: int) -> DataFrame:
@@ -75,3 +81,17 @@ def visible(spark, d, user: int) -> DataFrame:
 for _name, _user in (("rls_exists", 7), ("own_or_admin", 10)):
     add(_name, lambda s, d, u=_user: visible(s, d, u), f"SELECT l_orderkey AS submission_id, count(*) AS n FROM lineitem WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_custkey = {_user}) OR EXISTS (SELECT 1 FROM customer WHERE c_custkey = {_user} AND c_custkey % 10 = 0) GROUP BY l_orderkey")
 add("dim_sources", lambda s, d: s.createDataFrame([(i, x[0], t) for i, x in enumerate(L.SOURCES) for t in x[3]], "ord int, id string, topic string"), "SELECT * FROM (VALUES " + ", ".join(f"({i}, {quoted(x[0])}, {quoted(t)})" for i, x in enumerate(L.SOURCES) for t in x[3]) + ") v(ord, id, topic)")
+
+
+def registry(name: str, rows: list[tuple], schema: str) -> None:
+    """A table of fixed values as a query."""
+    columns = ", ".join(c.split()[0] for c in schema.split(", "))
+    values = ", ".join("(" + ", ".join(quoted(x) if isinstance(x, str) else "NULL::INTEGER" if x is None else str(x) for x in r) + ")" for r in rows)
+    add(name, lambda s, d: s.createDataFrame(rows, schema), f"SELECT * FROM (VALUES {values}) v({columns})")
+
+
+registry("dim_outlets", list(enumerate(L.OUTLETS)), "ord int, domain string")
+registry("dim_ratings", [(n, b) for b, names in L.RATINGS.items() for n in names], "name string, bucket string")
+registry("dim_topics", [(i, t, k) for i, (t, words) in enumerate(L.TOPICS.items()) for k in words], "ord int, topic string, keyword string")
+_LISTS = {"hedging": L.HEDGING, "debunk": L.DEBUNK, "emotion": L.EMOTION, "urgency": L.URGENCY, "forward": L.FORWARD, "clickbait": L.CLICKBAIT, "body": L.BODIES, "verb": L.VERBS}
+registry("dim_lexicon", [("sensational", i, t, w) for i, (t, w) in enumerate(L.SENSATIONAL.items())] + [(name, i, t, None) for name, terms in _LISTS.items() for i, t in enumerate(terms)], "list string, ord int, term string, weight int")
