@@ -10,8 +10,8 @@ Template text is what belongs to a valid class and stands on half of the host's
 
 The tags that occur once a page and on half of the pages at least cut the pages into slots. The main
 slot is the innermost of them that holds most of the host's text. From a page's main slot (or the
-article element around it) everything is taken but template text and what is marked as menu, advert,
-form, comments or the like. Marks and article elements alone decide on pages without a main slot.
+article element around it) everything is taken but template text, where no article element holds it, and
+what is marked as menu, advert, form, comments or the like. Marks and article elements alone decide on pages without a main slot.
 """
 
 from __future__ import annotations
@@ -180,8 +180,8 @@ def extract(pages: DataFrame, support: int = 2, most_hosts: int = 20_000) -> Dat
     per row of pages.
 
     A null or empty html has an empty text. Blocks are joined in page order by one space. Marked
-    blocks are left out. So is template text, unless it is most of what a page would have (pages that
-    hold nearly the same article). A host with fewer than `support` different pages has no template; a
+    blocks are left out. So is template text outside article elements, unless it is most of what a page
+    would have (pages that hold nearly the same article). A host with fewer than `support` different pages has no template; a
     page without a host shares one with the others without. Up to most_hosts hosts the templates are
     broadcast (their number of tokens a host is bounded by twice the blocks of a page); beyond that
     pages and templates are joined, where Spark can split a large host. Other columns are ignored.
@@ -207,7 +207,7 @@ def extract(pages: DataFrame, support: int = 2, most_hosts: int = 20_000) -> Dat
                     if any(s and a for s, (_, _, a, _) in zip(slot, found, strict=True)) or not any(slot):
                         articles = any(a and not s for _, _, a, s in found)
                         slot = [a or not articles for _, _, a, _ in found]
-                    inside = [(t, _text_token(w, t) in drop) for (t, w, _, s), x in zip(found, slot, strict=True) if x and not s]
+                    inside = [(t, not a and _text_token(w, t) in drop) for (t, w, a, s), x in zip(found, slot, strict=True) if x and not s]
                     fixed = sum(len(t) for t, f in inside if f)
                     if 2 * fixed > sum(len(t) for t, _ in inside):
                         inside = [(t, False) for t, _ in inside]
