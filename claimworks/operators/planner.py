@@ -38,21 +38,22 @@ def gains() -> Column:
     return F.array(*[x.cast("int") for x in out])
 
 
-def _with_need(rows: DataFrame) -> DataFrame:
+def _with_need(rows: DataFrame, tau: float) -> DataFrame:
     total = F.aggregate("gains", F.lit(0), lambda a, x: a + x)
-    return rows.withColumn("total", total).withColumn("need", total * int(L.TAU * 10))
+    return rows.withColumn("total", total).withColumn("need", total * round(tau * 10))
 
 
-def problems(scored: DataFrame) -> DataFrame:
-    """claim_id, gains, total and need (the threshold in thousandths of a gain)."""
-    return _with_need(traits(scored).select("claim_id", gains().alias("gains")))
+def problems(scored: DataFrame, tau: float = L.TAU) -> DataFrame:
+    """claim_id, gains, total and need (the threshold in thousandths of a gain); tau, the share of
+    the total that is needed, counts in tenths."""
+    return _with_need(traits(scored).select("claim_id", gains().alias("gains")), tau)
 
 
-def distinct_problems(scored: DataFrame) -> DataFrame:
+def distinct_problems(scored: DataFrame, tau: float = L.TAU) -> DataFrame:
     """gains, total, need, claims: one row per distinct problem. Claims are counted by their traits,
     so the gains are derived from few rows."""
     counted = traits(scored).groupBy(*_TRAITS).agg(F.count("*").alias("claims"))
-    return _with_need(counted.select(gains().alias("gains"), "claims").groupBy("gains").agg(F.sum("claims").alias("claims")))
+    return _with_need(counted.select(gains().alias("gains"), "claims").groupBy("gains").agg(F.sum("claims").alias("claims")), tau)
 
 
 def over_bits(mask: Column, values: Column) -> Column:
@@ -60,10 +61,12 @@ def over_bits(mask: Column, values: Column) -> Column:
     return F.aggregate(F.transform(values, lambda v, i: v * F.getbit(mask, i)), F.lit(0), lambda a, x: (a + x).cast("int"))
 
 
-def states(distinct: DataFrame) -> DataFrame:
-    """Every problem with each of its 2,048 states: mask, size, cost, evidence, goal."""
+def states(distinct: DataFrame, costs: dict[str, int] | None = None) -> DataFrame:
+    """Every problem with each of its 2,048 states: mask, size, cost, evidence, goal. costs replaces
+    the costs of some checks."""
+    prices = [(costs or {}).get(c, p) for c, p in zip(L.CHECKS, L.COSTS, strict=True)]
     rows = distinct.select("gains", "total", "need", F.explode(F.sequence(F.lit(0), F.lit(STATES - 1))).alias("mask"))
-    rows = rows.withColumns({"size": F.bit_count("mask"), "cost": over_bits(F.col("mask"), F.array(*map(F.lit, L.COSTS))), "evidence": over_bits(F.col("mask"), F.col("gains"))})
+    rows = rows.withColumns({"size": F.bit_count("mask"), "cost": over_bits(F.col("mask"), F.array(*map(F.lit, prices))), "evidence": over_bits(F.col("mask"), F.col("gains"))})
     return rows.withColumn("goal", F.col("evidence") * 10 >= F.col("need"))
 
 
@@ -72,9 +75,9 @@ def first_rank(mask: Column) -> Column:
     return over_bits(mask, F.array(*[F.lit(1 << (N - 1 - i)) for i in range(N)]))
 
 
-def optimal(distinct: DataFrame) -> DataFrame:
+def optimal(distinct: DataFrame, costs: dict[str, int] | None = None) -> DataFrame:
     """gains, cost: the least cost of any goal state."""
-    return states(distinct).groupBy("gains").agg(F.min(F.when(F.col("goal"), F.col("cost"))).alias("cost"))
+    return states(distinct, costs).groupBy("gains").agg(F.min(F.when(F.col("goal"), F.col("cost"))).alias("cost"))
 
 
 def breadth_first(distinct: DataFrame) -> DataFrame:

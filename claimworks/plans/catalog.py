@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from claimworks.plans import detect_queries, evidence_queries, planner_queries, record_queries
+from claimworks.plans import detect_queries, evidence_queries, planner_queries, record_queries, report_queries
 
-QUERIES = {**detect_queries.QUERIES, **record_queries.QUERIES, **planner_queries.QUERIES, **evidence_queries.QUERIES}
-SQL = {**detect_queries.SQL, **record_queries.SQL, **planner_queries.SQL, **evidence_queries.SQL}
+_PARTS = (detect_queries, record_queries, planner_queries, evidence_queries, report_queries)
+QUERIES = {name: run for part in _PARTS for name, run in part.QUERIES.items()}
+SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}

@@ -58,6 +58,9 @@ add("mask_cross", lambda s, d: text(P.states(distinct(s, d)).groupBy("gains").ag
 add("evidence_E", lambda s, d: text(P.states(distinct(s, d)).groupBy("gains", "size").agg(F.max("evidence").alias("most"), F.sum("evidence").alias("all"))), f"{STATES} SELECT gains, size, max(evidence) AS most, sum(evidence) AS \"all\" FROM sg GROUP BY gains, size")
 add("is_goal", lambda s, d: text(P.states(distinct(s, d)).groupBy("gains").agg(F.min(F.when(F.col("goal"), F.col("evidence"))).alias("least"))), f"{STATES} SELECT gains, min(evidence) AS least FROM sg WHERE goal GROUP BY gains")
 add("optimal_cost", lambda s, d: text(P.optimal(distinct(s, d))), f"{STATES} SELECT gains, min(cost) AS cost FROM sg WHERE goal GROUP BY gains")
+_OTHER = {"factcheck": 1, "news": 6}
+_OTHER_COST = " + ".join(f"{_BIT(i)} * {_OTHER.get(c, L.COSTS[i])}" for i, c in enumerate(L.CHECKS))
+add("problem_overrides", lambda s, d: text(P.optimal(P.distinct_problems(DQ._scores(s, d), 0.8), _OTHER)), f"{STATES} SELECT gains, min({_OTHER_COST}) AS cost FROM sg WHERE evidence * 10 >= need // {int(L.TAU * 10)} * 8 GROUP BY gains")
 add("cost_if_all", lambda s, d: problems(s, d).select("claim_id", F.lit(sum(L.COSTS)).alias("cost")), f"{PROBLEMS} SELECT claim_id, list_sum({L.COSTS})::INTEGER AS cost FROM pb")
 add("bfs", lambda s, d: text(P.breadth_first(distinct(s, d))), f"{STATES}, bg AS (SELECT gains, size, rank, mask, cost FROM (SELECT *, row_number() OVER (PARTITION BY gains ORDER BY size, rank DESC) AS k FROM sg WHERE goal) WHERE k = 1) SELECT sg.gains, bg.mask AS plan, bg.cost, count(*) AS expanded FROM sg JOIN bg ON bg.gains = sg.gains AND (sg.size < bg.size OR (sg.size = bg.size AND sg.rank >= bg.rank)) GROUP BY ALL")
 add("hill_climb", lambda s, d: text(P.hill_climb(distinct(s, d))), f"{CHECKS}, hc AS (SELECT *, sum(gain) OVER (PARTITION BY gains ORDER BY gain::DOUBLE / cost DESC, idx ROWS UNBOUNDED PRECEDING) - gain AS before FROM ck WHERE gain > 0) SELECT gains, sum(cost) AS cost, count(*) + 1 AS expanded, sum(gain) AS evidence FROM hc WHERE before * 10 < need GROUP BY gains")
