@@ -36,6 +36,9 @@ class Tokens:
     control characters or with a special token go through the whole tokenizer."""
 
     MOST_WORDS = 400_000
+    MOST_PIECES = 50_000
+    #: Bytes of texts at a time; a longer text stands alone.
+    CHUNK = 250_000
 
     def __init__(self, path: str):
         import regex
@@ -60,7 +63,7 @@ class Tokens:
         if (ids := self.pieces.get(piece)) is None:
             form = piece if piece.isascii() else self.bytes.pre_tokenize_str(piece)[0][0]
             ids = [t.id for t in self.tokenizer.model.tokenize(form)]
-            if len(self.pieces) >= self.MOST_WORDS:
+            if len(self.pieces) >= self.MOST_PIECES:
                 self.pieces.clear()
             self.pieces[piece] = ids
         return ids
@@ -200,7 +203,7 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 4096, end_id: int =
         windows = Windows(TaskContext.get().partitionId() << 32, max_tokens, open_windows, sliver)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for i, _, data, offsets in _text.chunks(batch.column(1)):
+            for i, _, data, offsets in _text.chunks(batch.column(1), Tokens.CHUNK):
                 for k, ids in enumerate(tokens.rows(data, offsets, end_id)):
                     windows.add(doc_ids[i + k], ids)
                 if len(windows.closed) > 20_000:
