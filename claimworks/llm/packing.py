@@ -29,6 +29,18 @@ _MERGED = 1 << 62
 GROUP = 16
 
 
+class _Numbers(dict):
+    """A number for each word, given when it is first asked for; `new` lists the words since."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        self[word] = n = len(self)
+        return n
+
+
 class Tokens:
     """Token ids of whole texts. The tokenizer never joins over white space, so the ids of a text
     are those of its white-space-separated words, and those of a word are those of the pieces its
@@ -55,9 +67,9 @@ class Tokens:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = _Numbers()
         self.flat = np.zeros(1 << 20, np.uint32)
-        self.at = np.zeros(self.MOST_WORDS + 2, np.int64)
+        self.at = np.zeros(1 << 16, np.int64)
 
     def _piece(self, piece: str) -> list[int]:
         if (ids := self.pieces.get(piece)) is None:
@@ -68,15 +80,8 @@ class Tokens:
             self.pieces[piece] = ids
         return ids
 
-    def learn(self, words: set[bytes]) -> None:
-        new = list(words.difference(self.index))
-        if len(self.index) + len(new) > self.MOST_WORDS:
-            self.clear()
-            new = list(words)
-            if len(new) > self.MOST_WORDS:
-                self.at = np.zeros(len(new) + 2, np.int64)
-        if not new:
-            return
+    def learn(self, new: list[bytes]) -> None:
+        """The ids of words that have just got their numbers, the last ones given."""
         text = b"\n".join(new).decode("utf-8", "replace")
         odd = {}
         if self.odd.search(text):
@@ -94,10 +99,11 @@ class Tokens:
             else:
                 found = get(piece)
                 ids += self._piece(piece) if found is None else found
-        n = len(self.index)
+        n = len(self.index) - len(new)
         begin = int(self.at[n])
+        while len(self.index) >= len(self.at):
+            self.at = np.concatenate([self.at, np.zeros(len(self.at), np.int64)])
         self.at[n + 1 : n + 1 + len(new)] = begin + np.array(ends)
-        self.index.update(zip(new, range(n, n + len(new)), strict=True))
         while begin + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
         self.flat[begin : begin + len(ids)] = ids
@@ -106,8 +112,12 @@ class Tokens:
         """The ids of each row of a chunk, with the id `last` at the end of each."""
         texts = [data[a:b].tobytes().split() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         words = [w for t in texts for w in t]
-        self.learn(set(words))
+        if len(self.index) > self.MOST_WORDS:
+            self.clear()
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if self.index.new:
+            self.learn(self.index.new)
+            self.index.new = []
         begin, n = self.at[at], self.at[at + 1] - self.at[at]
         done = np.concatenate([[0], np.cumsum(n)])
         ids = self.flat[np.arange(done[-1]) + np.repeat(begin - done[:-1], n)]
