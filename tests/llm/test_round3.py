@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from claimworks.llm import alignment, hard_negatives, token_counts
 
@@ -19,11 +20,12 @@ def texts(spark, sf):
 
 def plain_alignment(docs):
     """The contract, one text and one byte at a time."""
-    a, b = alignment.ByteLevel(A), alignment.Pieces(B)
+    a, b, library = alignment.ByteLevel(A), alignment.Pieces(B), Tokenizer.from_file(A)
+    library.encode_special_tokens = True
     parts = {}
     for doc, text in docs:
         wanted = (" " + (text or "")).encode()
-        x, y = a.encode([text or ""])[0], b.encode([text or ""])[0]
+        x, y = library.encode(" " + (text or ""), add_special_tokens=False).ids, b.encode([text or ""])[0]
         if not text or b"".join(a.bytes[i] for i in x) != wanted or b"".join(b.bytes[i] for i in y) != wanted:
             parts[doc] = []
             continue
@@ -73,6 +75,15 @@ def test_alignment_of_repeated_ids_and_no_rows(spark):
     assert alignment.align(rows.limit(0), A, B).collect() == []
 
 
+def test_ranks_give_the_library_s_tokens():
+    own, library = alignment.ByteLevel(A), Tokenizer.from_file(A)
+    library.encode_special_tokens = True
+    letters = [chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(0x10000, 0x110000, 0x101)]
+    some = [f" a{c}b1{c} {c}{c}.{c}" for c in letters] + [t for t in ODD if t]
+    assert own.fast is not None
+    assert [x.tolist() for x in own.encode(some)] == [library.encode(" " + t, add_special_tokens=False).ids for t in some]
+
+
 def test_groups_end_where_both_end():
     start, end = [0, 3, 5, 0, 2, 5, 6], [3, 5, 8, 2, 5, 6, 8]
     import numpy as np
