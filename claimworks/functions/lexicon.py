@@ -72,13 +72,13 @@ OUTLETS = [
     "reuters.com", "apnews.com", "bbc.com", "bbc.co.uk", "aljazeera.com", "theguardian.com",
 ]
 
-# fixed values: buckets of fact-check ratings
+# fixed values: buckets of fact-check ratings, by normalised name
 RATINGS = {
-    "false": ["false", "fake", "fake news", "totally false", "completely false", "pants on fire", "incorrect", "wrong", "untrue", "not true", "hoax", "fabricated", "baseless", "scam"],
-    "misleading": ["misleading", "partly false", "partially false", "mostly false", "missing context", "lacks context", "needs context", "out of context", "false context", "distorted", "exaggerated", "exaggeration", "altered", "manipulated", "edited video", "satire"],
-    "true": ["true", "correct", "accurate", "mostly true", "verified", "genuine"],
-    "mixed": ["half true", "partly true", "partially true", "mixture", "mixed"],
-}
+    "false": "false", "fake": "false", "fake news": "false", "totally false": "false", "completely false": "false", "pants on fire": "false", "incorrect": "false", "wrong": "false", "untrue": "false", "not true": "false", "hoax": "false", "fabricated": "false", "baseless": "false", "scam": "false",
+    "misleading": "misleading", "partly false": "misleading", "partially false": "misleading", "mostly false": "misleading", "missing context": "misleading", "lacks context": "misleading", "needs context": "misleading", "out of context": "misleading", "false context": "misleading", "distorted": "misleading", "exaggerated": "misleading", "exaggeration": "misleading", "altered": "misleading", "manipulated": "misleading", "edited video": "misleading", "satire": "misleading",
+    "true": "true", "correct": "true", "accurate": "true", "mostly true": "true", "verified": "true", "genuine": "true",
+    "half true": "mixed", "partly true": "mixed", "partially true": "mixed", "mixture": "mixed", "mixed": "mixed",
+}
 
 # fixed values: stop words of the news search
 NEWS_STOP = (
@@ -97,8 +97,9 @@ LABELS = ["Sensational vocabulary", "Claimed attribution", "Emotional tone", "Ur
 COSTS = [1, 1, 1, 1, 1, 1, 1, 1, 2, 3, 4]
 FACTCHECKED = ["health", "policy", "elections", "economy", "digital"]
 TAU = 0.6
-MOST_EXPANSIONS = 5000
 LIMITS = {"predict": 30, "verify": 10, "extract": 5, "opinion": 10}
+#: The budget that each action draws on, and its limit: reading the evidence shares that of verification.
+BUDGETS = {"predict": ("predict", 30), "verify": ("verify", 10), "ground": ("verify", 10), "extract": ("extract", 5), "opinion": ("opinion", 10)}
 
 # fixed values: the summary sentences (text that isn't read, text under pressure, before and after the risk)
 SUMMARIES = (

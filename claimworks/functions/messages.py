@@ -58,6 +58,25 @@ GATEWAY = {
 }
 BUSY = "The AI service is busy right now — please try again in a few seconds."
 
+# fixed values: messages of the lookups
+FACTS_UNCONFIGURED = "Fact-check lookup not configured."
+FACTS_REJECTED = "The fact-check service rejected the request."
+FACTS_LATE = "The fact-check service didn't answer in time."
+NEWS_SHORT = "Not enough distinctive words to search news coverage."
+NEWS_DOWN = "News search is unavailable right now."
+NEWS_BUSY = "News search is busy right now."
+NEWS_LATE = "News search timed out."
+READ_UNCONFIGURED = "AI read not configured."
+READ_SKIPPED = "Skipped — no fact-checks or news coverage to reason over."
+READ_REFUSED = "The AI answer was rejected because it did not stick to the evidence."
+PLAN_SKIPPED = "Skipped by plan — enough evidence without it."
+
+# fixed values: texts of aspect evidence (count and noun come before the first ones)
+DETECTED = " detected."
+CHECKABLE = " you can check. Specifics are not proof."
+UPPERCASE = "% uppercase letters"
+MARKS = " exclamation/question marks"
+
 # fixed values: image types
 IMAGES = ["image/png", "image/jpeg", "image/jpg", "image/webp"]
 

@@ -21,7 +21,7 @@ def rating_lead(rating: Column) -> Column:
 
 def rating_bucket(rating: Column) -> Column:
     """Bucket of the whole rating, else of its lead clause, else unknown."""
-    table = F.create_map(*[F.lit(x) for bucket, names in L.RATINGS.items() for n in names for x in (n, bucket)])
+    table = F.create_map(*[F.lit(x) for name, bucket in L.RATINGS.items() for x in (name, bucket)])
     at = lambda s: F.try_element_at(table, s)
     return F.coalesce(at(rating_norm(rating)), at(rating_norm(rating_lead(rating))), F.lit("unknown"))
 
@@ -121,12 +121,15 @@ def parse_grounded(rows: DataFrame) -> DataFrame:
 
 
 def parse_opinion(rows: DataFrame) -> DataFrame:
-    """rows(claim_id, raw): verdict (default uncertain), confidence clamped to 0..100 (default 0)
-    and reasoning (at most 800 characters) of an answer that may stand in a code fence."""
+    """rows(claim_id, raw): verdict (uncertain unless it is one of three), confidence clamped to 0..100
+    (default 0) and reasoning (at most 800 characters) of an answer that may stand in a code fence. An
+    answer that isn't JSON gives no row."""
     body = F.trim(F.regexp_replace("raw", "(?i)^```(?:json)?\\s*|\\s*```$", ""))
     at = lambda k: F.get_json_object(body, f"$.{k}")
     number = F.coalesce(at("confidence").try_cast("double"), F.lit(0.0))
-    return rows.select("claim_id", F.coalesce(at("verdict"), F.lit("uncertain")).alias("verdict"), F.floor(F.greatest(F.lit(0.0), F.least(F.lit(100.0), number)) + 0.5).cast("int").alias("confidence"), F.left(F.coalesce(at("reasoning"), F.lit("")), F.lit(800)).alias("reasoning"))
+    verdict = F.when(at("verdict").isin("likely-false", "likely-true", "uncertain"), at("verdict")).otherwise("uncertain")
+    rows = rows.filter(F.get_json_object(body, "$").isNotNull())
+    return rows.select("claim_id", verdict.alias("verdict"), F.floor(F.greatest(F.lit(0.0), F.least(F.lit(100.0), number)) + 0.5).cast("int").alias("confidence"), F.left(F.coalesce(at("reasoning"), F.lit("")), F.lit(800)).alias("reasoning"))
 
 
 def clean_prompt(text: Column) -> Column:
@@ -143,9 +146,8 @@ def evidence_items(fact_checks: DataFrame, articles: DataFrame, sources: DataFra
     return a.unionByName(b).unionByName(c)
 
 
-def decide(rows: DataFrame) -> DataFrame:
-    """rows(claim_id, negative, positive, mixed: counts, domains: count, opinion, language_risk) ->
-    verdict, confidence, rule. Fact-checks that dispute a claim come first, then those that confirm
+def outcome() -> dict[str, Column]:
+    """verdict, confidence, rule from negative, positive, mixed, domains (counts) and opinion. Fact-checks that dispute a claim come first, then those that confirm
     it, then two outlets; an opinion only moves the confidence or takes a credible outcome back."""
     n, p, m, d = (F.col("negative") > 0, F.col("positive") > 0, F.col("mixed") > 0, F.col("domains") >= 2)
     against, credible = n, ~n & (p | (d & ~m))
@@ -155,4 +157,9 @@ def decide(rows: DataFrame) -> DataFrame:
     verdict = F.when(against, "likely-misleading").when(credible & ~back, "likely-credible").otherwise("unverified")
     confidence = F.when(against, F.when(steps == 0, "high").when(steps == 1, "medium").otherwise("low")).when(credible & ~back, F.when(agrees, "high").otherwise("medium")).otherwise("low")
     rule = F.when(against, "a").when(credible & ~back, F.when(p, "b").otherwise("c")).otherwise("f")
-    return rows.select("claim_id", verdict.alias("verdict"), confidence.alias("confidence"), rule.alias("rule"))
+    return {"verdict": verdict, "confidence": confidence, "rule": rule}
+
+
+def decide(rows: DataFrame) -> DataFrame:
+    """rows(claim_id and the columns of outcome) -> claim_id, verdict, confidence, rule."""
+    return rows.select("claim_id", *[c.alias(n) for n, c in outcome().items()])

@@ -60,10 +60,21 @@ def accuracy(matrix: DataFrame) -> DataFrame:
     return matrix.agg(hit.alias("right"), total.alias("total")).crossJoin(F.broadcast(largest)).select("right", "total", F.round(F.col("right") / F.col("total"), 6).alias("accuracy"), F.round(F.col("k") / F.col("total"), 6).alias("baseline"))
 
 
-def upsert(base: DataFrame, patch: DataFrame, key: str) -> DataFrame:
-    """base with the non-null columns of patch put over the rows of the same key."""
-    p = patch.select(F.col(key), *[F.col(c).alias(f"__{c}") for c in patch.columns if c != key])
-    return base.join(p, key, "left").select(*[F.coalesce(f"__{c}", c).alias(c) if f"__{c}" in p.columns else F.col(c) for c in base.columns])
+def upsert(base: DataFrame, patch: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """base with the columns that patches give put over the rows of the same key, in the order of the
+    column `order` of patch; null means that a patch doesn't give a column. Of each column the last
+    patch counts, so repeated patches lead to one row. Patches of unknown and of null keys are ignored;
+    so are columns that base lacks. Without an order there is at most one patch a key, or any counts;
+    patches of equal order count as one, with the largest value."""
+    given = [c for c in patch.columns if c in base.columns and c not in (key, order)]
+    place = F.col(order) if order else F.lit(0)
+    last = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(place, F.col(c)))).alias(c) for c in given]
+    name = "patch"
+    while name in base.columns:
+        name += "_"
+    merged = patch.groupBy(key).agg(F.struct(*last).alias(name)) if given else patch.select(key).distinct().withColumn(name, F.lit(None))
+    rows = base.join(merged, key, "left")
+    return rows.select(*[F.coalesce(F.col(name)[c], F.col(c)).alias(c) if c in given else F.col(c) for c in base.columns])
 
 
 def visible(predictions: DataFrame, submissions: DataFrame, roles: DataFrame, user: int) -> DataFrame:

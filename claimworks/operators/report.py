@@ -34,12 +34,12 @@ def aspect_reports(scored: DataFrame) -> DataFrame:
         "sensational": (size("sensational") > 0, F.slice(F.transform(by_weight, lambda x: x["t"]), 1, 6)), "attribution": (size("attribution") > 0, F.slice("attribution", 1, 6)),
         "emotion": (size("emotion") > 0, F.slice("emotion", 1, 6)), "urgency": (F.size(pressure) > 0, F.slice(pressure, 1, 6)),
         "specificity": (size("numbers") + size("dates") > 0, F.concat(F.slice("numbers", 1, 4), F.slice("dates", 1, 2))),
-        "style": ((F.col("caps") > 0.2) | (F.col("bangs") > 2), F.array(F.concat(F.floor(F.col("caps") * 100 + 0.5).cast("string"), F.lit("% uppercase letters")), F.concat(F.col("bangs").cast("string"), F.lit(" exclamation/question marks")))),
+        "style": ((F.col("caps") > 0.2) | (F.col("bangs") > 2), F.array(F.concat(F.floor(F.col("caps") * 100 + 0.5).cast("string"), F.lit(M.UPPERCASE)), F.concat(F.col("bangs").cast("string"), F.lit(M.MARKS)))),
         "clickbait": (size("clickbait") > 0, F.slice("clickbait", 1, 4)), "corroboration": (F.lit(False), none),
     }
     said = {
-        "sensational": F.concat(counted(size("sensational"), "sensational term"), F.lit(" detected.")),
-        "specificity": F.concat(counted(size("numbers"), "figure"), F.lit(" and "), counted(size("dates"), "date"), F.lit(" you can check. Specifics are not proof.")),
+        "sensational": F.concat(counted(size("sensational"), "sensational term"), F.lit(M.DETECTED)),
+        "specificity": F.concat(counted(size("numbers"), "figure"), F.lit(" and "), counted(size("dates"), "date"), F.lit(M.CHECKABLE)),
     }
 
     def detail(a):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from claimworks.functions import lexicon as L
 from claimworks.functions import messages as M
-from claimworks.operators import access, planner, report
+from claimworks.operators import access, planner, report, verification
 from claimworks.operators import evidence as E
 from claimworks.operators import records as R
 from claimworks.plans import detect_queries as DQ
@@ -15,9 +15,9 @@ from claimworks.plans import detect_sql as S
 from claimworks.plans import evidence_queries as EQ
 from claimworks.plans import planner_queries as PQ
 from claimworks.plans import record_queries as RQ
-from claimworks.sources import stored
+from claimworks.sources import services, shared, stored
 from claimworks.sources.tables import CLAIMS_SQL, claims, quoted, read, sql_list
-from claimworks.streaming import feed
+from claimworks.streaming import feed, sink
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -39,12 +39,12 @@ _BY_WEIGHT = "list_transform(list_sort(list_transform(sensational, lambda t, i:
 _PRESSURE = "list_concat(urgency, list_filter(forward, lambda t: NOT list_contains(urgency, t)))"
 _PLURAL = lambda c, noun: f"len({c}) || ' {noun}' || CASE WHEN len({c}) = 1 THEN '' ELSE 's' END"
 _CASES = {
-    "sensational": ("len(sensational) > 0", f"{_PLURAL('sensational', 'sensational term')} || ' detected.'", _BY_WEIGHT),
+    "sensational": ("len(sensational) > 0", f"{_PLURAL('sensational', 'sensational term')} || {quoted(M.DETECTED)}", _BY_WEIGHT),
     "attribution": ("attribution <> ''", quoted(M.DETAILS["attribution"][0]), "string_split(attribution, '|')[1:6]"),
     "emotion": ("len(emotion) > 0", quoted(M.DETAILS["emotion"][0]), "emotion[1:6]"),
     "urgency": ("len(urgency) + len(forward) > 0", quoted(M.DETAILS["urgency"][0]), f"({_PRESSURE})[1:6]"),
-    "specificity": ("len(numbers) + len(dates) > 0", f"{_PLURAL('numbers', 'figure')} || ' and ' || {_PLURAL('dates', 'date')} || ' you can check. Specifics are not proof.'", "list_concat(numbers[1:4], dates[1:2])"),
-    "style": ("caps > 0.2 OR bangs > 2", quoted(M.DETAILS["style"][0]), "[floor(caps * 100 + 0.5)::INTEGER || '% uppercase letters', bangs || ' exclamation/question marks']"),
+    "specificity": ("len(numbers) + len(dates) > 0", f"{_PLURAL('numbers', 'figure')} || ' and ' || {_PLURAL('dates', 'date')} || {quoted(M.CHECKABLE)}", "list_concat(numbers[1:4], dates[1:2])"),
+    "style": ("caps > 0.2 OR bangs > 2", quoted(M.DETAILS["style"][0]), "[floor(caps * 100 + 0.5)::INTEGER || {quoted(M.UPPERCASE)}, bangs || {quoted(M.MARKS)}]"),
     "clickbait": ("len(clickbait) > 0", quoted(M.DETAILS["clickbait"][0]), "clickbait[1:4]"),
     "corroboration": ("false", "''", "[]"),
 }
@@ -76,31 +76,40 @@ _ALL = {
 }
 _STEPS = {k: quoted("|".join(v)) for k, v in M.STEPS.items()}
 _HEAD = " ".join(f"WHEN {quoted(k)} THEN {quoted(t)}" for k, t in M.HEADLINES.items())
-REASONS = f"""{EQ.DECIDE}{S.SCORES[len("WITH " + CLAIMS_SQL):]},
+REASONS = f"""{EQ.DECIDE}{S.SCORES[len(S.SIGNALS):]},
 fr AS (SELECT claim_id, {_RATED("'false', 'misleading'", _WHOLE, "negs")}, {_RATED("'true'", _WHOLE, "poss")}, {_RATED("'mixed'", _PARTLY, "mixs")} FROM fc GROUP BY claim_id),
 rs AS (SELECT r.claim_id, language_risk, neg, pos, mix, dom, coalesce(opinion, '') AS op, negs, poss, mixs, domains, CASE WHEN neg > 0 THEN 'a' WHEN (pos > 0 OR dom >= 2 AND mix = 0) AND opinion IS NOT DISTINCT FROM 'contradicted' THEN 'back' WHEN pos > 0 THEN 'b' WHEN dom >= 2 AND mix = 0 THEN 'c' ELSE 'f' END AS rule
   FROM r JOIN de ON de.claim_id = r.claim_id LEFT JOIN fr ON fr.claim_id = r.claim_id LEFT JOIN co ON co.claim_id = r.claim_id)
 SELECT claim_id, CASE rule {_HEAD} END AS headline, CASE WHEN rule = 'a' THEN {_ALL['a']} WHEN rule = 'f' THEN {_ALL['f']} ELSE {_ALL['credible']} END AS reasons, CASE WHEN rule = 'a' THEN {_STEPS['a']} WHEN rule IN ('b', 'c') THEN {_STEPS['credible']} ELSE {_STEPS['f']} END AS next_steps FROM rs"""
 add("decide_reasons", lambda s, d: reasons(s, d).select("claim_id", "headline", strings("reasons"), strings("next_steps")), REASONS)
 
-SAID = ["likely-false", "uncertain", "likely-true", None]
-_AGREE = f"""{S.SCORES}, ao AS (SELECT claim_id, verdict AS v, {sql_list(SAID[:3])}[claim_id % 4 + 1] AS o FROM r)
+
+def agreed(spark, d) -> DataFrame:
+    said = EQ.opinions(spark, d).select("claim_id", F.col("verdict").alias("said"))
+    return DQ._scores(spark, d).select("claim_id", "verdict").join(said, "claim_id", "left").select("claim_id", report.agree(F.col("verdict"), F.col("said")).alias("agree"))
+
+
+_AGREE = f"""{S.SCORES.replace("WITH", "WITH RECURSIVE", 1)}, {EQ.PAGES}, {EQ.SAID}, {EQ.OPINION}, ao AS (SELECT r.claim_id, r.verdict AS v, CASE WHEN code = 200 THEN op.verdict END AS o FROM r LEFT JOIN op ON op.claim_id = r.claim_id)
 SELECT claim_id, CASE WHEN o IS NOT NULL THEN (v = 'likely-misleading' AND o = 'likely-false') OR (v = 'likely-credible' AND o = 'likely-true') OR (v = 'unverified' AND o = 'uncertain') END AS agree FROM ao"""
-add("agree_flag", lambda s, d: DQ._scores(s, d).select("claim_id", report.agree(F.col("verdict"), EQ.pick(SAID, F.col("claim_id"))).alias("agree")), _AGREE)
+add("agree_flag", agreed, _AGREE)
 
-STATUSES = [402, 500, 403, 429, 503]
-_MESSAGES = " ".join(f"WHEN {k} THEN {quoted(t)}" for k, t in M.GATEWAY.items())
-add("gateway_message", lambda s, d: claims(s, d).select("claim_id", report.gateway_message(EQ.pick(STATUSES, F.col("claim_id"))).alias("message")), f"WITH {CLAIMS_SQL} SELECT claim_id, CASE {STATUSES}[claim_id % 5 + 1] {_MESSAGES} ELSE {quoted(M.BUSY)} END AS message FROM claims")
 
 
-def items(spark, d) -> DataFrame:
-    return E.evidence_items(EQ.facts(spark, d), EQ.news(spark, d), EQ.sources(spark, d))
+def refused(spark, d) -> DataFrame:
+    """What is said of each attempt that the model service didn't take."""
+    code = F.coalesce("code", F.lit(503))
+    rows = services.grounded_calls(spark, d).filter(~F.coalesce(F.col("code").between(200, 299), F.lit(False)))
+    return rows.select("claim_id", "attempt", report.gateway_message(code).alias("message"))
 
 
-add("validate_evidence", lambda s, d: report.valid_evidence(items(s, d)), rf"{EQ.ITEMS} SELECT claim_id, bool_and(coalesce(regexp_full_match(id, '[FNS][0-9]{{1,2}}') AND kind IN ('fact-check', 'article', 'official-source') AND length(text) <= 600, false)) AND count(*) <= 30 AS valid FROM it GROUP BY claim_id")
+_MESSAGES = " ".join(f"WHEN {k} THEN {quoted(t)}" for k, t in M.GATEWAY.items())
+add("gateway_message", refused, f"WITH {EQ.PAGES}, {services.attempts_sql('grounded', 'ga')} SELECT i AS claim_id, attempt, CASE coalesce(code, 503) {_MESSAGES} ELSE {quoted(M.BUSY)} END AS message FROM ga WHERE code IS NULL OR code NOT BETWEEN 200 AND 299")
+
+
+add("validate_evidence", lambda s, d: report.valid_evidence(EQ.items(s, d)), rf"{EQ.ITEMS} SELECT claim_id, bool_and(coalesce(regexp_full_match(id, '[FNS][0-9]{{1,2}}') AND kind IN ('fact-check', 'article', 'official-source') AND length(text) <= 600, false)) AND count(*) <= 30 AS valid FROM it GROUP BY claim_id")
 _CLEAN = lambda c: rf"trim(regexp_replace(regexp_replace({c}, '[<>]', '', 'g'), '\s+', ' ', 'g'))"
 _LINE = f"'[' || id || '] (' || kind || ') ' || {_CLEAN('text')}"
-add("build_prompt", lambda s, d: report.prompts(claims(s, d), items(s, d)), f"""{EQ.ITEMS}, bl AS (SELECT claim_id, string_agg({_LINE}, chr(10) ORDER BY position(left(id, 1) IN 'FNS'), substr(id, 2)::INTEGER) AS block FROM it GROUP BY claim_id)
+add("build_prompt", lambda s, d: report.prompts(claims(s, d), EQ.items(s, d)), f"""{EQ.ITEMS}, bl AS (SELECT claim_id, string_agg({_LINE}, chr(10) ORDER BY position(left(id, 1) IN 'FNS'), substr(id, 2)::INTEGER) AS block FROM it GROUP BY claim_id)
 SELECT c.claim_id, '<claim>' || chr(10) || {_CLEAN('c.text')} || chr(10) || '</claim>' || chr(10) || chr(10) || '<evidence>' || chr(10) || coalesce(block, '(no evidence items)') || chr(10) || '</evidence>' AS prompt FROM claims c LEFT JOIN bl ON bl.claim_id = c.claim_id""")
 
 KINDS = ["data:image/png;base64,", "data:IMAGE/WebP;base64,", "data:image/gif;base64,", "http://image/png;base64,"]
@@ -194,11 +203,13 @@ add("admin_set_user_status", switched, f"WITH {ACCOUNTS} SELECT id, CASE WHEN id
 
 def walk(spark, d) -> DataFrame:
     """g, h and f after each check of a plan in run order, from the start (pos 0)."""
-    run = planner.order_plan(PQ.plans(spark, d))
+    own = PQ.distinct(spark, d)
+    plans = planner.cheapest(own)
+    run = planner.order_plan(plans)
     order = Window.partitionBy("gains").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     steps = run.select("gains", "pos", F.sum(F.expr("shiftleft(1, idx)")).over(order).cast("int").alias("mask"), F.col("cost_so_far").alias("g"))
-    start = PQ.plans(spark, d).select("gains", F.lit(0).alias("pos"), F.lit(0).alias("mask"), F.lit(0).cast("long").alias("g"))
-    bound = planner.heuristic(planner.states(PQ.distinct(spark, d))).select("gains", "mask", "evidence", "h")
+    start = plans.select("gains", F.lit(0).alias("pos"), F.lit(0).alias("mask"), F.lit(0).cast("long").alias("g"))
+    bound = planner.heuristic(planner.states(own)).select("gains", "mask", "evidence", "h")
     rows = PQ.text(start.unionByName(steps).join(bound, ["gains", "mask"]))
     return rows.select("gains", "pos", "mask", "g", "evidence", F.round("h", 6).alias("h"), F.round(F.col("g") + F.col("h"), 6).alias("f"))
 
@@ -208,3 +219,76 @@ pc AS (SELECT gains, i - 1 AS idx, g[i] AS gain, {L.COSTS}[i] AS cost FROM (SELE
 ws AS (SELECT gains, row_number() OVER ({PQ._ORDER})::INTEGER AS pos, (sum(1 << idx) OVER ({PQ._ORDER} ROWS UNBOUNDED PRECEDING))::INTEGER AS mask, sum(cost) OVER ({PQ._ORDER} ROWS UNBOUNDED PRECEDING)::BIGINT AS g FROM pc UNION ALL SELECT gains, 0, 0, 0 FROM pl)
 SELECT ws.gains, ws.pos, ws.mask, ws.g, sg.evidence::INTEGER AS evidence, round(coalesce(hh.h, 'inf'::DOUBLE)::DOUBLE, 6) AS h, round((ws.g + coalesce(hh.h, 'inf'::DOUBLE))::DOUBLE, 6) AS f FROM ws JOIN sg ON sg.gains = ws.gains AND sg.mask = ws.mask JOIN hh ON hh.gains = ws.gains AND hh.mask = ws.mask"""
 add("walk_ghf", walk, _WALK)
+
+# The whole report: what the plan runs, and what follows from what it gathered.
+
+#: A threshold that takes all three services into many plans.
+_SHARE = 0.9
+
+
+def reports(spark, d) -> DataFrame:
+    """claim_id and the structs of verification.reports."""
+    scored = planner.traits(DQ._scores(spark, d))
+    scored = shared.table(scored.select("claim_id", "language_risk", planner.gains().alias("gains")), "scored")
+    own = shared.table(planner.needs(scored.select("gains").distinct(), _SHARE), "problems")
+    ran = verification.executed(own, planner.cheapest(own))
+    return verification.reports(scored, scored, ran, claims(spark, d), services.factcheck_calls(spark, d), services.news_calls(spark, d), services.grounded_calls(spark, d), EQ.sources(spark, d), EQ.OUTLETS)
+
+
+def report_rows(spark, d) -> DataFrame:
+    """The same as plain columns."""
+    steps = F.array_join(F.transform("plan.plan", lambda s: F.concat(s["id"], F.lit(":"), s["status"])), "|")
+    return reports(spark, d).select(
+        "claim_id", "decision.verdict", "decision.confidence", "decision.rule", F.col("fact_check.status").alias("fact_status"), F.col("fact_check.records").alias("records"), F.col("news.status").alias("news_status"), F.col("news.articles").alias("articles"),
+        F.col("gemini.status").alias("read_status"), F.col("gemini.message").alias("read_message"), steps.alias("plan"), F.array_join("plan.executed", "|").alias("executed"), F.array_join("plan.skipped", "|").alias("skipped"),
+        "plan.total_cost", "plan.cost_if_all", "plan.checks_total", "plan.threshold", "plan.evidence",
+    )
+
+
+_LABEL = f"{sql_list(L.LABELS)}[idx + 1]"
+_RUN_PLANS = PQ.PLANS[len(S.SCORES) + 2 :].replace(f"* {round(L.TAU * planner.SCALE)} AS need", f"* {round(_SHARE * planner.SCALE)} AS need")
+_SEES = lambda i: f"coalesce(min(pos) FILTER (WHERE idx = {i} AND ran) < min(pos) FILTER (WHERE idx = 10 AND ran), false)"
+_RUNS = lambda i: f"coalesce(bool_or(idx = {i} AND ran), false)"
+_SHOWN = EQ.GROUNDED.replace("FROM it GROUP BY", "FROM iv GROUP BY")
+REPORT = f"""{EQ.with_(*EQ._ITEMS)}{S.SCORES[len(S.SIGNALS):]}, {_RUN_PLANS},
+rn AS (SELECT pc.gains, idx, cost, gain, row_number() OVER ({PQ._ORDER}) AS pos, sum(gain) OVER ({PQ._ORDER} ROWS UNBOUNDED PRECEDING) - gain AS before FROM pc),
+rr AS (SELECT rn.*, before * {planner.SCALE} < need AS ran FROM rn JOIN dp ON dp.gains = rn.gains),
+rp AS (SELECT gains, string_agg({sql_list(L.CHECKS)}[idx + 1] || CASE WHEN ran THEN ':run' ELSE ':stopped-early' END, '|' ORDER BY pos) AS plan, string_agg({_LABEL}, '|' ORDER BY pos) FILTER (WHERE ran) AS executed, list({_LABEL} ORDER BY pos) FILTER (WHERE NOT ran) AS stopped, list(idx) AS inside,
+  sum(cost) FILTER (WHERE ran) AS total_cost, sum(gain) FILTER (WHERE ran) / 100 AS evidence, {_RUNS(8)} AS runs_f, {_RUNS(9)} AS runs_n, {_RUNS(10)} AS runs_g, {_SEES(8)} AS sees_f, {_SEES(9)} AS sees_n FROM rr GROUP BY gains),
+rc AS (SELECT pb.claim_id, pb.need, rp.*, list_concat(list_transform(list_filter(range(0, {planner.N}), lambda i: NOT list_contains(inside, i)), lambda i: {sql_list(L.LABELS)}[i + 1]), coalesce(stopped, [])) AS skipped FROM pb JOIN rp ON rp.gains = pb.gains),
+iv AS (SELECT it.* FROM it JOIN rc ON rc.claim_id = it.claim_id WHERE kind = 'official-source' OR kind = 'fact-check' AND sees_f OR kind = 'article' AND sees_n),
+{EQ.ASKED}, {_SHOWN},
+rk AS (SELECT claim_id, count(*) AS records, count(*) FILTER (WHERE rating_bucket IN ('false', 'misleading')) AS neg, count(*) FILTER (WHERE rating_bucket = 'true') AS pos, count(*) FILTER (WHERE rating_bucket = 'mixed') AS mix FROM fc GROUP BY claim_id),
+ra AS (SELECT claim_id, count(*) AS articles FROM nw GROUP BY claim_id),
+rd AS (SELECT rc.*, r.language_risk, CASE WHEN runs_f THEN coalesce(records, 0) ELSE 0 END AS records, CASE WHEN runs_f THEN coalesce(neg, 0) ELSE 0 END AS neg, CASE WHEN runs_f THEN coalesce(rk.pos, 0) ELSE 0 END AS pos, CASE WHEN runs_f THEN coalesce(mix, 0) ELSE 0 END AS mix,
+  CASE WHEN runs_n THEN coalesce(articles, 0) ELSE 0 END AS articles, CASE WHEN runs_n THEN coalesce(len(domains), 0) ELSE 0 END AS dom, coalesce(al.enough, false) AS shown, coalesce(answered, false) AS answered, coalesce(gr.code, 503) AS code, gr.claim_id IS NOT NULL AND gr.reason IS NULL AND answered AS good, gr.v,
+  CASE WHEN runs_f THEN coalesce(fs.status, 'error') ELSE 'skipped' END AS fact_status, CASE WHEN runs_n THEN ns.status ELSE 'skipped' END AS news_status
+  FROM rc JOIN r ON r.claim_id = rc.claim_id LEFT JOIN rk ON rk.claim_id = rc.claim_id LEFT JOIN ra ON ra.claim_id = rc.claim_id LEFT JOIN co ON co.claim_id = rc.claim_id LEFT JOIN al ON al.claim_id = rc.claim_id LEFT JOIN gr ON gr.claim_id = rc.claim_id LEFT JOIN fs ON fs.i = rc.claim_id LEFT JOIN ns ON ns.i = rc.claim_id),
+re AS (SELECT *, CASE WHEN runs_g AND shown AND good THEN v END AS opinion FROM rd),
+ru AS (SELECT *, {EQ._RULE} AS rule FROM re)
+SELECT claim_id, {EQ._OUTCOME}, fact_status, records, news_status, articles, CASE WHEN NOT runs_g OR NOT shown THEN 'skipped' WHEN good THEN 'ok' ELSE 'error' END AS read_status,
+  CASE WHEN NOT runs_g THEN {quoted(M.PLAN_SKIPPED)} WHEN NOT shown THEN {quoted(M.READ_SKIPPED)} WHEN good THEN NULL WHEN answered THEN {quoted(M.READ_REFUSED)} ELSE CASE code {_MESSAGES} ELSE {quoted(M.BUSY)} END END AS read_message,
+  plan, executed, array_to_string(skipped, '|') AS skipped, total_cost::BIGINT AS total_cost, {sum(L.COSTS)} AS cost_if_all, {planner.N} AS checks_total, round(need / {100 * planner.SCALE}, 2) AS threshold, evidence FROM ru"""
+add("plan_report", report_rows, REPORT)
+
+
+def with_images(spark, d) -> DataFrame:
+    """Stored records, every third with an image that is about as large as its text."""
+    i = F.col("claim_id")
+    image = F.when(i % 3 == 0, F.concat(F.lit("data:image/png;base64,"), F.col("text")))
+    return RQ.records(spark, d).select(i.cast("string").alias("id"), "text", F.timestamp_seconds("at").alias("submitted_at"), F.col("label").alias("verdict"), image.alias("image"))
+
+
+_QUOTA = 600_000
+
+
+def kept(spark, d) -> DataFrame:
+    """What the store keeps of them, and how: nothing where even bare records are too large."""
+    rows, how = sink.saved(with_images(spark, d), most_bytes=_QUOTA)
+    rows = with_images(spark, d).limit(0) if rows is None else rows
+    return rows.select("id", F.col("image").isNotNull().alias("has_image"), F.lit(how).alias("saved"))
+
+
+add("sink_fallback", kept, f"""{RQ.RECORDS}, hd AS (SELECT claim_id::VARCHAR AS id, text, label, CASE WHEN claim_id % 3 = 0 THEN 'data:image/png;base64,' || text END AS image FROM re ORDER BY at_ DESC, claim_id::VARCHAR DESC LIMIT 200),
+hs AS (SELECT sum(strlen(id) + strlen(text) + strlen(label)) AS bare, sum(strlen(id) + strlen(text) + strlen(label) + coalesce(strlen(image), 0)) AS whole FROM hd)
+SELECT id, image IS NOT NULL AND whole <= {_QUOTA} AS has_image, CASE WHEN whole <= {_QUOTA} THEN 'whole' ELSE 'without-images' END AS saved FROM hd, hs WHERE bare <= {_QUOTA}""")
