@@ -31,6 +31,17 @@ def joined(tokens: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
 
 
+def among(tokens: Column, words) -> Column:
+    """The tokens with those that aren't among the words replaced by a mark, which is no token."""
+    return F.transform(tokens, lambda t: F.when(t.isin(*words), t).otherwise("~"))
+
+
+def reduced(tokens: Column, words) -> Column:
+    """The joined tokens with each run of tokens that aren't among the words as one mark. Phrases of the
+    words occur in it exactly where they do in the joined tokens, and it is much shorter."""
+    return F.regexp_replace(joined(among(tokens, words)), "(?:~ )+", "~ ")
+
+
 def has(joined_tokens: Column, phrase: str) -> Column:
     return F.contains(joined_tokens, F.lit(f" {phrase} "))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimworks.functions import lexicon as L
-from claimworks.functions.text import clamp, find_terms, half_up, has, has_any, joined, tokenize, trimmed
+from claimworks.functions.text import among, clamp, find_terms, half_up, has, has_any, joined, reduced, tokenize, trimmed
 
 NUMBER = r"(?i)(?<![A-Za-z0-9_])\d[\d,.]*\s?(?:%|percent|crore|lakh|million|billion|kg|km)?"
 DAY = "^(0?[1-9]|[12][0-9]|3[01])(st|nd|rd|th)?$"
@@ -17,14 +17,27 @@ ORDINAL_YEAR = "^(19|20)[0-9]{2}(st|nd|rd|th)?$"
 BY_LENGTH = sorted(L.BODIES, key=lambda b: -len(b.split()))
 
 
-def language(raw: Column) -> Column:
-    letters = F.length(F.regexp_replace(raw, r"\P{L}", ""))
-    plain = F.length(F.regexp_replace(raw, "[^A-Za-z]", ""))
-    return F.when(letters == 0, "non-english").when(F.try_divide(plain, letters) >= 0.8, "english").otherwise("non-english")
+BODY_WORDS = sorted({w for b in [*L.BODIES, "who"] for w in b.split()})
+
+#: The words of all lists of terms.
+RUMOURS = ["rumour", "rumours", "rumor", "false"]
+_LISTS = [L.SENSATIONAL, L.HEDGING, L.EMOTION, L.URGENCY, L.FORWARD, L.CLICKBAIT, L.DEBUNK, RUMOURS, *L.TOPICS.values()]
+WORDS = sorted({w for terms in _LISTS for t in terms for w in t.split()})
+
+
+def letters(raw: Column, runs: str) -> Column:
+    """How many characters the runs of a pattern have; runs are fewer than what stands between characters."""
+    return F.length(F.array_join(F.regexp_extract_all(raw, F.lit(runs), F.lit(0)), ""))
+
+
+def language(raw: Column, plain: Column) -> Column:
+    """plain: the number of letters A-Z and a-z."""
+    all_letters = letters(raw, r"\p{L}+")
+    return F.when(all_letters == 0, "non-english").when(F.try_divide(plain, all_letters) >= 0.8, "english").otherwise("non-english")
 
 
 def debunk(j: Column) -> Column:
-    return has_any(j, L.DEBUNK) | (has_any(j, ["rumour", "rumours", "rumor"]) & has(j, "false"))
+    return has_any(j, L.DEBUNK) | (has_any(j, RUMOURS[:3]) & has(j, "false"))
 
 
 def sensational(j: Column, framing: Column) -> Column:
@@ -65,8 +78,8 @@ def numbers(raw: Column) -> Column:
 def bodies(tokens: Column, raw: Column) -> Column:
     """(index, name) of named bodies, longest first and without overlaps; WHO only in capitals.
     A body found is replaced by its name and a filler for each further token, so that shorter ones
-    can't match there and positions stay."""
-    s = F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" "))
+    can't match there and positions stay. Words of no body are out of the way first."""
+    s = F.concat(F.lit(" "), F.array_join(among(tokens, BODY_WORDS), "  "), F.lit(" "))
     for b in BY_LENGTH:
         words = b.split()
         s = F.replace(s, F.lit(f" {'  '.join(words)} "), F.lit(" " + "  ".join(["{" + "_".join(words) + "}", *["~"] * (len(words) - 1)]) + " "))
@@ -128,12 +141,13 @@ def tokens_of(claims: DataFrame) -> DataFrame:
 def signals(claims: DataFrame) -> DataFrame:
     """All signals of claims(claim_id, text), one row each; null texts count as empty."""
     rows = tokens_of(claims.withColumn("text", F.coalesce("text", F.lit(""))))
-    raw, tokens, j = F.col("raw"), F.col("tokens"), F.col("j")
+    rows = rows.withColumn("plain", letters(F.col("raw"), "[A-Za-z]+")).withColumn("of_lists", reduced(F.col("tokens"), WORDS))  # each list is looked for in what any of them can match
+    raw, tokens, j = F.col("raw"), F.col("tokens"), F.col("of_lists")
     rows = rows.withColumns({
-        "language": language(raw), "debunk": debunk(j), "hedging": find_terms(j, L.HEDGING), "emotion": find_terms(j, L.EMOTION),
+        "language": language(raw, F.col("plain")), "debunk": debunk(j), "hedging": find_terms(j, L.HEDGING), "emotion": find_terms(j, L.EMOTION),
         "urgency": find_terms(j, L.URGENCY), "forward": find_terms(j, L.FORWARD), "clickbait": find_terms(j, L.CLICKBAIT),
         "dates": dates(tokens), "numbers": numbers(raw), "bodies": bodies(tokens, raw),
-        "caps": F.coalesce(F.try_divide(F.length(F.regexp_replace(raw, "[^A-Z]", "")), F.length(F.regexp_replace(raw, "[^A-Za-z]", ""))), F.lit(0.0)),
+        "caps": F.coalesce(F.try_divide(letters(raw, "[A-Z]+"), F.col("plain")), F.lit(0.0)),
         "bangs": F.regexp_count(raw, F.lit("[!?]+")), "word_count": F.size(tokens), "hits": topic_hits(j, raw, tokens),
     })
     return rows.withColumns({"sensational": sensational(j, F.col("debunk")), "attribution": attribution(tokens, F.col("bodies")), "topics": topics_ranked(F.col("hits"))}).withColumn("weight", F.aggregate("sensational", F.lit(0), lambda a, x: a + x["weight"]))

@@ -44,7 +44,7 @@ _CASES = {
     "emotion": ("len(emotion) > 0", quoted(M.DETAILS["emotion"][0]), "emotion[1:6]"),
     "urgency": ("len(urgency) + len(forward) > 0", quoted(M.DETAILS["urgency"][0]), f"({_PRESSURE})[1:6]"),
     "specificity": ("len(numbers) + len(dates) > 0", f"{_PLURAL('numbers', 'figure')} || ' and ' || {_PLURAL('dates', 'date')} || {quoted(M.CHECKABLE)}", "list_concat(numbers[1:4], dates[1:2])"),
-    "style": ("caps > 0.2 OR bangs > 2", quoted(M.DETAILS["style"][0]), "[floor(caps * 100 + 0.5)::INTEGER || {quoted(M.UPPERCASE)}, bangs || {quoted(M.MARKS)}]"),
+    "style": ("caps > 0.2 OR bangs > 2", quoted(M.DETAILS["style"][0]), f"[floor(caps * 100 + 0.5)::INTEGER || {quoted(M.UPPERCASE)}, bangs || {quoted(M.MARKS)}]"),
     "clickbait": ("len(clickbait) > 0", quoted(M.DETAILS["clickbait"][0]), "clickbait[1:4]"),
     "corroboration": ("false", "''", "[]"),
 }

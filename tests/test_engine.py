@@ -76,7 +76,7 @@ def test_rate_limit_matches_a_loop(spark):
 @pytest.mark.parametrize("name", ["tokenize", "dates", "attribution", "aspect_scores", "source_match", "decide", "optimal_cost", "confusion_matrix", "find_terms", "sensational", "distinct_problems", "summary", "outlet_registry"])
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "events"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     expected = con.execute(catalog.SQL[name]).fetchall()
     columns = [c[0] for c in con.description]

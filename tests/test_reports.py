@@ -16,7 +16,7 @@ from conftest import SF
 @pytest.mark.parametrize("name", ["notices", "aspect_reports", "decide_reasons", "build_prompt", "img_guard", "scan_local_store", "load_samples", "profiles_own", "admin_set_user_status", "walk_ghf", "problem_overrides"])
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "customer", "orders", "lineitem"):
+    for t in ("documents", "pages", "labels", "customer", "orders", "lineitem", "events"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     expected = con.execute(catalog.SQL[name]).fetchall()
     columns = [c[0] for c in con.description]
