@@ -8,17 +8,19 @@ whose bound reaches the threshold are opened. The parts:
 2. Which groups a document can qualify for at all follows from a pigeonhole. Two sets with
    Jaccard >= t differ in at most k = (1-t)/(1+t) * (|A|+|B|) shingles, so of more than k
    segments of the shingle space one is equal in both. A document looks up the hash of each
-   segment's content (small sets: a prefix of their shingles) in the column of the matrix;
-   the least document of a posting names the group. There are a few segments more than k + 1,
-   so similar sets share several keys; a document with fewer shared keys goes no further.
+   segment's content (small sets: each shingle) in the column of the matrix; the least document of
+   a posting names the group. There are a few segments more than k + 1, so similar sets share
+   several keys, s at least, and a document can spare the s - 1 most frequent of its keys: the
+   rarest key that two similar sets share stays with both. So keys that many documents share, as
+   those of a common passage, lead to a comparison only where the documents have too few others.
 3. A group is worked in parts of at most `group_rows` documents plus its leader. A part links
    its members by comparing one leader after another with all; a document that a leader has
    reached leads no more. If the part is in several components then, the documents outside the
    largest one are compared with all too, so no link between reached documents is lost.
-4. Where a posting's documents are in several components by then, those outside its commonest
-   component open the other groups of the posting, if they share keys enough with the group and
-   the overlap with the group's union reaches t * |A|. Histograms bound that overlap from above,
-   so most groups are excluded before any shingles are moved.
+4. Where a key's documents are in several components by then, those outside its commonest
+   component open the other groups of the key, if the overlap with the group's union reaches
+   t * |A|. Histograms bound that overlap from above, so most groups are excluded before any
+   shingles are moved.
 
 Every link's two documents end in one component; no pair within a group is emitted.
 """
@@ -38,7 +40,7 @@ from claimworks.llm.components import components
 _U = np.uint64
 BUCKETS = 128  # of a set's histogram, by the first bits of its shingles
 FULL = 255  # a bucket's count from here on is unknown
-SMALL = 40  # sets below this size look up single shingles
+SMALL = 64  # sets below about this size look up single shingles
 
 
 class Scheme:
@@ -63,42 +65,32 @@ class Scheme:
         k = 2 * (int(self.edges[band + 1]) - 1) * (self.den - self.num) // (self.den + self.num)
         return k + 1 + k // 8, 1 + k // 8
 
-    def keys(self, tokens: np.ndarray) -> np.ndarray:
-        """The posting keys of one sorted set: those of its own band and of the next, where a
-        larger similar set can be. Two similar sets share a key of the larger one's band."""
+    def keys(self, tokens: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        """The posting keys of one sorted set, those of its own band and of the next, where a larger
+        similar set can be, each with how many of them the set can spare: one less than it shares
+        with any similar set of the larger one's band at least."""
         n, out = len(tokens), []
         own = int(np.searchsorted(self.edges, n, side="right")) - 1
         for band in (own, own + 1):
-            salt = _text.mix1(band * 0x9E3779B97F4A7C15 + 17)
             if self.edges[band + 1] <= SMALL:
-                out.append(_text.mix(tokens[: n - self.least(n) + 1] ^ _U(salt)))
+                if not out:  # the same shingles serve both bands
+                    out.append((_text.mix(tokens ^ _U(_text.mix1(17))), self.least(n) - 1))
                 continue
+            salt = _text.mix1(band * 0x9E3779B97F4A7C15 + 17)
             m, equal = self.segments(band)
             mixed = _text.mix(tokens ^ _U(0xA24BAED4963EE407))
             segment = (tokens % _U(m)).astype(np.int64)
             content = np.zeros(m, _U)
             np.add.at(content, segment, mixed)
             filled = np.bincount(segment, minlength=m) > 0
-            if m - filled.sum() < equal:  # an equal segment is one with shingles in it
+            empty = m - int(filled.sum())
+            if empty < equal:  # an equal segment is one with shingles in it
                 content = content[filled]
                 at = np.flatnonzero(filled)
             else:
                 at = np.arange(m)
-            out.append(_text.mix(content + at.astype(_U) * _U(0xC2B2AE3D27D4EB4F) + _U(salt)))
-        return np.unique(np.concatenate(out))
-
-    def need(self, tokens: np.ndarray) -> int:
-        """How many keys a set shares at least with any similar one: of the segments that are
-        equal, those with shingles in them. The larger set's band is the set's own or the next."""
-        n, out = len(tokens), []
-        own = int(np.searchsorted(self.edges, n, side="right")) - 1
-        for band in (own, own + 1):
-            if self.edges[band + 1] <= SMALL:
-                return 1
-            m, equal = self.segments(band)
-            empty = m - np.count_nonzero(np.bincount((tokens % _U(m)).astype(np.int64), minlength=m))
-            out.append(max(1, equal - empty))
-        return min(out)
+            out.append((_text.mix(content + at.astype(_U) * _U(0xC2B2AE3D27D4EB4F) + _U(salt)), max(equal - empty, 1) - 1))
+        return out
 
 
 def _sets(batches, k: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
@@ -111,27 +103,30 @@ def _sets(batches, k: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, n
             yield batch.column(0).slice(i, j - i), np.searchsorted(row, np.arange(j - i + 1)), h, row
 
 
-def signatures(docs: DataFrame, k: int, scheme: Scheme) -> DataFrame:
-    """doc_id, n (set size), two sums over the set that tell sets apart, and the keys it needs."""
+def signatures(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n (set size) and two sums over the set that tell sets apart."""
 
     def run(batches):
         for ids, first, h, _ in _sets(batches, k):
             one, two = _text.sums(_text.mix(h)), _text.sums(_text.mix(h ^ _U(0x5851F42D4C957F2D)))
-            need = pa.array([scheme.need(h[a:b]) if b > a else 0 for a, b in zip(first[:-1], first[1:], strict=True)], pa.int32())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(first)), pa.array(_text.signed(one[first[1:]] - one[first[:-1]])), pa.array(_text.signed(two[first[1:]] - two[first[:-1]])), need], ["doc_id", "n", "s1", "s2", "need"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(first)), pa.array(_text.signed(one[first[1:]] - one[first[:-1]])), pa.array(_text.signed(two[first[1:]] - two[first[:-1]]))], ["doc_id", "n", "s1", "s2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, need int")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
 
 
 def _postings(docs: DataFrame, k: int, scheme: Scheme) -> DataFrame:
     def run(batches):
         for ids, first, h, _ in _sets(batches, k):
-            keys = [scheme.keys(h[a:b]) if b > a else np.zeros(0, _U) for a, b in zip(first[:-1], first[1:], strict=True)]
-            n = np.array([len(x) for x in keys])
-            doc = np.repeat(ids.to_numpy(zero_copy_only=False), n)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(_text.signed(np.concatenate([*keys, np.zeros(0, _U)])))], ["doc_id", "key"])
+            keys, doc, spare = [np.zeros(0, _U)], [], []
+            for name, a, b in zip(ids.to_pylist(), first[:-1], first[1:], strict=True):
+                for found, most in scheme.keys(h[a:b]) if b > a else ():
+                    keys.append(found)
+                    doc.append(name)
+                    spare.append(most)
+            n = np.array([len(x) for x in keys[1:]], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(doc, np.int64), n)), pa.array(_text.signed(np.concatenate(keys))), pa.array(np.repeat(np.array(spare, np.int32), n))], ["doc_id", "key", "spare"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, spare int")
 
 
 def _tokens(docs: DataFrame, k: int) -> DataFrame:
@@ -258,21 +253,23 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     """
     scheme = Scheme(num, den)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    sizes = _store.table(signatures(rows, k, scheme), "signatures")
+    sizes = _store.table(signatures(rows, k), "signatures")
     usable = sizes.filter("n > 0 and doc_id is not null")
     classes = usable.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     copies = _store.table(usable.join(classes, ["n", "s1", "s2"]).filter("doc_id <> rep").select("doc_id", "rep"), "copies")
     same = copies.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     rows = _store.with_ids(rows.filter("doc_id is not null"), copies.select("doc_id").distinct(), "doc_id", "left_anti")
 
-    postings = _postings(rows, k, scheme)
     # One shuffle of the keys; equal sets are gone by then, and a document has many keys.
     posting = Window.partitionBy("key")
-    shared = postings.withColumn("leader", F.min("doc_id").over(posting)).withColumn("other", F.max("doc_id").over(posting)).filter("leader <> other")
-    seen = _store.table(shared.groupBy("doc_id", "leader").agg(F.count("*").alias("keys")), "shared")
-    needs = usable.groupBy("doc_id").agg(F.min("need").alias("need"))
-    enough = seen.groupBy("doc_id").agg(F.sum("keys").alias("all")).join(needs, "doc_id").filter(F.col("all") >= F.col("need")).select("doc_id", "need")
-    seen = _store.table(seen.join(enough, "doc_id"), "postings")
+    shared = _postings(rows, k, scheme).withColumn("leader", F.min("doc_id").over(posting)).withColumn("other", F.max("doc_id").over(posting))
+    shared = shared.withColumn("often", F.count("*").over(posting)).filter("leader <> other")
+    # The rows of a repeated id spare nothing, as it isn't told which row a key comes from.
+    repeated = _store.table(usable.groupBy("doc_id").agg(F.count("*").alias("times")).filter("times > 1").select("doc_id", F.lit(True).alias("many")), "repeated")
+    shared = shared.join(repeated, "doc_id", "left")
+    commonest = Window.partitionBy("doc_id", "spare", F.when(F.col("many"), F.col("key"))).orderBy(F.desc("often"), F.desc("key"))
+    seen = shared.withColumn("rank", F.row_number().over(commonest)).filter("many or rank > spare")
+    seen = _store.table(seen.select("doc_id", "key", "leader"), "postings")
     groups = seen.groupBy("doc_id").agg(F.min("leader").alias("group"))
     parts = groups.groupBy("group").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("parts"))
     parts = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -284,23 +281,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     edges = _store.table(inside.union(same), "links")
     found = _store.table(components(edges), "components")
 
-    # Postings whose documents are in several components: who may still open which part.
+    # Keys whose documents are in several components: who may still open which part.
     lengths = tokens.select("doc_id", (F.length("tokens") / 8).cast("long").alias("n")).distinct()
     state = _store.table(_with_components(placed, found).join(lengths, "doc_id"), "state")
     posted = seen.join(state, "doc_id")
-    # Of two components one isn't the posting's commonest: its documents ask, the others are asked.
-    sizes_of = posted.groupBy("leader", "component").agg(F.count("*").alias("n"))
-    main = sizes_of.groupBy("leader").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("components")).filter("components > 1")
-    posted = _store.table(posted.join(main.select("leader", "main.component").withColumnRenamed("component", "main"), "leader"), "unsettled")
-    targets = posted.select("leader", F.col("group").alias("g"), F.col("part").alias("p")).distinct()
-    posted = posted.filter("component <> main").select("leader", "doc_id", "group", "part", "component", "n", "keys", "need")
+    # Of two components one isn't the key's commonest: its documents ask, the others are asked.
+    sizes_of = posted.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = sizes_of.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("components")).filter("components > 1")
+    posted = _store.table(posted.join(main.select("key", "main.component").withColumnRenamed("component", "main"), "key"), "unsettled")
+    targets = posted.select("key", F.col("group").alias("g"), F.col("part").alias("p")).distinct()
+    posted = posted.filter("component <> main").select("key", "doc_id", "group", "part", "component", "n")
     mixed = state.groupBy("group", "part").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
     mixed = mixed.select(F.col("group").alias("g"), F.col("part").alias("p"), "low", "high", "least", "most")
-    asked = posted.join(targets, "leader").filter("not (group = g and part = p)").join(mixed, ["g", "p"])
+    asked = posted.join(targets, "key").filter("not (group = g and part = p)").join(mixed, ["g", "p"])
     fits = (F.col("least") * num <= F.col("n") * den) & (F.col("most") * den >= F.col("n") * num)
     asked = asked.filter(fits & ((F.col("low") != F.col("high")) | (F.col("component") != F.col("low"))))
-    # The keys of a linked pair are all asked for from one side or the other: one has half of them.
-    asked = asked.groupBy("doc_id", "g", "p", "need", "n", "least").agg(F.sum("keys").alias("keys")).filter("2 * keys >= need").drop("need", "keys")
+    asked = asked.select("doc_id", "g", "p", "n", "least").distinct()
     highest = placed.join(tokens.select("doc_id", "counts"), "doc_id").groupBy("group", "part").applyInArrow(_highest, "g long, p int, highest binary")
     asked = asked.join(tokens.select("doc_id", "counts"), "doc_id").join(highest, ["g", "p"]).select("doc_id", "g", "p", "n", "least", "counts", "highest")
     asked = asked.mapInArrow(_may_qualify(scheme), "doc_id long, g long, p int").distinct()

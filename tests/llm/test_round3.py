@@ -1,15 +1,16 @@
-"""Alignment, token counts and hard negatives against brute force and odd rows."""
+"""Alignment, token counts, hard negatives and the Jaccard join against brute force and odd rows."""
 
 import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from claimworks.llm import alignment, hard_negatives, token_counts
+from claimworks.llm import alignment, hard_negatives, jaccard_join, token_counts
 
 A, B, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model", "word_bpe_49k.json"))
 ODD = [None, "", " ", "a", "  two  spaces ", "<|endoftext|> and <s> </s>", "naïve café — 東京タワー 🙂🙂", "▁ low line", "x" * 700, "tab\tand\nline\r\n", "=" * 99 + "-" * 50, "élève", "\x00\x01 control", "same same same same"]
@@ -170,3 +171,38 @@ def test_hard_negatives_equal_brute_force(spark, dims, scale, block):
 def test_hard_negatives_of_no_rows(spark):
     table = spark.createDataFrame([], "vec_id long, label int, embedding array<float>")
     assert hard_negatives.mine(table).collect() == []
+
+
+@pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80)])
+def test_jaccard_spares_common_keys_but_no_link(spark, k, num):
+    """Many texts of all sizes share passages; near copies among them differ in few words, or
+    hold hardly anything but a passage."""
+    rng = np.random.default_rng(k)
+    passages = [[f"p{j}x{i}" for i in range(size)] for j, size in enumerate((9, 25, 60))]
+    rows = []
+    for i in range(150):
+        passage = passages[i % 3]
+        own = [f"w{w}" for w in rng.integers(0, 10**6, int(rng.integers(0, 90)) if i % 5 else int(rng.integers(0, 4)))]
+        for copy in range(1 + (i % 4 == 0)):
+            words = [*own[: len(own) // 2], *passage, *own[len(own) // 2 :]]
+            for at in rng.integers(0, len(words), copy * (1 + len(words) // 60)):
+                words[at] = f"c{i}"
+            rows.append((len(rows) if i % 10 else 3, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    links = {}
+
+    def root(x):
+        while links.setdefault(x, x) != x:
+            x = links[x]
+        return x
+
+    sets = [(d, {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}) for d, t in rows for w in [t.split()]]
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            if 100 * len(x & y) >= num * len(x | y):
+                u, v = sorted((root(a), root(b)))
+                links[v] = u
+    for group_rows in (2, 512):
+        got = jaccard_join.jaccard_components(docs, k, num, 100, group_rows=group_rows).collect()
+        assert len(got) == len(rows) and all(r["component_id"] == root(r["doc_id"]) for r in got)
+    assert len({root(d) for d, _ in rows}) < len({d for d, _ in rows}) - 10
