@@ -43,7 +43,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language ID", language), ("line dedup", line_dedup_stage), ("n-gram Jaccard join", near_duplicates), ("mixing", mix), ("packing", pack)]
 
-#: Tokens and SimHashes are beyond SQL. Tests hold operators, but not the pipeline, against brute force.
+#: Tokens and SimHashes are beyond SQL. tests/llm/test_pipeline.py checks each stage and their order.
 ORACLE_SQL = None
 
 
