@@ -210,7 +210,7 @@ def _slot(found: list[tuple[str, tuple[int, ...], int, bool]], main: int) -> lis
     return [x for x in slot if x[2]] if 2 * sum(n for n, a in sizes if a) > sum(n for n, _ in sizes) else slot
 
 
-def extract(pages: DataFrame, support: int = 2, most_hosts: int = 20_000, article_support: int = 4) -> DataFrame:
+def extract(pages: DataFrame, support: int = 2, most_hosts: int = 20_000, article_support: int = 8) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, text, n_chars, n_blocks, template_blocks, one row
     per row of pages.
 

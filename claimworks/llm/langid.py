@@ -2,8 +2,8 @@
 
 Learning counts byte 4-grams of letters (A-Z lower-cased, with word borders) per language over all
 labelled rows. An n-gram belongs to every language in which its relative frequency is at least
-`near` of its highest. The filter is a bit-sliced Bloom filter: one 64-bit mask per slot, bit l for
-language l; the AND of an n-gram's slots is the set of languages that contain it. A text's count
+`near` of its highest. The filter is a bit-sliced Bloom filter: a mask of one or more 64-bit words per
+slot, with a bit for each language; the AND of an n-gram's slots is the set of languages that contain it. A text's count
 for a language is the popcount of that bit over its n-grams, corrected for the share that false
 positives add: (hits - fp * n) / (1 - fp), with fp from the language's own bit density.
 """
@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 from claimworks.llm import _store, _text
 
 _U = np.uint64
-SLOTS = 1 << 20  # bounds what is broadcast: 8 MB
+SLOTS = 1 << 20  # bounds what is broadcast: 8 MB for each 64 languages
 HASHES = 4
-MOST_LANGUAGES = 63
 
 _CLASS = np.zeros(256, np.uint8)  # a letter's byte, or 0x20
 _CLASS[:] = 0x20
@@ -55,7 +54,8 @@ def _slots(code: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Model:
-    """Languages in bit order, slots (SLOTS masks) and each language's false positive rate."""
+    """Languages in bit order, slots (a row of SLOTS mask words for each 64 languages) and each
+    language's false positive rate."""
 
     languages: list[str]
     slots: np.ndarray
@@ -64,8 +64,9 @@ class Model:
 
 def learn(rows: DataFrame, near: float = 0.3, least: int = 3) -> Model:
     """rows(text, lang): every row with a text and a lang takes part. Counts are exact and over all
-    rows; the driver gets languages and at most SLOTS slot masks. Without labelled rows the model
-    has no language. More than 63 languages raise an error."""
+    rows; the driver gets languages and at most SLOTS slot masks for each 64 languages. Without
+    labelled rows the model has no language. There may be as many languages as lang has values: the
+    model has 128 kB for each."""
 
     def count(batches):
         for batch in _text.released(batches):
@@ -80,26 +81,26 @@ def learn(rows: DataFrame, near: float = 0.3, least: int = 3) -> Model:
     counts = rows.filter("text is not null and lang is not null").select("text", "lang").mapInArrow(count, "lang string, gram long, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = _store.table(counts, "grams")
-    totals = {r["lang"]: r["t"] for r in counts.groupBy("lang").agg(F.sum("n").alias("t")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(totals) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    totals = {r["lang"]: r["t"] for r in counts.groupBy("lang").agg(F.sum("n").alias("t")).collect()}
     names = sorted(totals)
-    slots = np.zeros(SLOTS, _U)
+    slots = np.zeros(((len(names) + 63) // 64, SLOTS), _U)
     if names:
-        pairs = lambda values: F.create_map(*[x for k, v in zip(names, values, strict=True) for x in (F.lit(k), F.lit(v))])[F.col("lang")]
-        shares = counts.withColumn("share", F.col("n") / pairs([float(totals[x]) for x in names])).withColumn("bit", pairs([1 << i for i in range(len(names))]).cast("long"))
-        best = shares.groupBy("gram").agg(F.max("share").alias("best"), F.collect_list(F.struct("share", "n", "bit")).alias("all"))  # a struct a language
+        bits = counts.sparkSession.createDataFrame([(x, float(totals[x]), i // 64, int(np.array(1 << i % 64, _U).view(np.int64))) for i, x in enumerate(names)], "lang string, total double, word int, bit long")
+        shares = counts.join(F.broadcast(bits), "lang").select("gram", "n", "word", "bit", (F.col("n") / F.col("total")).alias("share"))
+        best = shares.groupBy("gram", "word").agg(F.max("share").alias("best"), F.collect_list(F.struct("share", "n", "bit")).alias("all"))  # a struct a language, 64 at most
+        if len(names) > 64:
+            best = best.join(best.groupBy("gram").agg(F.max("best").alias("top")), "gram").drop("best").withColumnRenamed("top", "best")
         mask = F.aggregate(F.filter("all", lambda x: (x["n"] >= least) & (x["share"] >= near * F.col("best"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x["bit"]))
-        masks = best.select("gram", mask.alias("mask")).filter("mask <> 0")
+        masks = best.select("gram", "word", mask.alias("mask")).filter("mask <> 0")
 
         def place(batches):
             for batch in _text.released(batches):
-                code, mask = batch.column(0).to_numpy().astype(np.uint32), batch.column(1).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_slots(code))), pa.array(np.tile(mask, HASHES))], ["slot", "mask"])
+                code, word, mask = batch.column(0).to_numpy().astype(np.uint32), batch.column(1), batch.column(2).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(word.to_numpy(), HASHES)), pa.array(np.concatenate(_slots(code))), pa.array(np.tile(mask, HASHES))], ["word", "slot", "mask"])
 
-        filled = masks.mapInArrow(place, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()
-        slots[filled["slot"].to_numpy()] = filled["mask"].to_numpy().astype(np.int64).view(_U)
-    fill = np.array([((slots >> _U(i)) & _U(1)).mean() for i in range(len(names))])
+        filled = masks.mapInArrow(place, "word int, slot long, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toPandas()
+        slots[filled["word"].to_numpy(), filled["slot"].to_numpy()] = filled["mask"].to_numpy().astype(np.int64).view(_U)
+    fill = np.array([((slots[i // 64] >> _U(i % 64)) & _U(1)).mean() for i in range(len(names))])
     return Model(names, slots, fill**HASHES)
 
 
@@ -127,13 +128,13 @@ def predict(docs: DataFrame, model: Model, *keep: Column | str) -> DataFrame:
                 n, k = j - i, len(m.languages)
                 code, row = _grams(data, offsets)
                 first = np.searchsorted(row, np.arange(n + 1))
-                mask = np.full(len(code), 2**64 - 1, _U)
+                mask = np.full((len(m.slots), len(code)), 2**64 - 1, _U)
                 for at in _slots(code):
-                    mask &= m.slots[at]
+                    mask &= m.slots[:, at]
                 total = np.diff(first).astype(float)
                 hits = np.zeros((n, k))
                 for x in range(k):
-                    s = np.concatenate([[0], np.cumsum((mask >> _U(x)) & _U(1), dtype=np.int64)])
+                    s = np.concatenate([[0], np.cumsum((mask[x // 64] >> _U(x % 64)) & _U(1), dtype=np.int64)])
                     hits[:, x] = s[first[1:]] - s[first[:-1]]
                 fixed = np.maximum(0, (hits - m.rates * total[:, None]) / (1 - m.rates))
                 letters = np.zeros(len(data) + 1, np.int64)
