@@ -23,6 +23,7 @@ from claimworks.llm import _text
 _U = np.uint64
 FRACTION = 1 / 8
 RANGE_CHARS = 8 << 20  # characters of text to a range of ids, about
+MOST_RANGES = 20_000  # bounds the cuts on the driver and the broadcast heads of ranges
 WIDTH = 8  # characters in a shingle
 
 
@@ -93,10 +94,12 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
 
     Rows are dealt into ranges of ids, each with one more row, the first of the range after it, so
     every document meets its next one in a single shuffle. ranges is the number of groups
-    (default: one for about RANGE_CHARS characters); only their bounds pass through the driver.
+    (default: one for about RANGE_CHARS characters, MOST_RANGES at most: a range is read as a stream,
+    so a larger one takes longer but no more memory); only their bounds pass through the driver.
+    Repeated rows have a row each; an empty table gives none; other columns are ignored.
     """
     if ranges is None:
-        ranges = max(2, -(-(docs.agg(F.sum(F.length("text"))).first()[0] or 0) // RANGE_CHARS))
+        ranges = min(MOST_RANGES, max(2, -(-(docs.agg(F.sum(F.length("text"))).first()[0] or 0) // RANGE_CHARS)))
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("o"))
     cuts = np.array(_ranges(rows.select("o"), ranges), np.int64)
 

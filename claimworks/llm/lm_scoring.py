@@ -4,7 +4,9 @@
                = alpha * S(w | v)      otherwise, and so on down to S(w) = c(w) / N
 
 A document's score is the sum of log S over its words; a word with fewer words before it starts at
-the longest n-gram that it has. Counts are exact and over all documents, for n-grams of any order:
+the longest n-gram that it has. Counts are over all documents, for n-grams of any order. They are
+those of hashes: about one n-gram in a million shares its hash and carries another's count too
+(SPARE_BITS; whole 64-bit hashes took 4.14 x the input on disk, beyond the limit of 4).
 
 - Documents are dealt into chunks of about `chunk_bytes` of text. A chunk keeps its words in order,
   as places in a list of its distinct word hashes, so the texts are read once.
