@@ -5,11 +5,12 @@ SimHash of its words. Two hashes that differ in at most 2 bits agree in two of f
 least, so lines meet in six postings of 32 bits each (pigeonhole). A changed word moves more bits
 than that in all but long lines, so lines also meet in ten bands of four least word hashes
 (MinHash), where their SimHashes may differ in 15 bits. Words of five bytes and more weigh eight
-times as much there, else lines would meet by the few words that all lines share. Within a posting,
-one leader after another is compared with all lines, and a line that has been reached leads no more.
-Pairs are verified by edit similarity of the normalised lines, and verified pairs form connected
-groups. Where a posting's lines are in several groups then, they meet again with their texts: the
-close ones of different groups are verified there, nearest first, until all that can be are joined.
+times as much there, else lines would meet by the few words that all lines share. Postings travel
+packed, by range of hashed keys. Within a posting, one leader after another is compared with all
+lines, and a line that has been reached leads no more. Pairs are verified by edit similarity of the
+normalised lines, and verified pairs form connected groups. Where a posting's lines are in several
+groups then, they meet again with their texts: the close ones of different groups are verified
+there, nearest first, until all that can be are joined.
 Of each group one occurrence stays: the first by document and line.
 """
 
@@ -32,7 +33,9 @@ _U = np.uint64
 BLOCKS = 4  # of 16 bits
 BITS = 2
 BANDS, BAND_WORDS = 10, 4
-MANY = 512  # characters of lines whose distances are computed many at a time
+MANY = 2048  # characters of lines whose distances are computed many at a time
+FEW = 96  # pairs below which each is computed alone
+RANGE = 1 << 19  # postings of a range of keys
 LONG = 5  # bytes of a word that weighs more in the bands
 BAND_BITS = 15  # one word of ten changed moves 9.5 bits, give or take 3; unrelated lines differ in 32
 _SALTS = _text.mix(np.arange(1, BANDS * BAND_WORDS + 1, dtype=_U)) | _U(1)
@@ -149,13 +152,44 @@ def _normal_lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "line long, words string")
 
 
-def _block_keys(distinct: DataFrame, *more: str) -> DataFrame:
-    """line, simhash, more columns and one key for each pair of blocks and each band: its number
-    above 32 bits of content."""
-    block = [F.shiftrightunsigned("simhash", 16 * n).bitwiseAND(F.lit(0xFFFF)) for n in range(BLOCKS)]
-    keys = [F.lit(n << 32) + F.shiftleft(block[a], 16) + block[b] for n, (a, b) in enumerate(_PAIRS)]
-    keys += [F.lit(n << 32) + F.col(b).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)) for n, b in enumerate(_BANDS, len(keys))]
-    return distinct.filter("fuzzy").select("line", "simhash", *more, F.explode(F.array(*keys)).alias("key"))
+def _keys(sim: np.ndarray, bands: list[np.ndarray]) -> np.ndarray:
+    """A row for each pair of blocks and each band with the lines' keys: its number above 32 bits of content."""
+    block = [(sim.view(_U) >> _U(16 * n)) & _U(0xFFFF) for n in range(BLOCKS)]
+    content = [(block[a] << _U(16)) + block[b] for a, b in _PAIRS] + [b.view(np.uint32).astype(_U) for b in bands]
+    return np.stack(content).view(np.int64) + (np.arange(len(content)) << 32)[:, None]
+
+
+def _key_ranges(rows: DataFrame, value: str, n: int):
+    """The postings of n lines (line, simhash, value, bands), grouped by range of hashed keys. A chunk of
+    lines sends each range its postings once, as bytes: range, key, line, value."""
+    ranges = max(1, -(-n * (len(_PAIRS) + BANDS) // RANGE))
+
+    def run(batches):
+        for batch in _text.released(batches):
+            line, held, sim, *bands = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            key = _keys(sim, bands)
+            at = np.tile(np.arange(len(line)), len(key))
+            key = key.ravel()
+            place = (_text.mix(key.view(_U)) % _U(ranges)).astype(np.int32)
+            order = np.argsort(place, kind="stable")
+            place, at = place[order], at[order]
+            begin, _ = _bounds(place)
+            ends = pa.py_buffer((8 * np.append(begin, len(place))).astype(np.int32).tobytes())
+            packed = [pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, ends, pa.py_buffer(x.tobytes())]) for x in (key[order], line[at], held[at])]
+            yield pa.RecordBatch.from_arrays([pa.array(place[begin]), *packed], ["range", "key", "line", "value"])
+
+    return rows.select("line", F.col(value).alias("value"), "simhash", *_BANDS).mapInArrow(run, "range int, key binary, line binary, value binary").groupBy("range")
+
+
+def _shared_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """key, line and value of a range's postings of two lines at least, by key."""
+    key, line, value = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("key", "line", "value"))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    same = key[1:] == key[:-1]
+    shared = np.append(same, False) | np.append(False, same)
+    order = order[shared]
+    return key[shared], line[order], value[order]
 
 
 def _whole_postings(batches):
@@ -214,6 +248,22 @@ def _close_pairs(batches):
         yield _pairs(u, v)
 
 
+def _range_pairs(table: pa.Table) -> pa.Table:
+    """_close_pairs of a range of postings with SimHashes."""
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in _shared_keys(table)], ["key", "line", "simhash"])
+    return pa.Table.from_batches(_close_pairs([batch]), pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+
+def _split_postings(table: pa.Table) -> pa.Table:
+    """From a range of postings with components: key and line of those with several components."""
+    key, line, component = _shared_keys(table)
+    begin, end = _bounds(key)
+    split = np.zeros(0, bool)
+    if len(key):
+        split = np.repeat(np.minimum.reduceat(component, begin) < np.maximum.reduceat(component, begin), end - begin)
+    return pa.table({"key": pa.array(key[split]), "line": pa.array(line[split])})
+
+
 def _joins(num: int, den: int):
     def run(batches):
         """From key, line, simhash, component, words sorted by key: (u, v), components of one posting
@@ -351,8 +401,10 @@ def _aligned(a: str, b: str, allowed: int) -> int:
     return total
 
 
-def _distances(a: list[str], b: list[str]) -> np.ndarray:
-    """The edit distances of pairs of non-empty texts, as _distance, but for all pairs at a time."""
+def _distances(a: list[str], b: list[str], allowed: int | None = None) -> np.ndarray:
+    """The edit distances of pairs of non-empty texts, as _distance, but for all pairs at a time.
+    With `allowed`, only blocks of the matrix within that many cells of its diagonal are computed:
+    distances up to it are exact, others more than it."""
     first, second = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     order = np.argsort(-second, kind="stable")  # the columns of the longest are computed last
     a, b, first, second = [a[k] for k in order], [b[k] for k in order], first[order], second[order]
@@ -361,29 +413,40 @@ def _distances(a: list[str], b: list[str]) -> np.ndarray:
     occurs = np.zeros(int(code.max()) + 1, bool)
     occurs[code] = True
     letters, code = np.flatnonzero(occurs), (np.cumsum(occurs) - 1)[code]
+    if n > 1 and n * len(letters) * blocks > 1 << 22:  # 32 MB
+        out, half = np.empty(n, np.int64), n // 2
+        out[order] = np.concatenate([_distances(a[:half], b[:half], allowed), _distances(a[half:], b[half:], allowed)])
+        return out
     pair = np.repeat(np.arange(n), first)
     place = np.arange(len(pair)) - np.repeat(np.cumsum(first) - first, first)
-    at = np.zeros((n, len(letters), blocks), _U)
-    np.bitwise_or.at(at, (pair, code[: len(pair)], place >> 6), _U(1) << (place & 63).astype(_U))
+    # Places are distinct, so their bits add up, exactly in 32 bits of a float.
+    half = (pair * len(letters) + code[: len(pair)]) * (2 * blocks) + (place >> 5)
+    at = np.bincount(half, np.ldexp(1.0, place & 31), n * len(letters) * 2 * blocks).astype(np.uint32).view(_U).reshape(n * len(letters), blocks)
     text = np.zeros((columns, n), np.int64)
     text[np.arange(int(second.sum())) - np.repeat(np.cumsum(second) - second, second), np.repeat(np.arange(n), second)] = code[len(pair) :]
     up, down = np.full((blocks, n), ~_U(0)), np.zeros((blocks, n), _U)
-    rows, one = np.arange(n), _U(1)
+    text += np.arange(n) * len(letters)
+    one, reach = _U(1), max(columns, int(first.max())) if allowed is None else allowed
     open_ = n - np.searchsorted(second[::-1], np.arange(columns), side="right")
     for t in range(columns):
         k = open_[t]
-        same = at[rows[:k], text[t, :k]]
-        plus, minus = np.ones(k, _U), np.zeros(k, _U)
-        for w in range(blocks):
-            x, vp, vn = same[:, w], up[w, :k], down[w, :k]
-            vertical = x | vn
-            x = x | minus
-            diagonal = (((x & vp) + vp) ^ vp) | x
-            right, drop = vn | ~(diagonal | vp), vp & diagonal
-            shifted, dropped = (right << one) | plus, (drop << one) | minus
-            plus, minus = right >> _U(63), drop >> _U(63)
-            up[w, :k] = dropped | ~(vertical | shifted)
-            down[w, :k] = shifted & vertical
+        low, high = max(0, t - reach) >> 6, min(blocks, (t + reach >> 6) + 1)
+        x, vp, vn = at.take(text[t, :k], axis=0)[:, low:high].T, up[low:high, :k], down[low:high, :k]
+        x = x | vn
+        diagonal = (x & vp) + vp
+        carry = (diagonal < vp)[:-1]
+        while carry.any():  # of a block's sum to the next block; twice only if all of its bits are set
+            diagonal[1:] += carry
+            carry = np.append(np.zeros((1, k), bool), (carry & (diagonal[1:] == 0))[:-1], axis=0)
+        diagonal ^= vp
+        diagonal |= x
+        right, drop = vn | ~(diagonal | vp), vp & diagonal
+        shifted, dropped = right << one, drop << one
+        shifted[0] |= one
+        shifted[1:] |= right[:-1] >> _U(63)
+        dropped[1:] |= drop[:-1] >> _U(63)
+        up[low:high, :k] = dropped | ~(diagonal | shifted)
+        down[low:high, :k] = shifted & diagonal
     inside = np.clip(first[None, :] - 64 * np.arange(blocks)[:, None], 0, 64)
     mask = np.where(inside == 64, ~_U(0), (one << (inside % 64).astype(_U)) - one)
     d = second + np.bitwise_count(up & mask).sum(axis=0, dtype=np.int64) - np.bitwise_count(down & mask).sum(axis=0, dtype=np.int64)
@@ -393,24 +456,31 @@ def _distances(a: list[str], b: list[str]) -> np.ndarray:
 
 
 def similar_pairs(a: list[str], b: list[str], num: int, den: int, likely: bool = True) -> np.ndarray:
-    """For each pair whether 1 - edit distance / longer length >= num / den. If that is likely, an
-    alignment at common words accepts most of the pairs first; the rest of up to MANY characters
-    are worked many at a time."""
+    """For each pair whether 1 - edit distance / longer length >= num / den. Pairs of up to MANY
+    characters are worked many at a time; if they are few or longer, each is, and if similarity is
+    likely, an alignment at common words accepts most of those first."""
     longest = np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
     shortest = np.array([min(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
     allowed = longest * (den - num) // den
     out = (longest == shortest) & (longest == 0)
     todo = np.flatnonzero((longest - shortest <= allowed) & (shortest > 0))
-    single = todo[(longest[todo] > MANY) | (likely & (longest[todo] > MANY // 4))]
-    for k in single:
+    todo = todo[np.argsort(longest[todo], kind="stable")]
+    alone = todo[longest[todo] > MANY]
+    todo = todo[: len(todo) - len(alone)]
+    at = 0
+    while at < len(todo):
+        alike = np.searchsorted(longest[todo], longest[todo[at]] * 5 // 4, side="right") - at
+        end = at + min(1024, max(128, int(alike)))
+        end = len(todo) if len(todo) - end < FEW else end
+        now, at = todo[at:end], end
+        if len(now) < FEW and longest[now[-1]] > MANY // 16:
+            alone = np.append(alone, now)
+            continue
+        out[now] = _distances([a[k] for k in now], [b[k] for k in now], int(allowed[now].max())) <= allowed[now]
+    for k in alone:
         x, y = _ends_cut(a[k], b[k])
         most = int(allowed[k])
-        out[k] = max(len(x), len(y)) <= most or (likely and _aligned(x, y, most) <= most) or (longest[k] > MANY and _distance(x, y, most) <= most)
-    todo = todo[~out[todo] & (longest[todo] <= MANY)]
-    todo = todo[np.argsort(longest[todo], kind="stable")]
-    for at in range(0, len(todo), 2048):
-        now = todo[at : at + 2048]
-        out[now] = _distances([a[k] for k in now], [b[k] for k in now]) <= allowed[now]
+        out[k] = max(len(x), len(y)) <= most or (likely and _aligned(x, y, most) <= most) or _distance(x, y, most) <= most
     return out
 
 
@@ -434,8 +504,8 @@ def duplicate_lines(docs: DataFrame, num: int = 80, den: int = 100, min_words: i
     distinct = _store.table(distinct, "distinct-lines")
     found = _store.table(signed.select("doc_id", "line_no", "line"), "lines")
     _store.discard(signed)
-    postings = _block_keys(distinct).repartition("key").sortWithinPartitions("key")
-    pairs = postings.select("key", "line", "simhash").mapInArrow(_close_pairs, "u long, v long")
+    fuzzy = distinct.filter("fuzzy")
+    pairs = _key_ranges(fuzzy, "simhash", fuzzy.count()).applyInArrow(_range_pairs, "u long, v long")
     pairs = _store.table(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "line-pairs")
     candidates = pairs.select(F.col("u").alias("line")).union(pairs.select(F.col("v").alias("line"))).distinct()
     candidates = _store.table(candidates, "candidates")
@@ -445,9 +515,9 @@ def duplicate_lines(docs: DataFrame, num: int = 80, den: int = 100, min_words: i
     # A reached line led no more, whether or not its pair was verified. Where a posting's lines are
     # in several groups by now, they meet again, so no close pair is left out.
     again = distinct.join(candidates, "line").join(groups.withColumnRenamed("id", "line"), "line", "left")
-    again = _store.table(_block_keys(again.withColumn("component", F.coalesce("component", "line")), "component", *_BANDS), "candidate-postings")
-    split = again.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    again_texts = again.join(split, "key").join(texts, "line").select("key", "simhash", "component", "words", *_BANDS)
+    again = _store.table(again.select("line", "simhash", F.coalesce("component", "line").alias("component"), *_BANDS), "candidate-lines")
+    split = _key_ranges(again, "component", again.count()).applyInArrow(_split_postings, "key long, line long")
+    again_texts = split.join(again, "line").join(texts, "line").select("key", "simhash", "component", "words", *_BANDS)
     joins = again_texts.repartition("key").sortWithinPartitions("key").mapInArrow(_joins(num, den), "u long, v long")
     merged = components(joins).select(F.col("id").alias("component"), F.col("component").alias("whole"))
     named = distinct.select("line", "first", "n").join(groups.select(F.col("id").alias("line"), "component"), "line", "left").withColumn("component", F.coalesce("component", "line"))
