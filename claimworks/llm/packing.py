@@ -41,13 +41,24 @@ class _Numbers(dict):
         return n
 
 
+class _Forms(dict):
+    """The byte-level form of each character, by its code point."""
+
+    def __init__(self, pre_tokenizer):
+        self.pre_tokenizer = pre_tokenizer
+
+    def __missing__(self, point: int) -> str:
+        self[point] = form = self.pre_tokenizer.pre_tokenize_str(chr(point))[0][0]
+        return form
+
+
 class Tokens:
     """Token ids of whole texts. The tokenizer never joins over white space, so the ids of a text
     are those of its white-space-separated words, and those of a word are those of the pieces its
     pre-tokenizer cuts. Both are kept for recent words. Words of other than Latin letters, of
     control characters or with a special token go through the whole tokenizer."""
 
-    MOST_WORDS = 400_000
+    MOST_WORDS = 800_000
     MOST_PIECES = 50_000
     #: Bytes of texts at a time; a longer text stands alone.
     CHUNK = 250_000
@@ -59,7 +70,7 @@ class Tokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces: dict[str, list[int]] = {}
-        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.forms = _Forms(pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False))
         special = "|".join(regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.odd = regex.compile(f"[^\\x21-\\x7e\\xa1-\\u024f\n]|{special}")
         cut = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
@@ -73,7 +84,7 @@ class Tokens:
 
     def _piece(self, piece: str) -> list[int]:
         if (ids := self.pieces.get(piece)) is None:
-            form = piece if piece.isascii() else self.bytes.pre_tokenize_str(piece)[0][0]
+            form = piece if piece.isascii() else piece.translate(self.forms)
             ids = [t.id for t in self.tokenizer.model.tokenize(form)]
             if len(self.pieces) >= self.MOST_PIECES:
                 self.pieces.clear()

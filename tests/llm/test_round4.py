@@ -37,3 +37,15 @@ def test_postings_of_any_number_of_ranges_hold_the_same_pairs(spark, monkeypatch
         found.append({frozenset((r["u"], r["v"])) for r in pairs.collect()})
     u, v = next(iter(found[0]))
     assert found[0] == found[1] and len(found[0]) > 1 and u != v
+
+
+def test_byte_level_forms_by_character():
+    """op2: words of Latin letters take their byte-level form by character, whatever lower-casing makes of them."""
+    from claimworks.llm import packing
+    from claimworks.llm.queries import tokenizer_path
+
+    tokens = packing.Tokens(tokenizer_path())
+    words = ["".join(chr(c) for c in range(n, n + 7)) for n in range(0xA1, 0x24A)] + ["İstanbul", "Ⱥb", "naïve,Été"]
+    text = np.frombuffer("\n".join(words).encode(), np.uint8)
+    got = next(tokens.rows(text, np.array([0, len(text)]), 2))
+    assert got.tolist() == [i for w in words for i in tokens.tokenizer.encode(w, add_special_tokens=False).ids] + [2] and tokens.forms
