@@ -19,8 +19,10 @@ whose bound reaches the threshold are opened. The parts:
    largest one are compared with all too, so no link between reached documents is lost.
 4. Where a key's documents are in several components by then, those outside its commonest
    component open the other groups of the key, if the overlap with the group's union reaches
-   t * |A|. Histograms bound that overlap from above, so most groups are excluded before any
-   shingles are moved.
+   t * |A|. A document is looked for in the part it was dealt to, not where it only leads, and a
+   document asks a group once, whatever the number of their keys and of the group's parts.
+   Histograms bound that overlap from above, so most parts are excluded before any shingles are
+   moved.
 
 Every link's two documents end in one component; no pair within a group is emitted.
 """
@@ -273,15 +275,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     groups = seen.groupBy("doc_id").agg(F.min("leader").alias("group"))
     parts = groups.groupBy("group").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("parts"))
     parts = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = groups.join(parts.filter("part = 0").select("group", "parts"), "group").select("doc_id", "group", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
-    placed = _store.table(placed.union(parts.select(F.col("group").alias("doc_id"), "group", "part")).distinct(), "groups")
+    placed = groups.join(parts.filter("part = 0").select("group", "parts"), "group").select("doc_id", "group", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("home"))
+    placed = placed.union(parts.select(F.col("group").alias("doc_id"), "group", "part", F.lit(False)))
+    placed = _store.table(placed.groupBy("doc_id", "group", "part").agg(F.max("home").alias("home")), "groups")
     tokens = _store.table(_tokens(_store.with_ids(rows, placed.select("doc_id").distinct(), "doc_id", "left_semi"), k), "tokens")
 
-    inside = placed.join(tokens.select("doc_id", "tokens"), "doc_id").groupBy("group", "part").applyInArrow(_link_part(scheme), "u long, v long")
+    inside = placed.drop("home").join(tokens.select("doc_id", "tokens"), "doc_id").groupBy("group", "part").applyInArrow(_link_part(scheme), "u long, v long")
     edges = _store.table(inside.union(same), "links")
     found = _store.table(components(edges), "components")
 
-    # Keys whose documents are in several components: who may still open which part.
+    # Keys whose documents are in several components: who may still open which part. A leader's
+    # places in other parts don't matter here: each document of a key is in its own part.
+    placed = placed.filter("home").drop("home")
     lengths = tokens.select("doc_id", (F.length("tokens") / 8).cast("long").alias("n")).distinct()
     state = _store.table(_with_components(placed, found).join(lengths, "doc_id"), "state")
     posted = seen.join(state, "doc_id")
@@ -289,13 +294,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     sizes_of = posted.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = sizes_of.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("components")).filter("components > 1")
     posted = _store.table(posted.join(main.select("key", "main.component").withColumnRenamed("component", "main"), "key"), "unsettled")
-    targets = posted.select("key", F.col("group").alias("g"), F.col("part").alias("p")).distinct()
-    posted = posted.filter("component <> main").select("key", "doc_id", "group", "part", "component", "n")
-    mixed = state.groupBy("group", "part").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
-    mixed = mixed.select(F.col("group").alias("g"), F.col("part").alias("p"), "low", "high", "least", "most")
-    asked = posted.join(targets, "key").filter("not (group = g and part = p)").join(mixed, ["g", "p"])
+    bounds = [f("component").alias(c) for f, c in ((F.min, "low"), (F.max, "high"))] + [f("n").alias(c) for f, c in ((F.min, "least"), (F.max, "most"))]
+    targets = posted.groupBy("key", F.col("group").alias("g")).agg(*bounds)
+    mixed = state.groupBy(F.col("group").alias("g"), F.col("part").alias("p")).agg(*bounds)
     fits = (F.col("least") * num <= F.col("n") * den) & (F.col("most") * den >= F.col("n") * num)
-    asked = asked.filter(fits & ((F.col("low") != F.col("high")) | (F.col("component") != F.col("low"))))
+    fits = fits & ((F.col("low") != F.col("high")) | (F.col("component") != F.col("low")))
+    asked = posted.filter("component <> main").join(targets, "key").filter(fits).select("doc_id", "group", "part", "component", "n", "g").distinct()
+    asked = asked.join(mixed, "g").filter(fits & ~((F.col("group") == F.col("g")) & (F.col("part") == F.col("p"))))
     asked = asked.select("doc_id", "g", "p", "n", "least").distinct()
     highest = placed.join(tokens.select("doc_id", "counts"), "doc_id").groupBy("group", "part").applyInArrow(_highest, "g long, p int, highest binary")
     asked = asked.join(tokens.select("doc_id", "counts"), "doc_id").join(highest, ["g", "p"]).select("doc_id", "g", "p", "n", "least", "counts", "highest")
