@@ -35,6 +35,7 @@ BITS = 2
 BANDS, BAND_WORDS = 10, 4
 MANY = 2048  # characters of lines whose distances are computed many at a time
 FEW = 96  # pairs below which each is computed alone
+GIVE_UP = 32  # columns after which pairs that can't be similar any more are left
 RANGE = 1 << 19  # postings of a range of keys
 LONG = 5  # bytes of a word that weighs more in the bands
 BAND_BITS = 15  # one word of ten changed moves 9.5 bits, give or take 3; unrelated lines differ in 32
@@ -299,13 +300,17 @@ def _joins(num: int, den: int):
                 for i in np.flatnonzero(own != n.argmax()):
                     differ = sim[a:b] ^ sim[a + i]
                     bits = np.bitwise_count(differ)
+                    hit = np.flatnonzero((bits <= most) & (own != own[i]))
+                    if not len(hit):
+                        continue
+                    differ, bits, size = differ[hit], bits[hit], length[a + hit]
                     number = int(key[a] >> 32)
                     blocks = [(differ >> _U(16 * n)) & _U(0xFFFF) == 0 for n in range(BLOCKS)]
                     met = bits <= BITS if number >= len(_PAIRS) else np.any([blocks[p] & blocks[q] for p, q in _PAIRS[:number]], axis=0)
-                    met = met | (bands[a:b, : max(0, number - len(_PAIRS))] == bands[a + i, : max(0, number - len(_PAIRS))]).any(axis=1)
-                    reach = np.maximum(length[a:b], length[a + i]) * (den - num)
-                    hit = np.flatnonzero((bits <= most) & ~met & (own != own[i]) & (np.abs(length[a:b] - length[a + i]) * den <= reach))
-                    hit = hit[np.lexsort((bits[hit], own[hit]))]
+                    met = met | (bands[a + hit, : max(0, number - len(_PAIRS))] == bands[a + i, : max(0, number - len(_PAIRS))]).any(axis=1)
+                    new = ~met & (np.abs(size - length[a + i]) * den <= np.maximum(size, length[a + i]) * (den - num))
+                    hit, bits = hit[new], bits[new]
+                    hit = hit[np.lexsort((bits, own[hit]))]
                     nearest = np.append(True, own[hit][1:] != own[hit][:-1])[: len(hit)]
                     tests.append((np.full(len(hit), a + i), a + hit, nearest))
                     held += len(hit)
@@ -364,6 +369,25 @@ def _ends_cut(a: str, b: str) -> tuple[str, str]:
     return a[begin : len(a) - end], b[begin : len(b) - end]
 
 
+def _word_by_word(a: str, b: str, allowed: int) -> bool:
+    """Whether replacing words by those at their places, and leaving out one run of the longer line's
+    words, takes `allowed` edits at most. The edit distance is no more than that."""
+    p, q = a.split(" "), b.split(" ")
+    if len(p) > len(q):
+        p, q = q, p
+    more = len(q) - len(p)
+    if not more:
+        return sum(max(len(c), len(d)) for c, d in zip(p, q, strict=True) if c != d) <= allowed
+    before = [0 if c == d else max(len(c), len(d)) for c, d in zip(p, q, strict=False)]
+    after = [0 if c == d else max(len(c), len(d)) for c, d in zip(p, q[more:], strict=True)]
+    size = [len(c) + 1 for c in q]
+    total = least = sum(after) + sum(size[:more])
+    for i in range(len(p)):  # the run begins one word later
+        total += before[i] - after[i] + size[i + more] - size[i]
+        least = min(least, total)
+    return least <= allowed
+
+
 def _aligned(a: str, b: str, allowed: int) -> int:
     """An upper bound of the edit distance, or more than `allowed` if the bound is: words that occur
     once in each line are matched where they are in the same order, and the distances of what lies
@@ -401,13 +425,15 @@ def _aligned(a: str, b: str, allowed: int) -> int:
     return total
 
 
-def _distances(a: list[str], b: list[str], allowed: int | None = None) -> np.ndarray:
+def _distances(a: list[str], b: list[str], allowed: int | np.ndarray | None = None) -> np.ndarray:
     """The edit distances of pairs of non-empty texts, as _distance, but for all pairs at a time.
-    With `allowed`, only blocks of the matrix within that many cells of its diagonal are computed:
-    distances up to it are exact, others more than it."""
+    With `allowed` (one for all or one for each), only blocks of the matrix within that many cells of
+    its diagonal are computed: distances up to it are exact, others more than it. A pair is given up
+    once the diagonal that ends in its distance exceeds what it is allowed, as that never falls."""
     first, second = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     order = np.argsort(-second, kind="stable")  # the columns of the longest are computed last
     a, b, first, second = [a[k] for k in order], [b[k] for k in order], first[order], second[order]
+    limit = None if allowed is None else np.broadcast_to(allowed, len(a))[order]
     n, blocks, columns = len(a), -(-int(first.max()) // 64), int(second[0])
     code = np.concatenate([_characters("".join(a)), _characters("".join(b))])
     occurs = np.zeros(int(code.max()) + 1, bool)
@@ -415,7 +441,8 @@ def _distances(a: list[str], b: list[str], allowed: int | None = None) -> np.nda
     letters, code = np.flatnonzero(occurs), (np.cumsum(occurs) - 1)[code]
     if n > 1 and n * len(letters) * blocks > 1 << 22:  # 32 MB
         out, half = np.empty(n, np.int64), n // 2
-        out[order] = np.concatenate([_distances(a[:half], b[:half], allowed), _distances(a[half:], b[half:], allowed)])
+        parts = (slice(None, half), slice(half, None))
+        out[order] = np.concatenate([_distances(a[x], b[x], None if limit is None else limit[x]) for x in parts])
         return out
     pair = np.repeat(np.arange(n), first)
     place = np.arange(len(pair)) - np.repeat(np.cumsum(first) - first, first)
@@ -426,10 +453,31 @@ def _distances(a: list[str], b: list[str], allowed: int | None = None) -> np.nda
     text[np.arange(int(second.sum())) - np.repeat(np.cumsum(second) - second, second), np.repeat(np.arange(n), second)] = code[len(pair) :]
     up, down = np.full((blocks, n), ~_U(0)), np.zeros((blocks, n), _U)
     text += np.arange(n) * len(letters)
-    one, reach = _U(1), max(columns, int(first.max())) if allowed is None else allowed
+    one, reach = _U(1), max(columns, int(first.max())) if limit is None else int(limit.max())
     open_ = n - np.searchsorted(second[::-1], np.arange(columns), side="right")
+
+    def score(rows, t):
+        """The distances of the first `rows` characters of each a and the first t of b."""
+        inside = np.clip(rows[None, :] - 64 * np.arange(blocks)[:, None], 0, 64)
+        mask = np.where(inside == 64, ~_U(0), (one << (inside % 64).astype(_U)) - one)
+        return t + np.bitwise_count(up & mask).sum(axis=0, dtype=np.int64) - np.bitwise_count(down & mask).sum(axis=0, dtype=np.int64)
+
+    out = np.empty(n, np.int64)
     for t in range(columns):
+        if limit is not None and t and t % GIVE_UP == 0:
+            ends = np.minimum(second, t)
+            now = score(np.maximum(ends + first - second, 0), ends)
+            keep = now <= limit
+            if 8 * (len(keep) - keep.sum()) >= len(keep):  # else it isn't worth a copy
+                out[order[~keep]] = now[~keep]
+                order, first, second, limit, text = order[keep], first[keep], second[keep], limit[keep], text[:, keep]
+                if not len(order):
+                    return out
+                up, down = up[:, keep], down[:, keep]
+                open_ = len(order) - np.searchsorted(second[::-1], np.arange(columns), side="right")
         k = open_[t]
+        if not k:
+            break
         low, high = max(0, t - reach) >> 6, min(blocks, (t + reach >> 6) + 1)
         x, vp, vn = at.take(text[t, :k], axis=0)[:, low:high].T, up[low:high, :k], down[low:high, :k]
         x = x | vn
@@ -447,23 +495,23 @@ def _distances(a: list[str], b: list[str], allowed: int | None = None) -> np.nda
         dropped[1:] |= drop[:-1] >> _U(63)
         up[low:high, :k] = dropped | ~(diagonal | shifted)
         down[low:high, :k] = shifted & diagonal
-    inside = np.clip(first[None, :] - 64 * np.arange(blocks)[:, None], 0, 64)
-    mask = np.where(inside == 64, ~_U(0), (one << (inside % 64).astype(_U)) - one)
-    d = second + np.bitwise_count(up & mask).sum(axis=0, dtype=np.int64) - np.bitwise_count(down & mask).sum(axis=0, dtype=np.int64)
-    out = np.empty(n, np.int64)
-    out[order] = d
+    out[order] = score(first, second)
     return out
 
 
 def similar_pairs(a: list[str], b: list[str], num: int, den: int, likely: bool = True) -> np.ndarray:
     """For each pair whether 1 - edit distance / longer length >= num / den. Pairs of up to MANY
-    characters are worked many at a time; if they are few or longer, each is, and if similarity is
-    likely, an alignment at common words accepts most of those first."""
+    characters are worked many at a time; if they are few or longer, each is. If similarity is
+    likely, pairs that can be told by whole words are accepted first, and of those that are worked
+    each alone, most by an alignment at common words."""
     longest = np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
     shortest = np.array([min(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
     allowed = longest * (den - num) // den
     out = (longest == shortest) & (longest == 0)
     todo = np.flatnonzero((longest - shortest <= allowed) & (shortest > 0))
+    if likely:
+        out[todo] = [_word_by_word(a[k], b[k], m) for k, m in zip(todo.tolist(), allowed[todo].tolist(), strict=True)]
+        todo = todo[~out[todo]]
     todo = todo[np.argsort(longest[todo], kind="stable")]
     alone = todo[longest[todo] > MANY]
     todo = todo[: len(todo) - len(alone)]
@@ -476,7 +524,7 @@ def similar_pairs(a: list[str], b: list[str], num: int, den: int, likely: bool =
         if len(now) < FEW and longest[now[-1]] > MANY // 16:
             alone = np.append(alone, now)
             continue
-        out[now] = _distances([a[k] for k in now], [b[k] for k in now], int(allowed[now].max())) <= allowed[now]
+        out[now] = _distances([a[k] for k in now], [b[k] for k in now], allowed[now]) <= allowed[now]
     for k in alone:
         x, y = _ends_cut(a[k], b[k])
         most = int(allowed[k])
